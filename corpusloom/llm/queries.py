@@ -2,23 +2,115 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup
+from corpusloom.llm import extract, langid, mixing, neardup, packing, quality, secrets, topk, urls, vecdup
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior and hashed linear score of every document."""
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty best inner products of every twentieth vector id against all vectors."""
+    codes = topk.quantized(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(codes.where(F.col("vec_id") % 20 == 0), codes, 20)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document at Jaccard 0.85 on five-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of the vectors at cosine 0.93 within a label."""
+    return vecdup.vector_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of at most 1024 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, a quarter of them held out of the fit."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_SCALED = "SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
+
+TOPK_SQL = f"""
+WITH codes AS ({_SCALED}),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.code, v.code)::BIGINT AS score
+  FROM codes q JOIN codes v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.code) = len(v.code)
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored
+) WHERE rank <= 20
+"""
+
+VECTORS_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93
+),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+),
+parts AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN parts p USING (vec_id) LEFT JOIN degree d USING (vec_id)
+"""
+
+
 def queries() -> dict:
-    return {"op5_minhash_neardup": op5_minhash_neardup}
+    found = (op1_quality_classifier, op2_exact_topk, op3_secret_scan, op4_mix_sources, op5_minhash_neardup, op6_embedding_neardup, op7_html_extraction, op8_best_fit_packing, op9_language_id, op10_url_filter, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_topk": TOPK_SQL, "op6_embedding_neardup": VECTORS_SQL}
