@@ -73,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_SCALED = "SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
+_SCALED = "SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 TOPK_SQL = f"""
 WITH codes AS ({_SCALED}),
@@ -89,7 +89,7 @@ SELECT query_id, rank, vec_id, score FROM (
 VECTORS_SQL = """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)

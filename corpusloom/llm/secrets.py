@@ -114,6 +114,10 @@ def _entropy_spans(text: Column, c: CharacterClass, number: int, allow: tuple[st
     return F.flatten(spans).cast(f"array<{SPAN}>")
 
 
+def _of_kind(matches: Column, k: int) -> Column:
+    return F.transform(matches, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"))).cast(f"array<{SPAN}>")
+
+
 def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``docs`` with ``base`` and ``found``: arrays of struct(s, k, e) by start, then kind.
 
@@ -123,7 +127,7 @@ def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = [F.filter(_matches(text, ASSIGN, values=True), lambda m: F.length(m["x"]) >= LEAST_VALUE), _matches(text, ACCESS), _matches(text, HEX)]
-    base = [F.transform(b, lambda m, k=k: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"))).cast(f"array<{SPAN}>") for k, b in enumerate(base)]
+    base = [_of_kind(b, k) for k, b in enumerate(base)]
     out = docs.withColumn("base", F.array_sort(F.concat(*base)))
     extra = F.concat(*[_entropy_spans(text, c, len(BASE_KINDS) + i, allow) for i, c in enumerate(classes)])
     fresh = F.filter(extra, lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))

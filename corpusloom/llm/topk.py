@@ -22,10 +22,10 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def _matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids ascending and their rows; equal rows once."""
-    codes = table.column("code").combine_chunks()
+    """Ids ascending and their rows; equal rows once. The last two columns hold them."""
+    codes = table.column(4).combine_chunks()
     x = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), dim)
-    both = np.unique(np.column_stack([table.column("vec_id").to_numpy(), x]), axis=0)
+    both = np.unique(np.column_stack([table.column(3).to_numpy(), x]), axis=0)
     return both[:, 0], both[:, 1:]
 
 
@@ -75,9 +75,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long")))
     deal = lambda c: F.pmod(F.xxhash64("vec_id"), F.lit(c).cast("long"))
     left = queries.select("dim", deal(tiles).alias("tile"), span(shards).alias("shard"), "vec_id", "code")
-    right = vectors.select("dim", span(tiles).alias("tile"), deal(shards).alias("shard"), "vec_id", "code")
+    # New names: both sides may come from one frame, whose column ids a cogroup would confuse.
+    right = vectors.select(F.col("dim").alias("dim_"), span(tiles).alias("tile_"), deal(shards).alias("shard_"), F.col("vec_id").alias("id_"), F.col("code").alias("code_"))
     by = ["dim", "tile", "shard"]
-    lists = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_tile(k), SCHEMA)
+    lists = left.groupBy(*by).cogroup(right.groupBy(*[f"{c}_" for c in by])).applyInArrow(_tile(k), SCHEMA)
     while True:
         lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN))
         best = Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "vec_id")

@@ -45,7 +45,7 @@ BUCKETS, GRAMS, ROUNDS, RATE, DECAY = 4096, (3, 4, 5), 400, 2.0, 1e-3
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; empty ones for a null or a url without ://."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(url, instr(url, '://') + 3)")).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, upper.lower()), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -57,11 +57,15 @@ def buckets(host: Column, path: Column) -> Column:
     for tag, part in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path)):
         for n in GRAMS:
             size = F.length(part) - (n - 1)
-            cut = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i, part=part, n=n, tag=tag: F.pmod(F.xxhash64(F.lit(tag), F.substring(part, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+            cut = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), _bucket(tag, part, n))
             grams.append(F.when(size > 0, cut).otherwise(F.array().cast("array<int>")))
     return F.concat(*grams)
 
 
+def _bucket(tag: str, part: Column, n: int):
+    return lambda i: F.pmod(F.xxhash64(F.lit(tag), F.substring(part, i, F.lit(n))), F.lit(BUCKETS)).cast("int")
+
+
 def _shares(spark: SparkSession) -> list[tuple[int, list[int]]]:
     rows = [f"struct('{k}' AS verdict, '{u}' AS url)" for k, urls in SEED_URLS.items() for u in urls]
     table = spark.sql(f"SELECT inline(array({', '.join(rows)}))")
