@@ -30,3 +30,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from corpusloom.plans import aggregates, consensus, transitions  # noqa: F401
+
+
+_load()
