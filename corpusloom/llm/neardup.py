@@ -4,7 +4,9 @@ A document's signature holds CHUNKS * LANES min-hash symbols of SYMBOL_BITS bits
 LANES of them in one long per chunk. Two signatures that differ in at most
 ``2 * CHUNKS - 1`` symbols have, by pigeonhole, a chunk with at most one
 differing symbol. Every chunk is indexed once for each lane left out, so such a
-pair shares at least one key: no pair under that distance is missed.
+pair shares at least one key: no pair under that distance is missed. MORE further
+symbols of few bits sharpen the distance that a candidate may have before its
+full shingle sets are compared.
 """
 
 from __future__ import annotations
@@ -20,26 +22,41 @@ from corpusloom.llm.wordhash import mix, shingle_sets, sliced
 
 CHUNKS, LANES, SYMBOL_BITS = 10, 6, 9
 LANE = SYMBOL_BITS + 1  # a spare bit on top of each symbol takes the carry that shows a difference
-DISTANCE = 2 * CHUNKS - 1
 WIDTH, PERCENT = 5, 85
-_SIG = [f"c{i}" for i in range(CHUNKS)]
+MORE, MORE_BITS, MORE_LANES = 240, 3, 15
+_CHUNK = [f"c{i}" for i in range(CHUNKS)]
+_MORE = [f"e{i}" for i in range(MORE // MORE_LANES)]
+_SIG = _CHUNK + _MORE
 _FULL = sum(((1 << SYMBOL_BITS) - 1) << (LANE * i) for i in range(LANES))
 _CARRY = sum((1 << SYMBOL_BITS) << (LANE * i) for i in range(LANES))
+_MORE_FULL = sum(((1 << MORE_BITS) - 1) << ((MORE_BITS + 1) * i) for i in range(MORE_LANES))
+_MORE_CARRY = sum((1 << MORE_BITS) << ((MORE_BITS + 1) * i) for i in range(MORE_LANES))
 
 SET_SCHEMA = f"doc_id long, n_shingles long, h1 long, h2 long, {', '.join(f'{c} long' for c in _SIG)}"
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_501)
-    return rng.integers(1, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64)
+    n = CHUNKS * LANES + MORE
+    return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def distance_limit(percent: int) -> int:
+    """Symbols in which a pair at the similarity may differ: mean and 3.7 deviations."""
+    apart = 1 - percent / 100
+    parts = [(n, apart * (1 - 0.5**bits)) for n, bits in ((CHUNKS * LANES, SYMBOL_BITS), (MORE, MORE_BITS))]
+    return int(sum(n * p for n, p in parts) + 3.7 * sum(n * p * (1 - p) for n, p in parts) ** 0.5)
 
 
 def _signature(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     low = np.full(len(mul), np.iinfo(np.uint64).max)
-    for k in range(0, len(s), 1 << 14):
-        low = np.minimum(low, (s[None, k : k + (1 << 14)] * mul[:, None] + add[:, None]).min(1))
-    symbols = (mix(low) & np.uint64((1 << SYMBOL_BITS) - 1)).reshape(CHUNKS, LANES)
-    return (symbols << (np.arange(LANES, dtype=np.uint64) * np.uint64(LANE))).sum(1, dtype=np.uint64).astype(np.int64)
+    for k in range(0, len(s), 1 << 12):
+        low = np.minimum(low, (s[None, k : k + (1 << 12)] * mul[:, None] + add[:, None]).min(1))
+    symbols, packed = mix(low), []
+    for part, bits, lanes in ((symbols[: CHUNKS * LANES], SYMBOL_BITS, LANES), (symbols[CHUNKS * LANES :], MORE_BITS, MORE_LANES)):
+        part = (part & np.uint64((1 << bits) - 1)).reshape(-1, lanes)
+        packed.append((part << (np.arange(lanes, dtype=np.uint64) * np.uint64(bits + 1))).sum(1, dtype=np.uint64))
+    return np.concatenate(packed).astype(np.int64)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -56,8 +73,8 @@ def _describe(width: int):
                     if len(s):
                         rows.append([len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)), *_signature(s, mul, add).tolist()])
                     else:
-                        rows.append([0] + [None] * (2 + CHUNKS))
-            cols = list(zip(*rows)) if rows else [()] * (3 + CHUNKS)
+                        rows.append([0] + [None] * (2 + len(_SIG)))
+            cols = list(zip(*rows)) if rows else [()] * (3 + len(_SIG))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "n_shingles", "h1", "h2", *_SIG])
 
     return run
@@ -74,15 +91,16 @@ def _full_sets(width: int):
     return run
 
 
-def _differing(a: str, b: str) -> Column:
-    """Number of lanes in which two packed chunks differ."""
-    return F.bit_count((F.col(a).bitwiseXOR(F.col(b)) + F.lit(_FULL)).bitwiseAND(F.lit(_CARRY)))
+def _differing(a: str, b: str, full: int = _FULL, carry: int = _CARRY) -> Column:
+    """Number of lanes in which two packed longs differ."""
+    return F.bit_count((F.col(a).bitwiseXOR(F.col(b)) + F.lit(full)).bitwiseAND(F.lit(carry)))
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """Sizes allow the similarity, and the signatures are within DISTANCE."""
+    """Sizes allow the similarity, and the signatures are within the distance limit."""
     sizes = (F.least(f"{a}.n", f"{b}.n") * 100) >= (F.greatest(f"{a}.n", f"{b}.n") * percent)
-    return sizes & (sum((_differing(f"{a}.{c}", f"{b}.{c}") for c in _SIG[1:]), _differing(f"{a}.c0", f"{b}.c0")) <= DISTANCE)
+    apart = [_differing(f"{a}.{c}", f"{b}.{c}") for c in _CHUNK] + [_differing(f"{a}.{c}", f"{b}.{c}", _MORE_FULL, _MORE_CARRY) for c in _MORE]
+    return sizes & (sum(apart[1:], apart[0]) <= distance_limit(percent))
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -114,7 +132,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(docs.mapInArrow(_describe(width), SET_SCHEMA))
     nodes = materialize(base.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in _SIG]))
-    slots = F.array(*[F.struct(F.lit(i * LANES + k).alias("slot"), F.xxhash64(F.lit(i * LANES + k), F.col(c).bitwiseAND(F.lit(_FULL & ~(((1 << LANE) - 1) << (LANE * k))))).alias("key")) for i, c in enumerate(_SIG) for k in range(LANES)])
+    slots = F.array(*[F.struct(F.lit(i * LANES + k).alias("slot"), F.xxhash64(F.lit(i * LANES + k), F.col(c).bitwiseAND(F.lit(_FULL & ~(((1 << LANE) - 1) << (LANE * k))))).alias("key")) for i, c in enumerate(_CHUNK) for k in range(LANES)])
     keys = nodes.select("id", F.explode(slots).alias("s")).select("id", F.col("s.slot").alias("slot"), F.col("s.key").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = materialize(skew_join(keys, hubs, ["key"]))
@@ -133,8 +151,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     rows = materialize(rows)
     chunk = F.floor(F.col("x.slot") / LANES)
     # A pair is taken at the first key that it shares, so it is made once.
-    first = (_at(chunk, [_differing(f"x.{c}", f"y.{c}") for c in _SIG]) > 0) | (F.col("x.slot") % LANES == 0)
-    for i, c in enumerate(_SIG[:-1]):
+    first = (_at(chunk, [_differing(f"x.{c}", f"y.{c}") for c in _CHUNK]) > 0) | (F.col("x.slot") % LANES == 0)
+    for i, c in enumerate(_CHUNK[:-1]):
         first = first & ((chunk <= i) | (_differing(f"x.{c}", f"y.{c}") > 1))
     more = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent) & first)
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
