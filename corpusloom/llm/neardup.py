@@ -105,8 +105,7 @@ def _close(a: str, b: str, percent: int) -> Column:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = materialize(ids)
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct())
     wanted = docs.join(small_side(ids, ids.count()), "doc_id", "left_semi")
     sets = wanted.mapInArrow(_full_sets(width), "id long, shingles array<long>")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))

@@ -8,6 +8,8 @@ then train a logistic scorer on hashed features, which scores every document.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,26 +50,34 @@ def measures(text: str) -> dict[str, float]:
         "upper": int(((kind & 2) > 0).sum()) / max(1, letters),
         "letters": letters / shown,
         "symbols": int((kind & 13 == 0).sum()) / shown,
-        "short": float((lengths <= 3).mean()) if len(lengths) else 0.0,
+        # A few words say nothing about the share of short ones.
+        "short": float((lengths <= 3).mean()) if len(lengths) >= 20 else float("nan"),
         "length": float(lengths.mean()) if len(lengths) else 0.0,
         # A long text repeats common words anyway: distinct words are held against the square root law's share.
         "distinct": len(times) / max(1, len(words)) * max(1.0, len(words) / 200) ** 0.25,
+        "top": float(times.max() / len(words)) if len(words) >= 20 else 0.0,
+        "packed": len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1)) / max(1, len(text)) if len(words) >= 20 else 1.0,
         "lines": len(set(lines)) / max(1, len(lines)),
         "ends": float(np.mean([x.rstrip()[-1] in ".!?…\"')" for x in lines])) if lines else 0.0,
         "marks": sum(text.count(x) for x in ("!!", "??", "***", "###", "$$$", " | ")) / max(1, len(lengths)),
     }
 
 
-# Measure, bad below, good from, good to, bad above.
+# Measure, bad below, good from, good to, bad above. Where from is above
+# to, the labeller only ever finds documents bad: a text that shows no symbols may
+# still be bad in another way.
 LABELLERS = (
-    ("symbols", -1, 0.0, 0.06, 0.10),
-    ("upper", -1, 0.0, 0.10, 0.30),
+    ("symbols", -1, 1, 0, 0.10),
+    ("upper", -1, 1, 0, 0.30),
+    ("marks", -1, 1, 0, 0.10),
+    ("distinct", 0.40, 1, 0, 99),
+    ("top", -1, 1, 0, 0.35),
+    ("packed", 0.25, 1, 0, 99),
+    ("lines", 0.60, 1, 0, 2),
     ("letters", 0.70, 0.90, 1.0, 2),
-    ("short", 0.12, 0.20, 0.48, 0.75),
-    ("length", 2.5, 3.5, 7.0, 12),
-    ("distinct", 0.40, 0.65, 9, 99),
-    ("lines", 0.60, 0.95, 1.0, 2),
-    ("marks", -1, 0.0, 0.02, 0.10),
+    ("short", 0.08, 0.20, 0.48, 0.80),
+    ("length", 2.5, 3.5, 7.0, 14),
+    ("ends", -1, 0.5, 1.0, 2),
 )
 LEAST_WORDS = 5
 
