@@ -109,8 +109,10 @@ def typology(labelled: DataFrame) -> DataFrame:
     """climber, stuck, oscillator, advanced or stable, the first rule that fits."""
     per = labelled.groupBy("participant_id", "session_number").agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("sd"))
     out = per.groupBy("participant_id").agg(slope(F.col("session_number"), F.col("m")).alias("s"), F.avg("sd").alias("v"), F.avg("m").alias("l"))
-    kind = F.when(F.col("s") >= 0.25, "climber").when((F.col("l") < 1.5) & (F.col("s") < 0.1), "stuck").when(F.col("v") > 1.2, "oscillator").when(F.col("l") >= 2.5, "advanced").otherwise("stable")
-    return out.select("participant_id", F.round("s", 6).alias("slope"), F.round("v", 6).alias("volatility"), F.round("l", 6).alias("level"), kind.alias("kind"))
+    # Rounded first: a value on a limit must not fall by the order of its sums.
+    out = out.select("participant_id", F.round("s", 6).alias("slope"), F.round("v", 6).alias("volatility"), F.round("l", 6).alias("level"))
+    kind = F.when(F.col("slope") >= 0.25, "climber").when((F.col("level") < 1.5) & (F.col("slope") < 0.1), "stuck").when(F.col("volatility") > 1.2, "oscillator").when(F.col("level") >= 2.5, "advanced").otherwise("stable")
+    return out.withColumn("kind", kind)
 
 
 def cusp_density(mixed: DataFrame, pair: tuple[int, int] = (1, 2)) -> DataFrame:
