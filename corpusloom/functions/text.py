@@ -77,3 +77,8 @@ def within_budget(items: Column, sizes: Column, budget: int) -> Column:
         return F.struct(group.alias("group"), F.when(full, n).otherwise(acc["used"] + n).cast("long").alias("used"), F.concat(acc["out"], F.array(group)).alias("out"))
 
     return F.arrays_zip(items.alias("item"), F.aggregate(sizes, start, step, lambda acc: acc["out"]).alias("group"))
+
+
+def sentence_list(text: Column) -> Column:
+    """Sentences of a text: cut at white space after a full stop, question or exclamation mark."""
+    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
