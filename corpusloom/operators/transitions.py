@@ -172,7 +172,16 @@ def speaker_numbers(segments: DataFrame) -> DataFrame:
 
 
 def nearest_turn(segments: DataFrame) -> DataFrame:
-    """For each participant segment the therapist turn whose middle is nearest; the earlier of equal ones."""
-    p = segments.where("speaker = 'participant'").select("session_id", "segment_id", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("mid"))
-    t = segments.where("speaker = 'therapist'").select("session_id", F.col("segment_id").alias("turn_id"), ((F.col("start_ms") + F.col("end_ms")) / 2).alias("turn_mid"))
-    return p.join(t, "session_id").groupBy("segment_id").agg(F.min_by("turn_id", F.struct(F.abs(F.col("mid") - F.col("turn_mid")), "turn_mid")).alias("turn_id"), F.min(F.abs(F.col("mid") - F.col("turn_mid"))).alias("distance_ms"))
+    """For each participant segment the therapist turn whose middle is nearest; the earlier of equal ones.
+
+    An as-of lookup on both sides by running windows: no pairs are made.
+    """
+    mid = (F.col("start_ms") + F.col("end_ms")) / 2
+    r = segments.where("speaker in ('participant', 'therapist')").select("session_id", "segment_id", "speaker", mid.alias("mid"))
+    turn = F.when(F.col("speaker") == "therapist", F.struct("mid", F.col("segment_id").alias("id")))
+    w = Window.partitionBy("session_id").orderBy("mid").rangeBetween
+    before, after = F.last(turn, True).over(w(Window.unboundedPreceding, 0)), F.first(turn, True).over(w(0, Window.unboundedFollowing))
+    r = r.withColumn("b", before).withColumn("a", after).where("speaker = 'participant' and (a is not null or b is not null)")
+    near_b, near_a = F.col("mid") - F.col("b.mid"), F.col("a.mid") - F.col("mid")
+    first = F.col("a").isNull() | (near_b <= near_a)
+    return r.select("segment_id", F.when(F.coalesce(first, F.lit(False)), F.col("b.id")).otherwise(F.col("a.id")).alias("turn_id"), F.when(F.coalesce(first, F.lit(False)), near_b).otherwise(near_a).alias("distance_ms"))

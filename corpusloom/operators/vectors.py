@@ -35,15 +35,22 @@ def atypical(rows: DataFrame, key: str, vector: str = "embedding", ident: str =
     return s.groupBy(key).agg(F.min_by(ident, F.struct(-F.col("similarity"), ident)).alias("typical_id"), F.min_by(ident, F.struct("similarity", ident)).alias("atypical_id"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:
+#: Rows of a block that one task multiplies with the queries.
+BLOCK_ROWS = 50_000
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` most similar rows of each query by cosine: query_id, rank, vec_id, similarity.
 
     A stated query set goes against all rows in blocks: queries are dealt to every
     block of rows, each task keeps k per query by a matrix product, and the lists
-    are merged.
+    are merged. Blocks hold ``block_rows`` rows about, however many rows there are,
+    and queries are dealt in tiles of as many.
     """
-    q = queries.select(F.col(ident).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = rows.select(F.col(ident).cast("long").alias("row_id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("part"))
+    blocks, tiles = (max(1, -(-df.count() // block_rows)) for df in (rows, queries))
+    blocks = max(blocks, 8)
+    q = queries.select(F.col(ident).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(ident), F.lit(tiles)).cast("int").alias("tile"))
+    r = rows.select(F.col(ident).cast("long").alias("row_id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("part_tile"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "similarity": []}
@@ -60,7 +67,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id",
                         out["similarity"].append(float(s[j]))
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "similarity": pa.array(out["similarity"], pa.float64())})
 
-    lists = q.groupBy("block").cogroup(r.groupBy("part")).applyInArrow(run, "query_id long, vec_id long, similarity double")
+    lists = q.groupBy("block", "tile").cogroup(r.groupBy("part", "part_tile")).applyInArrow(run, "query_id long, vec_id long, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
