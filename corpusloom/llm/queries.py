@@ -107,10 +107,67 @@ FROM embeddings e JOIN parts p USING (vec_id) LEFT JOIN degree d USING (vec_id)
 """
 
 
+NEARDUP_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS x FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * x >= 85 * (na + nb - x) UNION ALL SELECT b, a FROM shared WHERE 100 * x >= 85 * (na + nb - x)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, p.component_id, s.doc_id = p.component_id AS kept FROM sets s JOIN parts p USING (doc_id)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """The scan by definition: every window's entropy counted anew, windows merged by gaps and islands."""
+    base = []
+    for k, (kind, pattern) in enumerate(zip(secrets.BASE_KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX))):
+        value = f"regexp_extract_all(t, {_quoted(pattern)}, 1)" if kind == "assign" else f"regexp_extract_all(t, {_quoted(pattern)})"
+        least = f"length(x) >= {secrets.LEAST_VALUE}" if kind == "assign" else "true"
+        base.append(f"SELECT doc_id, {k} AS k, pos AS s, pos + length(v) AS e FROM ({_places(pattern, value)}) WHERE {least}")
+    runs = []
+    for i, c in enumerate(secrets.CLASSES):
+        tests = [f"regexp_matches(v, {_quoted(p)})" for p in c.needs] + [f"NOT regexp_matches(v, {_quoted(p)})" for p in secrets.ALLOW]
+        runs.append(f"SELECT doc_id, {len(secrets.BASE_KINDS) + i} AS k, pos, v, {c.window} AS w, {c.bits}::DOUBLE AS bits FROM ({_places(c.run, 'NULL')}) WHERE {' AND '.join(tests)}")
+    kinds = ", ".join(f"'{k}'" for k in (*secrets.BASE_KINDS, *[c.kind for c in secrets.CLASSES]))
+    listed = "string_agg(([{}])[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e)".format(kinds)
+    count = ", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind in enumerate(secrets.BASE_KINDS))
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({' UNION ALL '.join(base)}),
+runs AS ({' UNION ALL '.join(runs)}),
+windows AS (SELECT doc_id, k, pos + i AS s, w, bits, string_split(substr(v, i::BIGINT + 1, w), '') AS c FROM (SELECT *, unnest(range(length(v) - w + 1)) AS i FROM runs)),
+scored AS (SELECT *, w * log2(w) - list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) * log2(len(list_filter(c, lambda y: y = x))))) AS h FROM windows),
+hot AS (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY doc_id, k ORDER BY s) > w, true) AS fresh FROM scored WHERE h >= w * bits - 1e-9),
+islands AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY doc_id, k ORDER BY s) AS g FROM hot),
+extra AS (SELECT doc_id, k, min(s) AS s, max(s) + any_value(w) AS e FROM islands GROUP BY doc_id, k, g),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM extra x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND b.e >= x.e)),
+own AS (SELECT doc_id, {count}, {listed} AS joined FROM base GROUP BY doc_id),
+every AS (SELECT doc_id, {listed} AS spans FROM found GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(joined, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+
+def _places(pattern: str, value: str) -> str:
+    """Matches of a pattern with their places, from the texts between them."""
+    return f"""SELECT doc_id, v[i] AS v, x[i] AS x, (list_sum(list_transform(p[1:i], lambda a: length(a))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda a: length(a))), 0))::BIGINT AS pos
+FROM (SELECT doc_id, v, x, p, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {_quoted(pattern)}) AS v, {value if value != 'NULL' else "NULL::VARCHAR[]"} AS x, string_split_regex(t, {_quoted(pattern)}) AS p FROM texts))"""
+
+
 def queries() -> dict:
     found = (op1_quality_classifier, op2_exact_topk, op3_secret_scan, op4_mix_sources, op5_minhash_neardup, op6_embedding_neardup, op7_html_extraction, op8_best_fit_packing, op9_language_id, op10_url_filter, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": TOPK_SQL, "op6_embedding_neardup": VECTORS_SQL}
+    return {"op2_exact_topk": TOPK_SQL, "op3_secret_scan": _secrets_sql(), "op5_minhash_neardup": NEARDUP_SQL, "op6_embedding_neardup": VECTORS_SQL}
