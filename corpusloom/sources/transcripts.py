@@ -23,7 +23,12 @@ def read_vtt(spark: SparkSession, path: str) -> DataFrame:
     speaker, else it is ``unknown``; empty cues go.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.vtt").text(path, wholetext=True)
-    files = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.vtt$", 1).alias("session_id"), F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n[ \t]*\n")).alias("place", "block"))
+    return parse_vtt(files.select(F.input_file_name().alias("path"), "value"))
+
+
+def parse_vtt(files: DataFrame) -> DataFrame:
+    """Cues of whole WebVTT files (path, value), as a table or a stream: UTTERANCES."""
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.vtt$", 1).alias("session_id"), F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n[ \t]*\n")).alias("place", "block"))
     stamp = r"([0-9:]+[.,][0-9]+)\s*-->\s*([0-9:]+[.,][0-9]+)[^\n]*\n?([\s\S]*)"
     cues = files.where(F.col("block").contains("-->"))
     body = F.trim(F.regexp_replace(F.regexp_extract("block", stamp, 3), r"\s+", " "))
