@@ -115,14 +115,22 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return joined.where(F.col("x") * 100 >= (F.col("na") + F.col("nb") - F.col("x")) * percent).select("a", "b").distinct()
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are not in one component yet."""
+    a, b = (parts.select(F.col("id").alias(k), F.col("component").alias(f"_{k}")) for k in "ab")
+    found = skew_join(skew_join(pairs, a, ["a"], "left"), b, ["b"], "left")
+    return found.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
 
     Equal shingle sets are one node first, named by their smallest doc_id, so
-    copies never meet as pairs. Nodes sharing a key link to the key's smallest
-    node; candidates within the signature distance are confirmed on full sets.
-    Then all pairs of a key that lie in different components are tried too (pairs
-    already joined cannot change a component), so no link is lost to the hubs.
+    copies never meet as pairs. Nodes sharing a key try the key's smallest node, its
+    hub: the hub of most shared keys first, then those in other components.
+    Candidates within the signature distance are confirmed on full sets. Last, all
+    pairs of a key that lie in different components are tried too (pairs already
+    joined cannot change a component), so no link is lost to the hubs.
 
     Null or empty texts have no shingles and link with nothing; rows with a null
     doc_id keep their count, take part in no link, get a null component_id and
@@ -137,24 +145,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     shared = materialize(skew_join(keys, hubs, ["key"]))
     sigs = nodes.select("id", "n", *_SIG)
 
-    stars = shared.where("id != hub").select(F.col("id").alias("b"), F.col("hub").alias("a")).distinct()
-    tried = stars.join(sigs.alias("x"), F.col("b") == F.col("x.id")).join(sigs.alias("y"), F.col("a") == F.col("y.id"))
-    tried = materialize(tried.where(_close("x", "y", percent)).select("a", "b").distinct())
-    links = materialize(_confirm(tried, docs, width, percent))
-    parts = materialize(connected_components(links, "a", "b"))
+    # A node first tries the hub that it shares most keys with; that settles most groups.
+    stars = materialize(shared.where("id != hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("keys")))
+    best = stars.groupBy("b").agg(F.min_by("a", F.struct(-F.col("keys"), "a")).alias("a"))
+    tried, links, parts = None, None, None
+    for more in (best, stars.select("a", "b")):
+        if parts is not None:
+            more = _apart(more, parts).join(tried, ["a", "b"], "left_anti")
+        close = more.join(sigs.alias("x"), F.col("b") == F.col("x.id")).join(sigs.alias("y"), F.col("a") == F.col("y.id"))
+        close = materialize(close.where(_close("x", "y", percent)).select("a", "b"))
+        found = _confirm(close, docs, width, percent)
+        tried, links = (close, found) if tried is None else (tried.union(close), found.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        parts = materialize(connected_components(links, "a", "b"))
 
     labelled = skew_join(shared.where("members > 2").select("id", "slot", "key"), parts, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     labelled = materialize(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    # Of a key's components one is the main one; every pair of two components has a row outside of it.
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("size", "component")).alias("main")).where("components > 1").select("key", "main")
     rows = skew_join(skew_join(labelled, mixed, ["key"]), sigs, ["id"])
-    rows = materialize(rows)
+    rows = materialize(rows.withColumn("aside", F.col("component") != F.col("main")))
     chunk = F.floor(F.col("x.slot") / LANES)
     # A pair is taken at the first key that it shares, so it is made once.
     first = (_at(chunk, [_differing(f"x.{c}", f"y.{c}") for c in _CHUNK]) > 0) | (F.col("x.slot") % LANES == 0)
     for i, c in enumerate(_CHUNK[:-1]):
         first = first & ((chunk <= i) | (_differing(f"x.{c}", f"y.{c}") > 1))
-    more = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent) & first)
-    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    once = ~F.col("x.aside") | (F.col("x.id") < F.col("y.id"))
+    more = rows.alias("x").join(rows.where("aside").alias("y"), (F.col("x.key") == F.col("y.key")) & once & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent) & first)
+    more = more.select(F.greatest("x.id", "y.id").alias("b"), F.least("x.id", "y.id").alias("a")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _confirm(materialize(more), docs, width, percent)
     parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
