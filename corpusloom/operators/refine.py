@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +48,6 @@ def attachment(segments: DataFrame, contexts: DataFrame, attach: float = ATTACH,
 
 def asked(rows: DataFrame, decide: Callable[[str, str], str], left: str, right: str, default: str) -> DataFrame:
     """``rows`` with ``decision`` by an injected judge of two texts; a judge that raises gives ``default``."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
