@@ -103,40 +103,61 @@ def _round(open_pieces: DataFrame, gaps: DataFrame, salts: int) -> DataFrame:
     )
 
 
+def _slots(gaps: DataFrame, longest: int, most: int) -> DataFrame:
+    """A row for each equal part of a gap: as many as hold the longest waiting piece, ``most`` at most.
+
+    A gap narrower than two such pieces is one slot, as in plain best fit; a wide one
+    takes several pieces in a round.
+    """
+    parts = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / longest), F.lit(most))).cast("int")
+    return gaps.withColumn("parts", parts).select("seq", F.floor(F.col("gap") / F.col("parts")).alias("gap"), F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part")).drop("part")
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset, in as few sequences as best fit finds.
 
     Full pieces and pieces over half the capacity open sequences of their own. Then
-    rounds follow: remaining pieces are matched to gaps, gaps shrink, and for
-    pieces that no gap can hold any more as many empty sequences open as their
-    words need at least. The driver sees counts by size, ``capacity`` of them at most.
+    rounds follow: remaining pieces are matched to slots of the gaps, gaps shrink, and
+    for pieces that no gap can hold any more as many empty sequences open as their
+    words need at least. Offsets follow from the pieces of each sequence, 1,024 at
+    most. The driver sees counts by size, ``capacity`` of them at most.
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()))
-    placed = [pieces.where(F.col("length") * 2 > capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    placed = [pieces.where(F.col("length") * 2 > capacity).select(*columns, F.col("uid").alias("sequence_id"))]
     small = pieces.where(F.col("length") * 2 <= capacity).select("uid", "doc_id", "length", "ids_crc32")
     gaps = pieces.where((F.col("length") * 2 > capacity) & (F.col("length") < capacity)).select(F.col("uid").alias("seq"), (F.lit(capacity).cast("long") - F.col("length")).alias("gap"))
     salts, opened = max(8, pieces.count() // GROUP_ROWS), 0
-    waiting = {r["length"]: r["n"] for r in small.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    widest = gaps.agg(F.max("gap")).first()[0] or 0
+    waiting, free = _sizes(small, gaps)
     while waiting:
-        stuck = sum(k * n for k, n in waiting.items() if k > widest)
+        stuck = sum(k * n for k, n in waiting.items() if k > max(free, default=0))
         if stuck:
             n = -(-stuck // capacity)
             fresh = spark.range(opened, opened + n).select((-F.col("id") - 1).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
             gaps, opened = gaps.union(fresh), opened + n
-        done = materialize(_round(small, gaps.where(F.col("gap") >= min(waiting)), salts))
+            free[capacity] = free.get(capacity, 0) + n
+        # Pieces only get fewer, so a gap below the least of them is done with.
+        gaps = gaps.where(F.col("gap") >= min(waiting))
+        most = -(-2 * sum(waiting.values()) // sum(n for k, n in free.items() if k >= min(waiting)))
+        done = materialize(_round(small, _slots(gaps, max(waiting), most), salts))
         taken = F.coalesce(F.col("gap_kind") == 0, F.lit(False))
-        placed.append(done.where((F.col("kind") == 1) & taken).select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("size").alias("length"), "ids_crc32", F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap_size")).alias("offset")))
+        placed.append(done.where((F.col("kind") == 1) & taken).select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("size").alias("length"), "ids_crc32", F.col("gap_id").alias("sequence_id")))
         small = done.where((F.col("kind") == 1) & ~taken).select(F.col("id").alias("uid"), "doc_id", F.col("size").alias("length"), "ids_crc32")
-        gaps = done.where("kind = 0").select(F.col("id").alias("seq"), (F.col("size") - F.when(F.col("next_kind") == 1, F.col("next_size")).otherwise(0)).alias("gap")).where("gap > 0")
-        left = small.select(F.lit(1).alias("kind"), F.col("length").alias("size")).union(gaps.select(F.lit(0), "gap")).groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
-        waiting = {r["size"]: r["n"] for r in left if r["kind"] == 1}
-        widest = max([r["size"] for r in left if r["kind"] == 0], default=0)
+        used = done.where("kind = 0 and next_kind = 1").groupBy(F.col("id").alias("seq")).agg(F.sum("next_size").alias("used"))
+        gaps = materialize(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
+        waiting, free = _sizes(small, gaps)
     out = placed[0]
     for part in placed[1:]:
         out = out.union(part)
-    return out
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+
+
+def _sizes(small: DataFrame, gaps: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Counts by size of the waiting pieces and of the gaps."""
+    rows = small.select(F.lit(1).alias("kind"), F.col("length").alias("size")).union(gaps.select(F.lit(0), "gap")).groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
+    return ({r["size"]: r["n"] for r in rows if r["kind"] == kind} for kind in (1, 0))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
