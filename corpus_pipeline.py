@@ -12,6 +12,9 @@ from corpusloom.llm import langid, mixing, neardup, packing, secrets
 from corpusloom.llm.queries import TOKENIZER
 from corpusloom.llm._session import materialize
 
+#: Least Jaccard similarity of near copies, in percent; op5's query has a figure of its own.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that holds half of the text, go."""
@@ -19,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return neardup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,18 @@ def test_stages_and_run(spark, tmp_path):
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
     run = queries.pipeline(spark, str(tmp_path))
     assert run.columns == out.columns and run.count() == out.count()
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(504)]
+    rows = []
+    for i, changes in enumerate((0, 10, 12)):
+        text = list(words)
+        for k in range(changes):
+            text[20 + 40 * k] = f"z{i}"
+        rows.append((i, " ".join(text), "en", "s0", 1))
+    near = rows[:2]  # 450 of 550 shingles are shared: 0.818
+    docs = lambda r: spark.createDataFrame(r, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(near), "").collect()] == [0]
+    far = [rows[0], rows[2]]  # 440 of 560: 0.786
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(far), "").count() == 2
