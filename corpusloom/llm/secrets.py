@@ -47,6 +47,10 @@ ALLOW = (
     r"(?i)0123456789|abcdefgh|qwerty",
     r"^sha(1|256|384|512)-",
 )
+#: The same for masking, where a run may be a whole path: patterns of a whole run, and
+#: those that take only the run's part between / and _ that holds them.
+ALLOW_RUN = (ALLOW[0], r"^sha(1-[A-Za-z0-9+/_-]{27}|256-[A-Za-z0-9+/_-]{43}|384-[A-Za-z0-9+/_-]{64}|512-[A-Za-z0-9+/_-]{86})$")
+ALLOW_PART = ALLOW[1:3]
 SPAN = "struct<s: int, k: int, e: int>"
 
 
@@ -100,9 +104,17 @@ def _hot_windows(word: Column, c: CharacterClass) -> Column:
     return F.element_at(F.transform(F.array(codes), walk), 1)
 
 
-def _entropy_spans(text: Column, c: CharacterClass, number: int, allow: tuple[str, ...]) -> Column:
+def _between(run: Column, allow: tuple[str, ...]) -> Column:
+    """Array of struct(s, v): what of a run (s, v) lies between the parts that ``allow`` names."""
+    named = F.filter(_matches(run["v"], "[^/_]+"), lambda m: m["v"].rlike("|".join(f"(?:{p})" for p in allow)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(named, lambda m: m["e"]))
+    ends = F.concat(F.transform(named, lambda m: m["s"]), F.array(F.length(run["v"])))
+    return F.zip_with(starts, ends, lambda s, e: F.struct((run["s"] + s).alias("s"), F.substring(run["v"], s + 1, e - s).alias("v")))
+
+
+def _entropy_spans(text: Column, c: CharacterClass, number: int, allow: tuple[str, ...], allow_part: tuple[str, ...]) -> Column:
     def candidate(m):
-        ok = F.lit(True)
+        ok = F.length(m["v"]) >= c.window
         for p in c.needs:
             ok = ok & m["v"].rlike(p)
         for p in allow:
@@ -110,6 +122,8 @@ def _entropy_spans(text: Column, c: CharacterClass, number: int, allow: tuple[st
         return ok
 
     runs = F.filter(_matches(text, c.run), candidate)
+    if allow_part:
+        runs = F.filter(F.flatten(F.transform(runs, lambda m: _between(m, allow_part))), candidate)
     spans = F.transform(runs, lambda m: F.transform(_hot_windows(m["v"], c), lambda h: F.struct((m["s"] + h["s"]).alias("s"), F.lit(number).alias("k"), (m["s"] + h["e"]).alias("e"))))
     return F.flatten(spans).cast(f"array<{SPAN}>")
 
@@ -118,10 +132,12 @@ def _of_kind(matches: Column, k: int) -> Column:
     return F.transform(matches, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"))).cast(f"array<{SPAN}>")
 
 
-def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, allow_part: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``base`` and ``found``: arrays of struct(s, k, e) by start, then kind.
 
-    k is the place in BASE_KINDS, or after it the class's. Null texts count as
+    k is the place in BASE_KINDS, or after it the class's. A run that ``allow``
+    matches gives no span; ``allow_part`` takes only the parts of a run that it
+    matches, and what lies between them is scanned. Null texts count as
     empty. Nothing is shuffled and repeated rows stay rows; a text's columns of
     those two names are replaced.
     """
@@ -129,7 +145,7 @@ def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow:
     base = [F.filter(_matches(text, ASSIGN, values=True), lambda m: F.length(m["x"]) >= LEAST_VALUE), _matches(text, ACCESS), _matches(text, HEX)]
     base = [_of_kind(b, k) for k, b in enumerate(base)]
     out = docs.withColumn("base", F.array_sort(F.concat(*base)))
-    extra = F.concat(*[_entropy_spans(text, c, len(BASE_KINDS) + i, allow) for i, c in enumerate(classes)])
+    extra = F.concat(*[_entropy_spans(text, c, len(BASE_KINDS) + i, allow, allow_part) for i, c in enumerate(classes)])
     fresh = F.filter(extra, lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
     return out.withColumn("found", F.array_sort(F.concat("base", fresh)))
 
@@ -149,6 +165,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``, overlapping ones by one.
 
+    Sample words take only their part of a path (ALLOW_PART), so keys beside them are masked.
     n_chars, where present, follows the new text. Rows without spans stay as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -160,6 +177,6 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, F.when(apart, F.lit(mask)).otherwise("")).alias("out")))
 
     clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scan(docs).withColumn("_clean", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
+    out = scan(docs, allow=ALLOW_RUN, allow_part=ALLOW_PART).withColumn("_clean", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
     new = {"text": F.col("_clean"), "n_chars": F.when(F.size("found") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

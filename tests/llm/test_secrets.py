@@ -83,3 +83,19 @@ def test_no_python_in_plan_and_empty(spark):
     assert out.count() == 0
     plan = secrets.report(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_sample_words_take_only_their_part(spark):
+    key, other = "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0Lz", "Kj7Hg5Fd3Sa1Qw2Er4Ty6U"
+    texts = [
+        (f"https://host/sample-app/hook/{key} end", "https://host/sample-app[secret] end"),
+        (f"{key}/sample/{other}", "[secret]sample[secret]"),
+        (f"see example_{key}", "see example[secret]"),
+        (f"EXAMPLE{key} and dummy-{key}", None),
+        ("550e8400-e29b-41d4-a716-446655440000 sha1-Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6", None),
+        (f"sha256-tools/webhook/{key}", "[secret]"),
+        ("0123456789ABCDEF0123456789ABCDEF", None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert got == [t if masked is None else masked for t, masked in texts]
