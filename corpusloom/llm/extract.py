@@ -2,10 +2,9 @@
 
 A page is cut into lines at block-level tags; each line knows its text, how much
 of it stands in links, and whether boilerplate markup holds it. Lengths of the
-remaining text are summed over a sliding window of lines. The text starts where
-the sum surges and ends where it dives; of several such stretches the one with
-the most text counts, with those near it. Lines in between are kept whole,
-however short they are.
+remaining text are summed over windows that look ahead and back. The text starts
+where the sum first surges and ends where it last dives. Lines in between are kept
+whole, however short or linked they are.
 """
 
 from __future__ import annotations
@@ -134,31 +133,20 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The page's article: its lines from the surge to the dive, joined by spaces."""
     lines = lines_of(page or "")
     if any(inside for _, _, inside in lines):
-        # The article's own element bounds it: any text there is a surge.
-        lines, surge = [x for x in lines if x[2]], 1
-    else:
-        lines = [x for x in lines if x[1] < LINK_SHARE * len(x[0]) or len(x[0]) > 4 * surge]
-    sizes = [len(text) - links for text, links, _ in lines]
-    if surge == 1:
-        sizes = [len(text) for text, _, _ in lines]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    stretches, i = [], 0
-    while i < len(sums):
-        if sums[i] < surge:
-            i += 1
-            continue
-        j = i
-        while j < len(sums) and sums[j] >= min(surge, 20):
-            j += 1
-        stretches.append((i, j, sum(sizes[i:j])))
-        i = j + 1
-    if not stretches:
-        return " ".join(t for t, _, _ in lines) if lines and sum(sizes) else ""
-    first, last, most = max(stretches, key=lambda s: s[2])
-    for a, b, size in stretches:
-        if size * 4 >= most:
-            first, last = min(first, a), max(last, b)
-    return " ".join(t for t, _, _ in lines[first:last])
+        # The article's own element bounds it.
+        return " ".join(t for t, _, inside in lines if inside)
+    # Lines of links count only for what lies outside of the range.
+    texts = [i for i, x in enumerate(lines) if x[1] < LINK_SHARE * len(x[0]) or len(x[0]) > 4 * surge]
+    sizes = [len(lines[i][0]) - lines[i][1] for i in texts]
+    ahead = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    around = [max(n, sum(sizes[max(0, i + 1 - window) : i + 1])) for i, n in enumerate(ahead)]
+    surges = [i for i, n in enumerate(around) if n >= surge]
+    if not surges:
+        return " ".join(lines[i][0] for i in texts) if sum(sizes) else ""
+    first, last = next(i for i, n in enumerate(ahead) if n >= surge), surges[-1]
+    while last + 1 < len(sizes) and around[last + 1] >= min(surge, 20):
+        last += 1
+    return " ".join(t for t, _, _ in lines[texts[first] : texts[last] + 1])
 
 
 def _extract(batches):

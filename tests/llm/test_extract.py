@@ -34,3 +34,12 @@ def test_query_rows(spark):
     assert [r.text for r in got if r.page_id in (2, 3)] == ["", ""]
     assert next(r.n_chars for r in got if r.page_id is None) == len(LONG) * 2000
     assert extract.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_everything_from_surge_to_dive_stays():
+    body = lambda lines: "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+    for sizes in ([110, 110, 4], [9, 600, 500, 5, 4, 6, 5, 4, 120, 70]):
+        lines = [chr(97 + i) * n for i, n in enumerate(sizes)]
+        assert extract.main_text(body(lines)) == " ".join(lines)
+    linked = f"See <a href=1>{'link ' * 30}</a>here"
+    assert extract.main_text(body([LONG, linked, LONG, "<a href=2>Next</a>"])) == f"{LONG} See {'link ' * 30}here {LONG}"
