@@ -22,6 +22,8 @@ WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea button datalist".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 HOLDERS = frozenset("article main".split())
+#: Their ids are slugs of titles inside of an article.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = re.compile(
@@ -51,6 +53,8 @@ def _noisy(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
+        if name == "id" and inside and tag in TITLED:
+            continue
         if name in ("class", "id"):
             names = ABSENT.sub("", re.sub(r"([a-z])([A-Z])", r"\1-\2", value))
             if NOISE.search(names) or (not inside and HEADER.search(names)):

@@ -43,3 +43,8 @@ def test_everything_from_surge_to_dive_stays():
         assert extract.main_text(body(lines)) == " ".join(lines)
     linked = f"See <a href=1>{'link ' * 30}</a>here"
     assert extract.main_text(body([LONG, linked, LONG, "<a href=2>Next</a>"])) == f"{LONG} See {'link ' * 30}here {LONG}"
+
+
+def test_ids_of_titles_inside_an_article_are_no_noise():
+    page = f"<article><section id='discussion'><h2 id='search'>Search</h2><p id='side-effects'>{LONG}</p></section><section class='comments'>{LONG}</section></article>"
+    assert extract.main_text(page) == f"Search {LONG}"
