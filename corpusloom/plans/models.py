@@ -84,8 +84,9 @@ def factor_label_links(spark, sf_dir):
 
 @register("label_subtypes")
 def label_subtypes(spark, sf_dir):
-    """Two clusters within each of the first three labels."""
-    return O.subtypes(table(spark, sf_dir, "embeddings"), [0, 1, 2])
+    """Two clusters within each label."""
+    e = table(spark, sf_dir, "embeddings")
+    return O.subtypes(e, sorted(r.label for r in e.where("label is not null").select("label").distinct().collect()))
 
 
 @register("attached_fold_kappa")

@@ -171,3 +171,11 @@ def test_empty_tables(spark):
     assert T.cue_blocks(none).count() == 0 and N.shared_code_edges(none).count() == 0
     assert G.segment_sessions(G.sentences(none)).count() == 0
     assert V.ballots(none, [lambda t: ("ABSTAIN", None, None, None, "")]).count() == 0
+
+
+def test_label_subtypes_take_every_label(spark, tmp_path):
+    from corpusloom.plans.models import label_subtypes
+
+    rows = [(i, [float(i % 7), float(i)], i % 4 + 1) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.label for r in label_subtypes(spark, str(tmp_path)).select("label").collect()} == {1, 2, 3, 4}
