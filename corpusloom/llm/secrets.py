@@ -52,18 +52,30 @@ ALLOW = (
 ALLOW_RUN = (ALLOW[0], r"^sha(1-[A-Za-z0-9+/_-]{27}|256-[A-Za-z0-9+/_-]{43}|384-[A-Za-z0-9+/_-]{64}|512-[A-Za-z0-9+/_-]{86})$")
 ALLOW_PART = ALLOW[1:3]
 SPAN = "struct<s: int, k: int, e: int>"
+#: Elements of an array that are walked one by one before blocks of them are joined.
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
 
 
 def _matches(text: Column, pattern: str, values: bool = False) -> Column:
     """Array of struct(s, e, v, x) of the leftmost non-overlapping matches of ``pattern``.
 
     s and e count code points; v is the match, x its first group. The pieces
-    between the matches give the places.
+    between the matches give the places: first within blocks of BLOCK matches, then
+    the blocks' own places, so many matches don't copy a growing array each time.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if values else found
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), found.alias("v"), group.alias("x"))
-    parts = F.filter(parts, lambda z: z["v"].isNotNull())
     none = "array<struct<s: int, e: int, v: string, x: string>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(none).alias("out"))
 
@@ -72,7 +84,16 @@ def _matches(text: Column, pattern: str, values: bool = False) -> Column:
         e = s + F.length(z["v"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["v"].alias("v"), z["x"].alias("x")))).cast(none).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(none))
+    def placed(parts):
+        local = F.transform(_blocks(parts), lambda block: F.aggregate(block, start, step))
+        return _bound(local, joined)
+
+    def joined(local):
+        ends = F.aggregate(local, F.array(F.lit(0)), lambda acc, z: F.concat(acc, F.array(F.element_at(acc, -1) + z["at"])))
+        moved = F.zip_with(local, F.slice(ends, 1, F.size(local)), lambda z, at: F.transform(z["out"], lambda m: F.struct((m["s"] + at).alias("s"), (m["e"] + at).alias("e"), m["v"].alias("v"), m["x"].alias("x"))))
+        return F.flatten(moved).cast(none)
+
+    return F.when(text.rlike(pattern), _bound(F.filter(parts, lambda z: z["v"].isNotNull()), placed)).otherwise(F.array().cast(none))
 
 
 def _hot_windows(word: Column, c: CharacterClass) -> Column:
@@ -100,8 +121,7 @@ def _hot_windows(word: Column, c: CharacterClass) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(code)), start, step, lambda acc: acc["out"])
 
-    # One-element arrays bind the codes once instead of once for each use.
-    return F.element_at(F.transform(F.array(codes), walk), 1)
+    return _bound(codes, walk)
 
 
 def _between(run: Column, allow: tuple[str, ...]) -> Column:
@@ -132,22 +152,36 @@ def _of_kind(matches: Column, k: int) -> Column:
     return F.transform(matches, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e"))).cast(f"array<{SPAN}>")
 
 
-def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, allow_part: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``base`` and ``found``: arrays of struct(s, k, e) by start, then kind.
+def _inside(span: Column, blocks: Column) -> Column:
+    """Whether one of the spans in blocks (lo, hi, items) holds ``span``."""
+    return F.exists(blocks, lambda b: (b["lo"] <= span["s"]) & (b["hi"] >= span["e"]) & F.exists(b["items"], lambda x: (x["s"] <= span["s"]) & (x["e"] >= span["e"])))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, allow_part: tuple[str, ...] = (), base: str = "base", found: str = "found") -> DataFrame:
+    """``docs`` with two arrays of struct(s, k, e) by start, then kind, named by ``base`` and ``found``.
 
     k is the place in BASE_KINDS, or after it the class's. A run that ``allow``
     matches gives no span; ``allow_part`` takes only the parts of a run that it
     matches, and what lies between them is scanned. Null texts count as
-    empty. Nothing is shuffled and repeated rows stay rows; a text's columns of
-    those two names are replaced.
+    empty. Nothing is shuffled and repeated rows stay rows. Columns of ``docs`` that
+    have one of the two names are replaced; give other names to keep them.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = [F.filter(_matches(text, ASSIGN, values=True), lambda m: F.length(m["x"]) >= LEAST_VALUE), _matches(text, ACCESS), _matches(text, HEX)]
-    base = [_of_kind(b, k) for k, b in enumerate(base)]
-    out = docs.withColumn("base", F.array_sort(F.concat(*base)))
+    shapes = [F.filter(_matches(text, ASSIGN, values=True), lambda m: F.length(m["x"]) >= LEAST_VALUE), _matches(text, ACCESS), _matches(text, HEX)]
+    shapes = [_of_kind(b, k) for k, b in enumerate(shapes)]
+    out = docs.withColumn(base, F.array_sort(F.concat(*shapes)))
     extra = F.concat(*[_entropy_spans(text, c, len(BASE_KINDS) + i, allow, allow_part) for i, c in enumerate(classes)])
-    fresh = F.filter(extra, lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-    return out.withColumn("found", F.array_sort(F.concat("base", fresh)))
+    blocks = F.transform(_blocks(F.col(base)), lambda b: F.struct(F.array_min(F.transform(b, lambda x: x["s"])).alias("lo"), F.array_max(F.transform(b, lambda x: x["e"])).alias("hi"), b.alias("items")))
+    fresh = F.when(F.size(base) > 0, _bound(blocks, lambda held: F.filter(extra, lambda x: ~_inside(x, held)))).otherwise(extra)
+    return out.withColumn(found, F.array_sort(F.concat(base, fresh)))
 
 
 def span_text(spans: Column, classes: tuple[CharacterClass, ...] = CLASSES) -> Column:
@@ -162,21 +196,43 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text")).select("doc_id", count(0), count(1), count(2), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Spans (s, e) that overlap, sorted by start, as one each."""
+    none = "array<struct<s: int, e: int>>"
+    start = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast(none).alias("out"))
+
+    def step(acc, x):
+        done = F.when(acc["s"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))))
+        joins = (x["s"] < acc["e"]) & (acc["s"] >= 0)
+        return F.struct(F.when(joins, acc["s"]).otherwise(x["s"]).alias("s"), F.when(joins, F.greatest(acc["e"], x["e"])).otherwise(x["e"]).alias("e"), F.when(joins, acc["out"]).otherwise(done).cast(none).alias("out"))
+
+    whole = lambda acc: F.when(acc["s"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))))
+    by_block = F.transform(_blocks(spans), lambda block: F.aggregate(block, start, step, whole))
+    # Blocks meet at their ends alone, where a last walk over their outer spans joins them.
+    return F.aggregate(by_block, F.array().cast(none), lambda acc, block: F.when((F.size(acc) > 0) & (F.element_at(block, 1)["s"] < F.get(acc, F.size(acc) - 1)["e"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.aggregate(F.concat(F.slice(acc, F.size(acc), F.lit(1)), block), start, step, whole))).otherwise(F.concat(acc, block)).cast(none))
+
+
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``, overlapping ones by one.
 
     Sample words take only their part of a path (ALLOW_PART), so keys beside them are masked.
-    n_chars, where present, follows the new text. Rows without spans stay as they are.
+    n_chars, where present, follows the new text. Rows without spans, null and empty
+    texts stay as they are, repeated rows are masked alike, and columns of any name
+    keep their values. An empty table gives no rows.
     """
+    base, found, spans, letters = (unused(docs, c) for c in ("_base", "_found", "_spans", "_letters"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        gap = F.when(x["s"] > acc["at"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"])).otherwise("")
-        apart = (x["s"] >= acc["at"]) & ((x["s"] > acc["at"]) | (acc["at"] == 0))
-        return F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, F.when(apart, F.lit(mask)).otherwise("")).alias("out")))
-
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scan(docs, allow=ALLOW_RUN, allow_part=ALLOW_PART).withColumn("_clean", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
-    new = {"text": F.col("_clean"), "n_chars": F.when(F.size("found") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    rows = scan(docs, allow=ALLOW_RUN, allow_part=ALLOW_PART, base=base, found=found)
+    rows = rows.withColumn(spans, F.when(F.size(found) > 0, _merged(F.col(found))))
+    # Far places cost a walk from the text's start, so many spans take slices of its letters.
+    rows = rows.withColumn(letters, F.when(F.size(spans) > BLOCK, F.split(text, "")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["e"]))
+    ends = F.concat(F.transform(spans, lambda x: x["s"]), F.array(F.length(text)))
+    piece = lambda s, e: F.when(F.col(letters).isNotNull(), F.array_join(F.slice(letters, s + 1, e - s), "")).otherwise(F.substring(text, s + 1, e - s))
+    clean = F.array_join(F.zip_with(starts, ends, piece), mask)
+    hit = F.col(spans).isNotNull()
+    new = {"text": F.when(hit, clean).otherwise(F.col("text")).alias("text")}
+    if "n_chars" in docs.columns:
+        shorter = F.length(text) - F.aggregate(spans, F.lit(0), lambda n, x: n + x["e"] - x["s"]) + F.size(spans) * len(mask)
+        new["n_chars"] = F.when(hit, shorter.cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return rows.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
