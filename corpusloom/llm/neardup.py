@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._session import materialize, skew_join, small_side
-from corpusloom.llm.graph import connected_components
+from corpusloom.llm.graph import smaller_reachable
 from corpusloom.llm.wordhash import mix, shingle_sets, sliced
 
 CHUNKS, LANES, SYMBOL_BITS = 10, 6, 9
@@ -96,30 +96,23 @@ def _differing(a: str, b: str, full: int = _FULL, carry: int = _CARRY) -> Column
     return F.bit_count((F.col(a).bitwiseXOR(F.col(b)) + F.lit(full)).bitwiseAND(F.lit(carry)))
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Sizes allow the similarity, and the signatures are within the distance limit."""
-    sizes = (F.least(f"{a}.n", f"{b}.n") * 100) >= (F.greatest(f"{a}.n", f"{b}.n") * percent)
-    apart = [_differing(f"{a}.{c}", f"{b}.{c}") for c in _CHUNK] + [_differing(f"{a}.{c}", f"{b}.{c}", _MORE_FULL, _MORE_CARRY) for c in _MORE]
+def _close(percent: int) -> Column:
+    """Sizes of a and b allow the similarity, and the signatures are within the distance limit."""
+    sizes = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * percent)
+    apart = [_differing(f"{c}_a", f"{c}_b") for c in _CHUNK] + [_differing(f"{c}_a", f"{c}_b", _MORE_FULL, _MORE_CARRY) for c in _MORE]
     return sizes & (sum(apart[1:], apart[0]) <= distance_limit(percent))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the similarity."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct())
-    wanted = docs.join(small_side(ids, ids.count()), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_full_sets(width), "id long, shingles array<long>")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("x"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-    return joined.where(F.col("x") * 100 >= (F.col("na") + F.col("nb") - F.col("x")) * percent).select("a", "b").distinct()
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets reach the similarity.
 
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ends are not in one component yet."""
-    a, b = (parts.select(F.col("id").alias(k), F.col("component").alias(f"_{k}")) for k in "ab")
-    found = skew_join(skew_join(pairs, a, ["a"], "left"), b, ["b"], "left")
-    return found.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    The sets of b join first: a hub is the a of many pairs, and its set is then read
+    beside them instead of being copied into a shuffle for each.
+    """
+    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    joined = skew_join(skew_join(pairs.select("a", "b"), right, ["b"]), left, ["a"])
+    joined = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("x"), (F.size("sa") + F.size("sb")).alias("both"))
+    return joined.where(F.col("x") * 100 >= (F.col("both") - F.col("x")) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -128,13 +121,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     Equal shingle sets are one node first, named by their smallest doc_id, so
     copies never meet as pairs. Nodes sharing a key try the key's smallest node, its
     hub: the hub of most shared keys first, then those in other components.
-    Candidates within the signature distance are confirmed on full sets. Last, all
+    Candidates within the signature distance are confirmed on full sets, which are
+    hashed once for all nodes that share a key. Last, all
     pairs of a key that lie in different components are tried too (pairs already
     joined cannot change a component), so no link is lost to the hubs.
 
     Null or empty texts have no shingles and link with nothing; rows with a null
     doc_id keep their count, take part in no link, get a null component_id and
-    are kept. Repeated rows stay rows. Other columns of ``docs`` are ignored.
+    are kept. Repeated rows stay rows; rows of one doc_id with different texts are one
+    document that links by any of them. Other columns of ``docs`` are ignored. An empty
+    table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(docs.mapInArrow(_describe(width), SET_SCHEMA))
@@ -144,45 +140,53 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = materialize(skew_join(keys, hubs, ["key"]))
     sigs = nodes.select("id", "n", *_SIG)
+    wanted = materialize(shared.select(F.col("id").alias("doc_id")).distinct())
+    sets = materialize(docs.join(small_side(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, shingles array<long>"))
 
     # A node first tries the hub that it shares most keys with; that settles most groups.
-    stars = materialize(shared.where("id != hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("keys")))
+    stars = shared.where("id != hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("keys"))
     best = stars.groupBy("b").agg(F.min_by("a", F.struct(-F.col("keys"), "a")).alias("a"))
-    tried, links, parts = None, None, None
-    for more in (best, stars.select("a", "b")):
-        if parts is not None:
-            more = _apart(more, parts).join(tried, ["a", "b"], "left_anti")
-        close = more.join(sigs.alias("x"), F.col("b") == F.col("x.id")).join(sigs.alias("y"), F.col("a") == F.col("y.id"))
-        close = materialize(close.where(_close("x", "y", percent)).select("a", "b"))
-        found = _confirm(close, docs, width, percent)
-        tried, links = (close, found) if tried is None else (tried.union(close), found.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        parts = materialize(connected_components(links, "a", "b"))
-
+    parts = smaller_reachable(_confirm(best, sets, percent), "a", "b")
+    labelled = materialize(skew_join(shared, parts, ["id"], "left").withColumn("component", F.coalesce("component", "id")))
+
+    # Then the hubs of other components.
+    others = labelled.where("id != hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.first("component").alias("part"))
+    others = skew_join(others, parts.select(F.col("id").alias("a"), "component"), ["a"], "left").where(F.col("part") != F.coalesce("component", "a"))
+    close = skew_join(skew_join(others.select("a", "b"), _named(sigs, "b"), ["b"]), _named(sigs, "a"), ["a"]).where(_close(percent))
+    more = _confirm(close, sets, percent)
+    links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+    parts = smaller_reachable(links, "a", "b")
     labelled = skew_join(shared.where("members > 2").select("id", "slot", "key"), parts, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     labelled = materialize(labelled)
+
     # Of a key's components one is the main one; every pair of two components has a row outside of it.
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("size", "component")).alias("main")).where("components > 1").select("key", "main")
     rows = skew_join(skew_join(labelled, mixed, ["key"]), sigs, ["id"])
     rows = materialize(rows.withColumn("aside", F.col("component") != F.col("main")))
-    chunk = F.floor(F.col("x.slot") / LANES)
+    chunk = F.floor(F.col("slot_a") / LANES)
     # A pair is taken at the first key that it shares, so it is made once.
-    first = (_at(chunk, [_differing(f"x.{c}", f"y.{c}") for c in _CHUNK]) > 0) | (F.col("x.slot") % LANES == 0)
+    first = (_at(chunk, [_differing(f"{c}_a", f"{c}_b") for c in _CHUNK]) > 0) | (F.col("slot_a") % LANES == 0)
     for i, c in enumerate(_CHUNK[:-1]):
-        first = first & ((chunk <= i) | (_differing(f"x.{c}", f"y.{c}") > 1))
-    once = ~F.col("x.aside") | (F.col("x.id") < F.col("y.id"))
-    more = rows.alias("x").join(rows.where("aside").alias("y"), (F.col("x.key") == F.col("y.key")) & once & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent) & first)
-    more = more.select(F.greatest("x.id", "y.id").alias("b"), F.least("x.id", "y.id").alias("a")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _confirm(materialize(more), docs, width, percent)
-    parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
-
-    named = nodes.select("h1", "h2", "id").join(parts, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
+        first = first & ((chunk <= i) | (_differing(f"{c}_a", f"{c}_b") > 1))
+    once = ~F.col("aside_a") | (F.col("a") < F.col("b"))
+    left, right = (_named(rows.select("id", "n", *_SIG, "key", "slot", "component", "aside"), k) for k in "ab")
+    more = left.join(right.where("aside_b"), (F.col("key_a") == F.col("key_b")) & once & (F.col("component_a") != F.col("component_b")) & _close(percent) & first)
+    more = _confirm(more.select("a", "b"), sets, percent)
+    parts = smaller_reachable(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+
+    named = skew_join(nodes.select("h1", "h2", "id"), parts, ["id"], "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     alone = F.col("n_shingles").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     linked = skew_join(base.where(~alone).select("doc_id", "n_shingles", "h1", "h2"), named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     rest = base.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _named(nodes: DataFrame, end: str) -> DataFrame:
+    """Columns of ``nodes`` with the end's letter: id as the letter, others with it behind."""
+    return nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in nodes.columns if c != "id"])
+
+
 def _at(index: Column, values: list[Column]) -> Column:
     out = F.when(index == 0, values[0])
     for i, v in enumerate(values[1:], 1):
