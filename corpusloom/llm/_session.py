@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only below this many rows of two longs (about 40 MB as a hash table).
@@ -14,12 +14,17 @@ BROADCAST_ROWS = 1_000_000
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests on one machine, a temporary folder is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    session on one machine, as in tests, makes a temporary one; a cluster, whose
+    executors can't reach such a folder, gives an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+            folder = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -45,6 +50,11 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def constants(values: list[int]) -> Column:
+    """Array column of fixed numbers, in the plan as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def with_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """``df`` with its 0-based place in the total order, without one task for all rows.
 
@@ -59,5 +69,4 @@ def with_position(df: DataFrame, order: list, name: str = "position") -> DataFra
         before.extend([total] * (row["part"] + 1 - len(before)))
         before[row["part"]] = total
         total += row["count"]
-    starts = F.array(*[F.lit(x).cast("long") for x in before])
-    return rows.withColumn(name, F.get(starts, F.shiftright("_at", 33).cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    return rows.withColumn(name, F.get(constants(before), F.shiftright("_at", 33).cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")

@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._session import materialize, skew_join
+from corpusloom.llm._session import constants, materialize, with_position
 
 CAPACITY, EOS = 1024, 2
-#: Rows of one size that a task ranks, about.
-GROUP_ROWS = 500_000
 _encoders: dict[str, object] = {}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,36 +71,48 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(tokenizer_path, capacity, eos), PIECES)
 
 
-def _round(open_pieces: DataFrame, gaps: DataFrame, salts: int) -> DataFrame:
-    """Match pieces to gaps, one piece a gap: the largest piece first, each to its successor.
+def _ladder(counts: dict[tuple[int, int], int], capacity: int) -> tuple[list[int], list[int]]:
+    """By size * 2 + kind: rows before that size and kind in the walk, and the level there."""
+    starts, levels = [0] * (2 * capacity + 2), [0] * (2 * capacity + 2)
+    place = level = 0
+    for size, kind in sorted(counts, key=lambda c: (-c[0], c[1])):
+        starts[2 * size + kind], levels[2 * size + kind] = place, level
+        place += counts[size, kind]
+        level += counts[size, kind] * (1 if kind == 0 else -1)
+    return starts, levels
 
-    Sizes are walked downwards, gaps before pieces of the same size. A gap raises
-    the level by one, a piece lowers it; a piece takes the last gap that raised the
-    level to where the piece finds it, which is the smallest free gap that holds
-    it. A row's level comes from its rank within its size and the counts of the
-    larger sizes, so every row finds its partner by one sort within its level.
+
+def _round(open_pieces: DataFrame, slots: DataFrame, counts: dict[tuple[int, int], int], capacity: int) -> DataFrame:
+    """Match pieces to slots of gaps, one piece a slot: the largest piece first, each to its successor.
+
+    Sizes are walked downwards, slots before pieces of the same size. A slot raises
+    the level by one, a piece lowers it; a piece takes the last slot that raised the
+    level to where the piece finds it, which is the smallest free one that holds
+    it. Rows are range-sorted, so a row's place in the walk and the counts of the
+    larger sizes (``counts`` by size and kind) give its level, and every row finds its
+    partner by one sort within its level, to which a size adds two rows at most.
     """
-    rows = open_pieces.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.col("uid").alias("id"), "doc_id", "ids_crc32").union(
-        gaps.select(F.lit(0).alias("kind"), F.col("gap").alias("size"), F.col("seq").alias("id"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+    rows = open_pieces.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.col("uid").alias("id"), "doc_id", "ids_crc32", F.lit(None).cast("long").alias("gap")).union(
+        slots.select(F.lit(0).alias("kind"), F.col("size"), F.col("seq").alias("id"), F.lit(None).cast("long"), F.lit(None).cast("long"), "gap")
     )
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts).cast("long")))
-    counts = rows.groupBy("size", "kind", "salt").agg(F.count("*").alias("n"))
-    # At most 2 * capacity rows are in one task here, whatever the input.
-    sizes = counts.groupBy("size", "kind").agg(F.sum("n").alias("n")).withColumn("turn", F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n")))
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("turn").over(Window.orderBy(F.desc("size"), "kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy("size", "kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(sizes.select("size", "kind", "base"), ["size", "kind"]).select("size", "kind", "salt", "before", "base")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("size", "kind", "salt").orderBy("id"))).join(starts, ["size", "kind", "salt"])
-    place = F.col("before") + F.col("rank")
-    levels = ranked.withColumn("level", F.when(F.col("kind") == 0, F.col("base") + place).otherwise(F.col("base") - place + 1))
+    rows = with_position(rows, [F.desc("size"), F.col("kind"), F.col("id")])
+    starts, levels = (constants(x) for x in _ladder(counts, capacity))
+    at = (F.col("size") * 2 + F.col("kind")).cast("int")
+    place, base = F.col("position") - F.get(starts, at), F.get(levels, at)
+    rows = rows.withColumn("level", F.when(F.col("kind") == 0, base + place + 1).otherwise(base - place))
     turn = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
-    return levels.select(
-        "kind", "size", "id", "doc_id", "ids_crc32",
-        F.lag("kind").over(turn).alias("gap_kind"), F.lag("id").over(turn).alias("gap_id"), F.lag("size").over(turn).alias("gap_size"),
-        F.lead("kind").over(turn).alias("next_kind"), F.lead("size").over(turn).alias("next_size"),
+    return rows.select(
+        "kind", "size", "id", "doc_id", "ids_crc32", "gap",
+        F.lag("kind").over(turn).alias("gap_kind"), F.lag("id").over(turn).alias("gap_id"),
+        F.when(F.lead("kind").over(turn) == 1, F.lead("size").over(turn)).otherwise(F.lit(0)).alias("taken"),
     )
 
 
+def _parts(gap: int, longest: int, most: int) -> int:
+    """Slots of a gap, as ``_slots`` has it."""
+    return max(1, min(gap // longest, most))
+
+
 def _slots(gaps: DataFrame, longest: int, most: int) -> DataFrame:
     """A row for each equal part of a gap: as many as hold the longest waiting piece, ``most`` at most.
 
@@ -110,7 +120,7 @@ def _slots(gaps: DataFrame, longest: int, most: int) -> DataFrame:
     takes several pieces in a round.
     """
     parts = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / longest), F.lit(most))).cast("int")
-    return gaps.withColumn("parts", parts).select("seq", F.floor(F.col("gap") / F.col("parts")).alias("gap"), F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part")).drop("part")
+    return gaps.withColumn("parts", parts).select("seq", "gap", F.floor(F.col("gap") / F.col("parts")).alias("size"), F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part")).drop("part")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -128,7 +138,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = [pieces.where(F.col("length") * 2 > capacity).select(*columns, F.col("uid").alias("sequence_id"))]
     small = pieces.where(F.col("length") * 2 <= capacity).select("uid", "doc_id", "length", "ids_crc32")
     gaps = pieces.where((F.col("length") * 2 > capacity) & (F.col("length") < capacity)).select(F.col("uid").alias("seq"), (F.lit(capacity).cast("long") - F.col("length")).alias("gap"))
-    salts, opened = max(8, pieces.count() // GROUP_ROWS), 0
+    opened = 0
     waiting, free = _sizes(small, gaps)
     while waiting:
         stuck = sum(k * n for k, n in waiting.items() if k > max(free, default=0))
@@ -138,14 +148,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             gaps, opened = gaps.union(fresh), opened + n
             free[capacity] = free.get(capacity, 0) + n
         # Pieces only get fewer, so a gap below the least of them is done with.
+        free = {k: n for k, n in free.items() if k >= min(waiting)}
         gaps = gaps.where(F.col("gap") >= min(waiting))
-        most = -(-2 * sum(waiting.values()) // sum(n for k, n in free.items() if k >= min(waiting)))
-        done = materialize(_round(small, _slots(gaps, max(waiting), most), salts))
+        longest, most = max(waiting), -(-2 * sum(waiting.values()) // sum(free.values()))
+        counts = {(k, 1): n for k, n in waiting.items()}
+        for k, n in free.items():
+            parts = _parts(k, longest, most)
+            counts[k // parts, 0] = counts.get((k // parts, 0), 0) + n * parts
+        done = materialize(_round(small, _slots(gaps, longest, most), counts, capacity))
         taken = F.coalesce(F.col("gap_kind") == 0, F.lit(False))
         placed.append(done.where((F.col("kind") == 1) & taken).select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("size").alias("length"), "ids_crc32", F.col("gap_id").alias("sequence_id")))
         small = done.where((F.col("kind") == 1) & ~taken).select(F.col("id").alias("uid"), "doc_id", F.col("size").alias("length"), "ids_crc32")
-        used = done.where("kind = 0 and next_kind = 1").groupBy(F.col("id").alias("seq")).agg(F.sum("next_size").alias("used"))
-        gaps = materialize(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
+        gaps = materialize(done.where("kind = 0").groupBy(F.col("id").alias("seq")).agg((F.max("gap") - F.sum("taken")).alias("gap")).where("gap > 0"))
         waiting, free = _sizes(small, gaps)
     out = placed[0]
     for part in placed[1:]:
