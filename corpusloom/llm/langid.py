@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._session import materialize
-
 #: Documents of each language that the model is fitted on, at most about this many.
 FIT_DOCS = 4000
 BUCKETS, ORDER, SMOOTH = 1 << 15, 3, 0.05
@@ -127,18 +125,29 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
     return langs, table / table.sum(0)
 
 
+def _model(rows: DataFrame, fit_docs: int):
+    """Broadcast of the languages and the model learned from ``rows`` (doc_id, text, lang, held_out)."""
+    known = ~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
+    langs, model = fit(rows.where(known).select("doc_id", "text", "lang"), fit_docs)
+    return rows.sparkSession.sparkContext.broadcast((langs, model.astype(np.float32)))
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+
+
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
     Documents whose crc32(doc_id) mod 4 is 2 are held out of the fit; so are null
     texts, null languages and null ids (which count as not held out). Only the text
     is looked at for a prediction. Null texts, texts without a letter, and all
-    texts where nothing could be learned, get ``und`` with score 0.
+    texts where nothing could be learned, get ``und`` with score 0. Repeated rows stay
+    rows, other columns are ignored, and an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
-    langs, model = fit(rows.where(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), fit_docs)
-    small = docs.sparkSession.sparkContext.broadcast((langs, model.astype(np.float32)))
+    rows = _described(docs)
+    small = _model(rows, fit_docs)
 
     def run(batches):
         names, table = small.value
@@ -149,12 +158,31 @@ def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or scores below ``least``.
+def explained(text: str | None, model: np.ndarray) -> bool:
+    """Whether a mixture of the languages fits ``text`` better than trigrams drawn evenly."""
+    if not text or model.shape[1] == 0 or not any(c.isalpha() for c in text):
+        return False
+    buckets, counts = ngram_counts(text)
+    shares, _ = mixture(buckets, counts, model)
+    mixed = model[buckets][:, list(shares)] @ np.array(list(shares.values()))
+    return float(counts @ np.log(mixed)) > -float(counts.sum()) * math.log(BUCKETS)
+
+
+def keep_identified(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """``docs`` without the rows that no mixture of the known languages explains.
 
-    Of rows that share a doc_id all go if one of them does; null ids stay.
+    A row goes if its text is null, has no letter, or is likelier as evenly drawn
+    trigrams than under the best set of languages; how a text's languages share it
+    doesn't matter. Every row is judged by its own text in one pass, so nothing is
+    shuffled; null and repeated ids stay, columns of any name keep their values, and an
+    empty table gives no rows.
     """
-    rejected = materialize(identify(docs, fit_docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).where("doc_id is not null").select("doc_id").distinct())
-    from corpusloom.llm._session import small_side
+    small = _model(_described(docs), fit_docs)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        _, table = small.value
+        for batch in batches:
+            yield batch.filter(pa.array([explained(x.as_py(), table) for x in batch.column(at)], pa.bool_()))
 
-    return docs.join(small_side(rejected, rejected.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)

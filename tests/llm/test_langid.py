@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import zlib
 
@@ -26,6 +28,10 @@ def corpus(seed=0, n=400):
     return rows
 
 
+def text(rng, lang, n):
+    return " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+
+
 def truth(text):
     return max(WORDS, key=lambda k: sum(w in WORDS[k] for w in text.split()))
 
@@ -70,3 +76,48 @@ def test_mixture_recovers_proportions():
     assert set(shares) == {0, 2} and abs(shares[0] - 0.7) < 0.03
     single = rng.multinomial(20_000, model[:, 1])
     assert set(langid.mixture(np.flatnonzero(single), single[single > 0], model)[0]) == {1}
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    rng = random.Random(8)
+    known = [(i, text(rng, k, 80), k) for i in range(300) for k in [rng.choice(sorted(WORDS))]]
+    mixed = " ".join(text(rng, k, 40) for k in sorted(WORDS))
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzßñ0123456789") for _ in range(9)) for _ in range(60))
+    rows = known + [(500, mixed, None), (501, noise, None), (502, "--- 12 ---", "en"), (503, None, "en"), (503, mixed, "en"), (None, mixed, None), (None, noise, None)]
+    docs = frame(spark, rows)
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.where("doc_id is null or doc_id >= 500").collect()), key=str) == [500, 503, None]
+    assert kept.where("doc_id < 500").count() == len(known)
+
+
+def test_identify_matches_a_plain_recount(spark):
+    """Model, likelihoods and mixture weights recomputed by dictionaries and plain loops."""
+    rng = random.Random(9)
+    rows = [(i, text(rng, k, rng.choice([3, 20, 60])), k) for i in range(200) for k in [rng.choice(sorted(WORDS))]]
+    got = {r.doc_id: r for r in langid.identify(frame(spark, rows)).collect()}
+    counts = {}
+    for i, t, k in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for b, n in zip(*langid.ngram_counts(t)):
+                counts.setdefault(k, {}).setdefault(int(b), 0)
+                counts[k][int(b)] += int(n)
+    langs = sorted(counts)
+    total = {k: sum(counts[k].values()) + langid.SMOOTH * langid.BUCKETS for k in langs}
+    for i, t, _ in rows:
+        grams = [(int(b), int(n)) for b, n in zip(*langid.ngram_counts(t))]
+        p = {k: [(counts[k].get(b, 0) + langid.SMOOTH) / total[k] for b, _ in grams] for k in langs}
+        single = {k: sum(n * math.log(x) for (_, n), x in zip(grams, p[k])) for k in langs}
+        # Every set of languages, each with its weights by many EM steps; the best by penalised likelihood.
+        best, lang = None, None
+        size = sum(n for _, n in grams)
+        for m in range(1, len(langs) + 1):
+            for chosen in itertools.combinations(langs, m):
+                w = {k: 1 / m for k in chosen}
+                for _ in range(200 if m > 1 else 1):
+                    mix = [sum(w[k] * p[k][j] for k in chosen) for j in range(len(grams))]
+                    w = {k: sum(n * w[k] * p[k][j] / mix[j] for j, (_, n) in enumerate(grams)) / size for k in chosen}
+                value = sum(n * math.log(x) for (_, n), x in zip(grams, [sum(w[k] * p[k][j] for k in chosen) for j in range(len(grams))])) - (m - 1) * (langid.PENALTY + langid.PENALTY_SHARE * size)
+                if best is None or value > best:
+                    best, lang = value, max(w, key=w.get)
+        assert got[i].lang_pred == lang, (i, single)
