@@ -17,27 +17,48 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that holds half of the text, go."""
+    """Documents that no mixture of the known languages explains go.
+
+    Null texts, texts without a letter and noise go; null and repeated ids, ties
+    and columns of any name stay as they are; an empty table gives no rows.
+    """
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays.
+
+    The smallest doc_id of a group stays, one row of it. Null and empty texts and
+    null ids all stay, columns of any name keep their values; an empty table gives no rows.
+    """
     return neardup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; every document stays."""
+    """Secrets are masked in the texts; every document stays.
+
+    Null and empty texts, repeated rows and columns of any name stay as they are; an
+    empty table gives no rows.
+    """
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as the mix takes them, repeats as rows of their own."""
+    """Documents stay as often as the mix takes them, repeats as rows of their own.
+
+    Null and wordless texts have no words to be taken and go; a null source counts as
+    the last one; every row goes by its own decision, also where ids repeat or are
+    null; columns of any name keep their values; an empty table gives no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences.
+
+    Null and empty texts are one-id documents, repeated rows and null ids documents of
+    their own; other columns are left; an empty table gives no rows.
+    """
     return packing.pack(docs, TOKENIZER)
 
 
