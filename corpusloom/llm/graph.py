@@ -43,12 +43,27 @@ def smaller_reachable(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     return whole
 
 
+def forest_roots(parents: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
+    """Root of every node of a forest, whose nodes have one smaller parent each: ``id``, ``component``."""
+    return _rooted(parents.select(F.col(node).alias("u"), F.col(parent).alias("hook"))).select(F.col("u").alias("id"), F.col("root").alias("component"))
+
+
 def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     """``labels`` whose column ``component`` follows ``found`` (id, component) one step on."""
     step = found.select(F.col("id").alias("component"), F.col("component").alias("_next"))
     return skew_join(labels, step, ["component"], "left").withColumn("component", F.coalesce("_next", "component")).select(*labels.columns)
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after components that ``links`` (u, v) join are one.
+
+    Components that so far were one node only have no row in ``labels``; they get one.
+    """
+    found = materialize(smaller_reachable(links, "u", "v"))
+    fresh = found.join(labels.select("id"), "id", "left_anti")
+    return materialize(relabelled(labels, found).union(fresh))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest reachable id of every id in ``edges``: columns ``id`` and ``component``.
 

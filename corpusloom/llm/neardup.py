@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._session import materialize, skew_join, small_side
-from corpusloom.llm.graph import smaller_reachable
+from corpusloom.llm.graph import forest_roots, merged
 from corpusloom.llm.wordhash import mix, shingle_sets, sliced
 
 CHUNKS, LANES, SYMBOL_BITS = 10, 6, 9
@@ -104,15 +104,15 @@ def _close(percent: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the similarity.
+    """Rows of ``pairs`` (a, b and others) whose full shingle sets reach the similarity.
 
     The sets of b join first: a hub is the a of many pairs, and its set is then read
     beside them instead of being copied into a shuffle for each.
     """
     left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    joined = skew_join(skew_join(pairs.select("a", "b"), right, ["b"]), left, ["a"])
-    joined = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("x"), (F.size("sa") + F.size("sb")).alias("both"))
-    return joined.where(F.col("x") * 100 >= (F.col("both") - F.col("x")) * percent).select("a", "b")
+    joined = skew_join(skew_join(pairs, right, ["b"]), left, ["a"])
+    joined = joined.select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).alias("x"), (F.size("sa") + F.size("sb")).alias("both"))
+    return joined.where(F.col("x") * 100 >= (F.col("both") - F.col("x")) * percent).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -146,16 +146,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     # A node first tries the hub that it shares most keys with; that settles most groups.
     stars = shared.where("id != hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("keys"))
     best = stars.groupBy("b").agg(F.min_by("a", F.struct(-F.col("keys"), "a")).alias("a"))
-    parts = smaller_reachable(_confirm(best, sets, percent), "a", "b")
+    parts = forest_roots(materialize(_confirm(best, sets, percent)), "b", "a")
     labelled = materialize(skew_join(shared, parts, ["id"], "left").withColumn("component", F.coalesce("component", "id")))
 
     # Then the hubs of other components.
     others = labelled.where("id != hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.first("component").alias("part"))
     others = skew_join(others, parts.select(F.col("id").alias("a"), "component"), ["a"], "left").where(F.col("part") != F.coalesce("component", "a"))
-    close = skew_join(skew_join(others.select("a", "b"), _named(sigs, "b"), ["b"]), _named(sigs, "a"), ["a"]).where(_close(percent))
-    more = _confirm(close, sets, percent)
-    links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-    parts = smaller_reachable(links, "a", "b")
+    others = others.select("a", "b", F.col("part").alias("v"), F.coalesce("component", "a").alias("u"))
+    close = skew_join(skew_join(others, _named(sigs, "b"), ["b"]), _named(sigs, "a"), ["a"]).where(_close(percent)).select(*others.columns)
+    parts = merged(parts, _confirm(close, sets, percent).select("u", "v"))
     labelled = skew_join(shared.where("members > 2").select("id", "slot", "key"), parts, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     labelled = materialize(labelled)
 
@@ -172,8 +171,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     once = ~F.col("aside_a") | (F.col("a") < F.col("b"))
     left, right = (_named(rows.select("id", "n", *_SIG, "key", "slot", "component", "aside"), k) for k in "ab")
     more = left.join(right.where("aside_b"), (F.col("key_a") == F.col("key_b")) & once & (F.col("component_a") != F.col("component_b")) & _close(percent) & first)
-    more = _confirm(more.select("a", "b"), sets, percent)
-    parts = smaller_reachable(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+    more = _confirm(more.select("a", "b", F.col("component_a").alias("u"), F.col("component_b").alias("v")), sets, percent)
+    parts = merged(parts, more.select("u", "v"))
 
     named = skew_join(nodes.select("h1", "h2", "id"), parts, ["id"], "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     alone = F.col("n_shingles").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
