@@ -1,10 +1,13 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 A page is cut into lines at block-level tags; each line knows its text, how much
-of it stands in links, and whether boilerplate markup holds it. Lengths of the
-remaining text are summed over windows that look ahead and back. The text starts
-where the sum first surges and ends where it last dives. Lines in between are kept
-whole, however short or linked they are.
+of it stands in links, and which markup holds it. Boilerplate markup is stripped
+with its text. Every remaining line has a weight: its length without links, more
+inside of prose elements and of an article's element, less outside of that element
+where a page has one. Weights are summed over windows that look ahead and back. The
+text starts at the first line that carries a window whose sum surges and ends at the
+last one before the sums dive for good. Lines in between are kept whole, however
+short or linked they are.
 """
 
 from __future__ import annotations
@@ -17,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
+#: Least weight of a line that starts or ends the text; what prose elements and an article's
+#: element add to a weight; the part of a weight that counts outside of that element.
+CARRY, PROSE_BONUS, HOLDER_BONUS, OUTER = 20, 40, 40, 0.25
 # Elements whose text is never shown or never part of an article, those
 # that hold an article, and those inside of a line.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea button datalist".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 HOLDERS = frozenset("article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Their ids are slugs of titles inside of an article.
 TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,8 +43,9 @@ NOISE = re.compile(
 HEADER = re.compile(r"(?:^|[-_\s])(?:header|masthead|head)(?:$|[-_\s])", re.I)
 ABSENT = re.compile(r"\b(?:no|has|with|without|hide|hides)[-_]\S+", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z](?:[^>]*)\Z", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# A quote opens a value only behind an equals sign; elsewhere it is a plain character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|</?[A-Za-z](?:[^>]*)\Z", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = {t: re.compile(rf"</{t}\s*[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 
 
@@ -49,6 +57,8 @@ def _noisy(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
         if name == "role" and value in ROLES:
@@ -62,9 +72,9 @@ def _noisy(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Lines outside of boilerplate: text, characters of it in links, held by an article."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Lines outside of boilerplate: text, characters of it in links, held by an article, by prose."""
+    out: list[tuple[str, int, bool, bool]] = []
     words: list[str] = []
     linked = links = holders = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, holder
@@ -74,7 +84,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            out.append((text, min(linked, len(text)), holders > 0))
+            block = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
+            out.append((text, min(linked, len(text)), holders > 0, block in PROSE))
         words.clear()
         linked = 0
 
@@ -133,24 +144,45 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def weights(lines: list[tuple[str, int, bool, bool]]) -> list[float]:
+    """Weight of each line; 0 for short lines that are links for the most part."""
+    article = any(inside for _, _, inside, _ in lines)
+    out = []
+    for text, linked, inside, prose in lines:
+        if linked >= LINK_SHARE * len(text) and len(text) <= 4 * SURGE:
+            out.append(0.0)
+        else:
+            n = len(text) - linked + (PROSE_BONUS if prose else 0)
+            out.append(n + HOLDER_BONUS if inside else n * OUTER if article else float(n))
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The page's article: its lines from the surge to the dive, joined by spaces."""
+    """The page's main text: its lines from the surge to the dive, joined by spaces."""
     lines = lines_of(page or "")
-    if any(inside for _, _, inside in lines):
-        # The article's own element bounds it.
-        return " ".join(t for t, _, inside in lines if inside)
+    every = weights(lines)
     # Lines of links count only for what lies outside of the range.
-    texts = [i for i, x in enumerate(lines) if x[1] < LINK_SHARE * len(x[0]) or len(x[0]) > 4 * surge]
-    sizes = [len(lines[i][0]) - lines[i][1] for i in texts]
-    ahead = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    around = [max(n, sum(sizes[max(0, i + 1 - window) : i + 1])) for i, n in enumerate(ahead)]
-    surges = [i for i, n in enumerate(around) if n >= surge]
-    if not surges:
-        return " ".join(lines[i][0] for i in texts) if sum(sizes) else ""
-    first, last = next(i for i, n in enumerate(ahead) if n >= surge), surges[-1]
-    while last + 1 < len(sizes) and around[last + 1] >= min(surge, 20):
+    texts = [i for i, n in enumerate(every) if n > 0]
+    sizes = [every[i] for i in texts]
+    sums = [0.0]
+    for n in sizes:
+        sums.append(sums[-1] + n)
+    ahead = [sums[min(len(sizes), i + window)] - sums[i] for i in range(len(sizes))]
+    behind = [sums[i + 1] - sums[max(0, i + 1 - window)] for i in range(len(sizes))]
+    first = next((i for i, n in enumerate(ahead) if n >= surge and sizes[i] >= CARRY), None)
+    last = next((i for i in reversed(range(len(sizes))) if behind[i] >= surge and sizes[i] >= CARRY), None)
+    if first is None or last is None or last < first:
+        # No window surges: a page as short as this has no other text.
+        return " ".join(lines[i][0] for i in texts)
+    inside = lambda k: lines[texts[k]][2]
+    # One short line alone beside the text is its title or its close; several are a menu.
+    if first == 1 and inside(0) == inside(1):
+        first = 0
+    if last == len(texts) - 2 and inside(last) == inside(last + 1):
         last += 1
-    return " ".join(t for t, _, _ in lines[texts[first] : texts[last] + 1])
+    article = any(x[2] for x in lines)
+    kept = [i for i in range(texts[first], texts[last] + 1) if not article or lines[i][2] or every[i] >= surge]
+    return " ".join(lines[i][0] for i in kept)
 
 
 def _extract(batches):
