@@ -79,7 +79,7 @@ TOPK_SQL = f"""
 WITH codes AS ({_SCALED}),
 scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.code, v.code)::BIGINT AS score
-  FROM codes q JOIN codes v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.code) = len(v.code)
+  FROM (SELECT DISTINCT * FROM codes WHERE vec_id % 20 = 0) q JOIN codes v ON q.vec_id <> v.vec_id AND len(q.code) = len(v.code)
 )
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored

@@ -22,11 +22,12 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def _matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids ascending and their rows; equal rows once. The last two columns hold them."""
+    """Ids ascending and their rows. The last two columns hold them."""
     codes = table.column(4).combine_chunks()
     x = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), dim)
-    both = np.unique(np.column_stack([table.column(3).to_numpy(), x]), axis=0)
-    return both[:, 0], both[:, 1:]
+    ids = table.column(3).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
 
 
 def _tile(k: int):
@@ -65,10 +66,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     one tile and one shard, multiplies them and keeps k per query, and lists of
     FAN_IN shards are merged at a time. Ties go to the smaller vec_id. A query's
     own vec_id is no candidate; fewer candidates give fewer rows. Vectors of
-    another length than the query's are no candidates. Rows repeated with the same
-    vec_id and vector count once. Empty inputs give no rows.
+    another length than the query's are no candidates. Every row of ``vectors`` is a
+    candidate, repeated ones too; a query repeated with the same vec_id and code is
+    one query. Empty inputs give no rows.
     """
-    queries, vectors = (materialize(x.select("vec_id", "code", F.size("code").alias("dim"))) for x in (queries, vectors))
+    queries, vectors = (materialize(x.select("vec_id", "code", F.size("code").alias("dim"))) for x in (queries.select("vec_id", "code").distinct(), vectors))
     n_queries, n = queries.count(), vectors.count()
     tiles = max(1, -(-n_queries // QUERY_TILE))
     shards = max(1, -(-n // SHARD_TILE), min(parallelism(vectors.sparkSession), -(-n // LEAST_TILE)))
