@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._session import materialize, skew_join
@@ -15,6 +15,20 @@ _PER_LONG = 64 // BITS
 _SIG = [f"s{i}" for i in range(TABLES // _PER_LONG)]
 
 
+def _mask(slot: int) -> Column:
+    """The bits of a table's code in its long, ``slot`` codes from the low end."""
+    bits = ((1 << BITS) - 1) << (BITS * slot)
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+
+
+def _first_table(xored: list[Column]) -> Column:
+    """Number of the first table whose codes agree, from the signatures' differing bits."""
+    out = F
+    for t in range(TABLES):
+        out = out.when(xored[t // _PER_LONG].bitwiseAND(_mask(t % _PER_LONG)) == 0, t)
+    return out
+
+
 def _planes(dim: int) -> np.ndarray:
     return np.random.default_rng([7_919, dim]).standard_normal((dim, TABLES * BITS))
 
@@ -49,7 +63,7 @@ def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataF
     """One row per row of ``vectors`` (vec_id, embedding, label): n_links, component_id, kept.
 
     Vectors of one label that agree on the BITS sign bits of any of TABLES tables
-    are candidates; those whose whole signatures are within ``hamming_limit`` are
+    are candidates, each pair in the first such table; those whose whole signatures are within ``hamming_limit`` are
     confirmed by the cosine in double precision. Equal vectors of a label are one
     node with a count, so copies never meet as pairs. At cosine 0.93 a pair is
     missed with a chance of about 0.004, less the nearer it is.
@@ -69,10 +83,13 @@ def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataF
     signed = nodes.select("node", "label", "vector").mapInArrow(_signs, f"node long, label string, vector array<double>, {', '.join(f'{c} long' for c in _SIG)}")
     signed = materialize(signed.select("node", "label", F.size("vector").alias("dim"), *_SIG))
     code = [F.shiftrightunsigned(F.col(_SIG[t // _PER_LONG]), BITS * (t % _PER_LONG)).bitwiseAND(F.lit((1 << BITS) - 1)) for t in range(TABLES)]
-    keys = signed.select("node", *_SIG, F.explode(F.array(*[F.xxhash64("label", "dim", F.lit(t), c) for t, c in enumerate(code)])).alias("key"))
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _SIG[1:]), F.bit_count(F.col(f"x.{_SIG[0]}").bitwiseXOR(F.col(f"y.{_SIG[0]}"))))
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (apart <= hamming_limit(threshold)))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    keys = signed.select("node", *_SIG, F.posexplode(F.array(*[F.xxhash64("label", "dim", F.lit(t), c) for t, c in enumerate(code)])).alias("table", "key"))
+    xored = [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in _SIG]
+    apart = sum((F.bit_count(x) for x in xored[1:]), F.bit_count(xored[0]))
+    # A pair is taken in the first table whose codes agree, so it is made once.
+    first = _first_table(xored) == F.col("x.table")
+    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (apart <= hamming_limit(threshold)) & first)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     known = nodes.select("node", "label", "vector", "copies", F.sqrt(square).alias("norm"))
     left, right = (known.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in known.columns[1:]]) for k in "ab")
