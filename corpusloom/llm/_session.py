@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only below this many rows of two longs (about 40 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
+#: Whole texts that go to Python at a time where an operator computes a table of its own.
+TEXT_ROWS = 1000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -29,6 +32,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS):
+    """Eager work inside sends at most ``rows`` rows at a time to Python; the session's own limit stays if lower.
+
+    Batches of whole texts stand outside of the JVM's heap, several times over.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session works with."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._session import text_batches
+
 #: Documents of each language that the model is fitted on, at most about this many.
 FIT_DOCS = 4000
 BUCKETS, ORDER, SMOOTH = 1 << 15, 3, 0.05
@@ -24,17 +26,42 @@ STEPS, CLOSE = 30, 1e-4
 UNKNOWN = "und"
 
 
+#: Code points of a text that are hashed at a time.
+PART = 1 << 18
+
+
+def _parts(text: str):
+    """Letters of the lower-cased text as code points, other characters taken as one space, in parts.
+
+    Each part but the first begins with the last ORDER - 1 points of the one before.
+    """
+    tail, at = np.full(1, 32, np.uint64), 0
+    while at < len(text):
+        points = np.frombuffer(text[at : at + PART].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _letters(points)
+        before = np.concatenate([[tail[-1] != 32 or at == 0], letter[:-1]])
+        at += PART
+        part = np.concatenate([tail, np.where(letter, points, 32)[letter | before].astype(np.uint64)])
+        yield part if at < len(text) else np.append(part, np.uint64(32))
+        tail = part[-(ORDER - 1) :]
+    if not text:
+        yield np.full(2, 32, np.uint64)
+
+
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character trigrams of the lower-cased letters, other characters taken as one space."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = _letters(points)
-    keep = letter | np.concatenate([[True], letter[:-1]])
-    x = np.concatenate([[32], np.where(letter, points, 32)[keep], [32]]).astype(np.uint64)
-    h = np.zeros(max(0, len(x) - ORDER + 1), np.uint64)
-    for j in range(ORDER):
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (x[j : j + len(h)] * np.uint64(0xBF58476D1CE4E5B9))
-        h ^= h >> np.uint64(29)
-    return np.unique((h >> np.uint64(7)) & np.uint64(BUCKETS - 1), return_counts=True)
+    """Hashed character trigrams of the whole text and their counts."""
+    total = np.zeros(BUCKETS, np.int64) if len(text) > PART else None
+    for x in _parts(text):
+        h = np.zeros(max(0, len(x) - ORDER + 1), np.uint64)
+        for j in range(ORDER):
+            h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (x[j : j + len(h)] * np.uint64(0xBF58476D1CE4E5B9))
+            h ^= h >> np.uint64(29)
+        h = (h >> np.uint64(7)) & np.uint64(BUCKETS - 1)
+        if total is None:
+            return np.unique(h, return_counts=True)
+        total += np.bincount(h.astype(np.int64), minlength=BUCKETS)
+    found = np.flatnonzero(total)
+    return found.astype(np.uint64), total[found]
 
 
 _is_letter: list[np.ndarray] = []
@@ -120,7 +147,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
     langs = sorted(sizes)
     place = {k: i for i, k in enumerate(langs)}
     table = np.full((BUCKETS, len(langs)), SMOOTH)
-    for r in counted.collect():
+    with text_batches(docs.sparkSession):
+        found = counted.collect()
+    for r in found:
         table[r["bucket"], place[r["lang"]]] += r["n"]
     return langs, table / table.sum(0)
 
@@ -178,11 +207,11 @@ def keep_identified(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     empty table gives no rows.
     """
     small = _model(_described(docs), fit_docs)
-    at = docs.columns.index("text")
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def fits(texts: pa.Array) -> pa.Array:
         _, table = small.value
-        for batch in batches:
-            yield batch.filter(pa.array([explained(x.as_py(), table) for x in batch.column(at)], pa.bool_()))
+        return pa.array([explained(x.as_py(), table) for x in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only the text goes to Python and only the verdict comes back.
+    return docs.where(fits(F.col("text").cast("string")))

@@ -90,7 +90,7 @@ def source_targets(sources: DataFrame, share: float = SHARE, repeats: int = REPE
     return placed.withColumn("target", F.least(F.col("weight") * level, F.col("cap"))).drop("position", "weight", "cap")
 
 
-def _taken(docs: DataFrame, payload: Column, share: float, repeats: int, seed: int) -> DataFrame:
+def _taken(docs: DataFrame, payload: Column, share: float, repeats: int, seed: int, slim: bool = False) -> DataFrame:
     """``payload`` of every row of ``docs`` with size, source_size, target and times.
 
     Only one shuffle moves the payload: rows are ranked within their source, size
@@ -100,7 +100,9 @@ def _taken(docs: DataFrame, payload: Column, share: float, repeats: int, seed: i
     source = F.col("source").cast("string")
     base = docs.select(payload.alias("payload"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("digest"), source.alias("source"), size.alias("size"))
     base = base.withColumn("skey", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source")))).withColumn("h", F.xxhash64(F.lit(seed), "id", "size"))
-    salts = max(16, docs.count() // GROUP_ROWS)
+    if slim:
+        base = materialize(base)
+    salts = max(16, (base if slim else docs).count() // GROUP_ROWS)
     base = base.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), "h", "digest"), F.lit(salts).cast("long")))
     groups = materialize(base.groupBy("skey", "source", "size", "salt").agg(F.count("*").alias("n")))
     lengths = groups.groupBy("skey", "source", "size").agg(F.sum("n").alias("n"))
@@ -128,7 +130,7 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, seed: int
     of the hash go by doc_id, then by text; repeated rows are documents of their own. An empty
     table gives no rows. The same rows give the same result on every run.
     """
-    rows = _taken(docs, F.col("doc_id"), share, repeats, seed)
+    rows = _taken(docs, F.col("doc_id"), share, repeats, seed, slim=True)
     return rows.select(F.col("payload").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._session import materialize, skew_join, small_side
+from corpusloom.llm._session import materialize, skew_join, small_side, text_batches
 from corpusloom.llm.graph import forest_roots, merged
 from corpusloom.llm.wordhash import mix, shingle_sets, sliced
 
@@ -50,8 +50,8 @@ def distance_limit(percent: int) -> int:
 
 def _signature(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     low = np.full(len(mul), np.iinfo(np.uint64).max)
-    for k in range(0, len(s), 1 << 12):
-        low = np.minimum(low, (s[None, k : k + (1 << 12)] * mul[:, None] + add[:, None]).min(1))
+    for k in range(0, len(s), 1 << 10):
+        low = np.minimum(low, (s[None, k : k + (1 << 10)] * mul[:, None] + add[:, None]).min(1))
     symbols, packed = mix(low), []
     for part, bits, lanes in ((symbols[: CHUNKS * LANES], SYMBOL_BITS, LANES), (symbols[CHUNKS * LANES :], MORE_BITS, MORE_LANES)):
         part = (part & np.uint64((1 << bits) - 1)).reshape(-1, lanes)
@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialize(docs.mapInArrow(_describe(width), SET_SCHEMA))
+    with text_batches(docs.sparkSession):
+        base = materialize(docs.mapInArrow(_describe(width), SET_SCHEMA))
     nodes = materialize(base.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in _SIG]))
     slots = F.array(*[F.struct(F.lit(i * LANES + k).alias("slot"), F.xxhash64(F.lit(i * LANES + k), F.col(c).bitwiseAND(F.lit(_FULL & ~(((1 << LANE) - 1) << (LANE * k))))).alias("key")) for i, c in enumerate(_CHUNK) for k in range(LANES)])
     keys = nodes.select("id", F.explode(slots).alias("s")).select("id", F.col("s.slot").alias("slot"), F.col("s.key").alias("key"))
@@ -141,7 +142,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     shared = materialize(skew_join(keys, hubs, ["key"]))
     sigs = nodes.select("id", "n", *_SIG)
     wanted = materialize(shared.select(F.col("id").alias("doc_id")).distinct())
-    sets = materialize(docs.join(small_side(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, shingles array<long>"))
+    with text_batches(docs.sparkSession):
+        sets = materialize(docs.join(small_side(wanted, wanted.count()), "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, shingles array<long>"))
 
     # A node first tries the hub that it shares most keys with; that settles most groups.
     stars = shared.where("id != hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("keys"))

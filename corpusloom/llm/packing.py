@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._session import constants, materialize, with_position
+from corpusloom.llm._session import constants, materialize, text_batches, with_position
 
 CAPACITY, EOS = 1024, 2
 _encoders: dict[str, object] = {}
@@ -133,7 +133,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     most. The driver sees counts by size, ``capacity`` of them at most.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()))
+    with text_batches(spark):
+        pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     placed = [pieces.where(F.col("length") * 2 > capacity).select(*columns, F.col("uid").alias("sequence_id"))]
     small = pieces.where(F.col("length") * 2 <= capacity).select("uid", "doc_id", "length", "ids_crc32")

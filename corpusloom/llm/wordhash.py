@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _BASE, _MIX1, _MIX2, _FOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -26,11 +28,29 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: Bytes that are hashed at a time, up to the end of a word.
+PART = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start byte and 64-bit hash of each word of ``data``, A-Z taken as a-z.
 
-    Words are runs of bytes other than space and 09 to 0D.
+    Words are runs of bytes other than space and 09 to 0D. Long data are hashed in
+    parts that end between words, so the memory is that of a part.
     """
+    at, starts, hashes = 0, [], []
+    while at < len(data) or not starts:
+        gap = _GAP.search(data, at + PART) if at + PART < len(data) else None
+        end = gap.start() if gap else len(data)
+        start, words = _part_hashes(data[at:end])
+        starts.append(start + at)
+        hashes.append(words)
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def _part_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(data, np.uint8)
     upper = (buf >= 65) & (buf <= 90)
     buf = np.where(upper, buf + 32, buf).astype(np.uint8)
