@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.inference import with_draws
+
 
 def softened(scores: Column, temperature: Column | float) -> Column:
     """Softmax of log probabilities divided by a temperature."""
@@ -58,37 +60,39 @@ def winners(probabilities: DataFrame) -> DataFrame:
     return probabilities.groupBy("segment_id").agg(F.min_by("label", F.struct(-F.col("p"), "label")).alias("predicted"), F.max("p").alias("confidence"))
 
 
+def _kappa_by_draw(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """draw, n and kappa from weighted counts (draw, labels, n)."""
+    c = cells.groupBy("draw", F.col(a).alias("x"), F.col(b).alias("y")).agg(F.sum("n").alias("n"))
+    ends = F.explode(F.array(F.struct(F.col("x").alias("v"), F.col("n").alias("left"), F.lit(0).cast("long").alias("right")), F.struct(F.col("y").alias("v"), F.lit(0).cast("long").alias("left"), F.col("n").alias("right"))))
+    chance = c.select("draw", ends.alias("e")).groupBy("draw", "e.v").agg(F.sum("e.left").alias("l"), F.sum("e.right").alias("r")).groupBy("draw").agg(F.sum(F.col("l").cast("double") * F.col("r")).alias("both"))
+    own = c.groupBy("draw").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("hit"))
+    po, pe = F.col("hit") / F.col("n"), F.col("both") / (F.col("n").cast("double") * F.col("n"))
+    return own.join(chance, "draw").select("draw", "n", F.when(pe < 1, (po - pe) / (1 - pe)).when(po >= 1, 1.0).otherwise(0.0).alias("kappa"))
+
+
 def agreement_interval(rows: DataFrame, a: str, b: str, cluster: str, draws: int = 500, seed: int = 42, other: str | None = None) -> DataFrame:
     """Kappa of two labels with a percentile interval over resampled clusters.
 
-    With ``other``, of the difference kappa(a, b) - kappa(a, other). Rows are first
-    counted by cluster and label combination, so the last task holds counts only:
-    one for each cluster and combination of labels.
+    With ``other``, of the difference kappa(a, b) - kappa(a, other). Rows are
+    counted by cluster and label combination; how often a draw takes a cluster
+    follows a digest, and counts are summed by draw and labels, so no task holds all
+    clusters or draws. Below two clusters the interval is null.
     """
     labels = [a, b, *([other] if other else [])]
     r = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in labels))
-    counts = r.groupBy(cluster, *labels).agg(F.count("*").alias("n"))
-
-    def kappa(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-        total = n.sum()
-        po = n[x == y].sum() / total
-        pe = sum(n[x == v].sum() * n[y == v].sum() for v in np.union1d(x, y)) / total**2
-        return 1.0 if pe >= 1 and po >= 1 else 0.0 if pe >= 1 else (po - pe) / (1 - pe)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([cluster, *labels])
-        names, at = np.unique(pdf[cluster].astype(str), return_inverse=True)
-        cols, n = [pdf[c].to_numpy() for c in labels], pdf["n"].to_numpy(float)
-        value = lambda w: kappa(cols[0], cols[1], w) - (kappa(cols[0], cols[2], w) if other else 0.0)
-        out = {"n": int(n.sum()), "clusters": len(names), "value": round(float(value(n)), 6), "low": None, "high": None}
-        if len(names) > 1:
-            rng = np.random.default_rng(seed)
-            drawn = [value(n * np.bincount(rng.integers(0, len(names), len(names)), minlength=len(names))[at]) for _ in range(draws)]
-            low, high = np.percentile(drawn, [2.5, 97.5])
-            out |= {"low": round(float(low), 6), "high": round(float(high), 6)}
-        return pd.DataFrame([out])
-
-    return counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "n long, clusters long, value double, low double, high double")
+    counts = r.groupBy(cluster, *labels).agg(F.count("*").alias("m"))
+    by_cluster = counts.groupBy(cluster).agg(F.collect_list(F.struct(*labels, "m")).alias("cells"))
+    drawn = with_draws(by_cluster, cluster, draws, seed).select("draw", "times", F.explode("cells").alias("c"))
+    cells = drawn.groupBy("draw", *[F.col(f"c.{x}").alias(x) for x in labels]).agg(F.sum(F.col("c.m") * F.col("times")).alias("n"))
+    value = _kappa_by_draw(cells, a, b)
+    if other:
+        against = _kappa_by_draw(cells, a, other).select("draw", F.col("kappa").alias("against"))
+        value = value.join(against, "draw").withColumn("kappa", F.col("kappa") - F.col("against"))
+    real = F.col("draw") < 0
+    out = value.agg(F.max(F.when(real, F.col("n"))).alias("n"), F.max(F.when(real, F.col("kappa"))).alias("value"), F.percentile(F.when(~real, F.col("kappa")), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    out = out.crossJoin(by_cluster.agg(F.count("*").alias("clusters"))).where("clusters > 0")
+    bound = lambda i: F.when(F.col("clusters") > 1, F.round(F.get("q", F.lit(i)), 6))
+    return out.select("n", "clusters", F.round("value", 6).alias("value"), bound(0).alias("low"), bound(1).alias("high"))
 
 
 def distance_scores(neighbours: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
@@ -78,26 +80,38 @@ def mann_kendall(rows: DataFrame, group: str, order: str, value: str) -> DataFra
     return rows.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} {kind}, n long, s double, tau double, p double, sen double")
 
 
+#: Cumulative probabilities of a Poisson draw of mean one, from none to eight.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9))
+
+
+def drawn_times(cluster: Column, draw: Column, seed: int) -> Column:
+    """How often a cluster is in a draw: Poisson of mean one, from a digest of seed, draw and cluster; once in draw -1."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), cluster.cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    times = sum(((u >= F.lit(c)).cast("int") for c in POISSON[1:]), (u >= F.lit(POISSON[0])).cast("int"))
+    return F.when(draw < 0, 1).otherwise(times)
+
+
+def with_draws(rows: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
+    """``rows`` in every draw that has them: draw (-1: the rows as they are) and times."""
+    r = rows.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))
+    return r.withColumn("times", drawn_times(F.col(cluster), F.col("draw"), seed)).where("times > 0")
+
+
 def cluster_bootstrap(rows: DataFrame, keys: list[str], cluster: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and percentile interval of each group, whole clusters being resampled.
 
-    Clusters are summed first, so a task holds one number pair per cluster and
-    not the rows. Below two clusters the interval is null.
+    Clusters are summed first; how often a draw takes one follows a digest, so draws
+    are summed by shuffle like any group and no task holds all clusters or draws.
+    Below two clusters the interval is null.
     """
     sums = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count("*").alias("_n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cluster)
-        s, n = pdf["_s"].to_numpy(), pdf["_n"].to_numpy(float)
-        out = {k: pdf[k].iloc[0] for k in keys} | {"n": int(n.sum()), "clusters": len(s), "mean": round(s.sum() / n.sum(), 6), "low": None, "high": None}
-        if len(s) > 1:
-            pick = np.random.default_rng(seed).integers(0, len(s), (draws, len(s)))
-            low, high = np.percentile(s[pick].sum(1) / n[pick].sum(1), [2.5, 97.5])
-            out |= {"low": round(float(low), 6), "high": round(float(high), 6)}
-        return pd.DataFrame([out])
-
-    kinds = dict(rows.dtypes)
-    return sums.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, clusters long, mean double, low double, high double")
+    drawn = with_draws(sums, cluster, draws, seed).groupBy(*keys, "draw").agg(F.sum(F.col("_s") * F.col("times")).alias("s"), F.sum(F.col("_n") * F.col("times")).alias("n"), F.count("*").alias("clusters"))
+    mean, real = F.col("s") / F.col("n"), F.col("draw") < 0
+    own = lambda c: F.max(F.when(real, F.col(c)))
+    out = drawn.groupBy(*keys).agg(own("n").alias("n"), own("clusters").alias("clusters"), F.max(F.when(real, mean)).alias("mean"), F.percentile(F.when(~real, mean), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    bound = lambda i: F.when(F.col("clusters") > 1, F.round(F.get("q", F.lit(i)), 6))
+    return out.select(*keys, "n", "clusters", F.round("mean", 6).alias("mean"), bound(0).alias("low"), bound(1).alias("high"))
 
 
 def permutation_test(rows: DataFrame, stratum: str, group: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:

@@ -10,6 +10,7 @@ from corpusloom.operators import calibration as K
 from corpusloom.operators import consensus as C
 from corpusloom.operators import vectors as V
 from corpusloom.plans.consensus import CAST, MIXED
+from corpusloom.plans.inference import drawn_sql
 from corpusloom.plans.vectors import NEAR
 from corpusloom.sources.corpus import STAGES, labelled, oracle, segments, table
 
@@ -74,13 +75,27 @@ def ensemble_winners(spark, sf_dir):
     return K.winners(_ensemble(spark, sf_dir))
 
 
-@register("kappa_interval")
+def _kappa_sql(draws: int = 500, other: str | None = None) -> str:
+    times, numbers = drawn_sql("participant_id", draws)
+    labels = ["human_label", "label", *([other] if other else [])]
+    known = " AND ".join(f"{x} IS NOT NULL" for x in labels)
+    kappa = lambda name, b: f"""{name} AS (SELECT draw, n, (CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) WHEN po >= 1 THEN 1 ELSE 0 END) AS kappa FROM (
+SELECT draw, sum(n) AS n, coalesce(sum(n) FILTER (human_label = {b}), 0)::DOUBLE / sum(n) AS po, (SELECT coalesce(sum(l.n * r.n), 0) FROM (SELECT human_label AS v, sum(n)::DOUBLE AS n FROM w x WHERE x.draw = w.draw GROUP BY 1) l JOIN (SELECT {b} AS v, sum(n)::DOUBLE AS n FROM w x WHERE x.draw = w.draw GROUP BY 1) r USING (v)) / (sum(n)::DOUBLE * sum(n)) AS pe FROM w GROUP BY draw))"""
+    value = "k.kappa - o.kappa" if other else "k.kappa"
+    return f"""cl AS (SELECT participant_id, {', '.join(labels)}, count(*) AS m FROM labelled WHERE {known} GROUP BY ALL),
+dr AS (SELECT *, {times} AS t FROM cl, {numbers}), w AS (SELECT draw, {', '.join(labels)}, sum(m * t) AS n FROM dr WHERE t > 0 GROUP BY ALL),
+{kappa("k", "label")}{', ' + kappa("o", other) if other else ''},
+v AS (SELECT k.draw, k.n, {value} AS value FROM k {'JOIN o USING (draw)' if other else ''})
+SELECT (max(n) FILTER (draw < 0))::BIGINT AS n, (SELECT count(DISTINCT participant_id) FROM cl) AS clusters, round(max(value) FILTER (draw < 0), 6) AS value, round(quantile_cont(value, 0.025) FILTER (draw >= 0), 6) AS low, round(quantile_cont(value, 0.975) FILTER (draw >= 0), 6) AS high FROM v"""
+
+
+@register("kappa_interval", oracle(_kappa_sql()))
 def kappa_interval(spark, sf_dir):
     """Kappa of human and machine label with its interval over participants."""
     return K.agreement_interval(labelled(spark, sf_dir), "human_label", "label", "participant_id")
 
 
-@register("kappa_contrast")
+@register("kappa_contrast", oracle(_kappa_sql(other="second_label")))
 def kappa_contrast(spark, sf_dir):
     """How much better the first machine label agrees with the human one than the second does."""
     return K.agreement_interval(labelled(spark, sf_dir), "human_label", "label", "participant_id", other="second_label")

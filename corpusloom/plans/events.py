@@ -15,7 +15,7 @@ def _events(spark, sf_dir):
 
 @register("event_sessions", """WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
 n AS (SELECT *, sum((before IS NULL OR ts - before >= INTERVAL 30 MINUTE)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM o)
-SELECT user_id, count(*) AS events, round(sum(value), 6) AS total, epoch_ms(min(ts)) AS started_ms FROM n GROUP BY user_id, s""")
+SELECT user_id, count(*) AS events, round(sum(value), 6) AS total, epoch_us(min(ts)) // 1000 AS started_ms FROM n GROUP BY user_id, s""")
 def event_sessions(spark, sf_dir):
     return S.sessions(_events(spark, sf_dir)).select("user_id", "events", "total", F.unix_millis("started").alias("started_ms"))
 

@@ -94,13 +94,30 @@ def lagged_exposure(spark, sf_dir):
     return l.where("before is not null and m is not null").select("participant_id", "session_number", "before", F.round("m", 6).alias("mean_label"))
 
 
-@register("cluster_bootstrap_by_session_number")
+def drawn_sql(cluster: str, draws: int, seed: int = 42) -> str:
+    """SQL of the draws' numbers and of how often each takes a cluster."""
+    u = f"('0x' || substr(md5('{seed}:' || draw || ':' || {cluster}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    return f"CASE WHEN draw < 0 THEN 1 ELSE {' + '.join(f'(({u}) >= {c!r}::DOUBLE)::INTEGER' for c in I.POISSON)} END", f"(SELECT unnest(range(-1, {draws}))::INTEGER AS draw)"
+
+
+def _bootstrap_sql(source: str, keys: str, value: str, draws: int = 1000) -> str:
+    """The interval over ``source``, whose clusters are participants; begins after its WITH clause."""
+    times, numbers = drawn_sql("participant_id", draws)
+    return f"""cl AS (SELECT {keys}, participant_id, sum({value})::DOUBLE AS s, count(*) AS m FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL),
+dr AS (SELECT {keys}, draw, s, m, {times} AS t FROM cl, {numbers}),
+av AS (SELECT {keys}, draw, sum(s * t) / sum(m * t) AS mean, sum(m * t)::BIGINT AS n, count(*) AS clusters FROM dr WHERE t > 0 GROUP BY ALL)
+SELECT {keys}, max(n) FILTER (draw < 0) AS n, max(clusters) FILTER (draw < 0) AS clusters, round(max(mean) FILTER (draw < 0), 6) AS mean,
+CASE WHEN max(clusters) FILTER (draw < 0) > 1 THEN round(quantile_cont(mean, 0.025) FILTER (draw >= 0), 6) END AS low, CASE WHEN max(clusters) FILTER (draw < 0) > 1 THEN round(quantile_cont(mean, 0.975) FILTER (draw >= 0), 6) END AS high
+FROM av GROUP BY {keys}"""
+
+
+@register("cluster_bootstrap_by_session_number", oracle(_bootstrap_sql("labelled", "session_number", "label")))
 def cluster_bootstrap_by_session_number(spark, sf_dir):
     """Mean label with a percentile interval over resampled participants."""
     return I.cluster_bootstrap(labelled(spark, sf_dir), ["session_number"], "participant_id", "label")
 
 
-@register("delta_bootstrap_by_stage_move")
+@register("delta_bootstrap_by_stage_move", oracle(f"{BLOCKS}, w AS (SELECT *, (to_stage - from_stage)::DOUBLE AS delta FROM chosen WHERE move IS NOT NULL), " + _bootstrap_sql("w", "from_stage, move", "delta")))
 def delta_bootstrap_by_stage_move(spark, sf_dir):
     """Mean change with a percentile interval over resampled participants."""
     return I.cluster_bootstrap(_blocks(spark, sf_dir).where("move is not null"), ["from_stage", "move"], "participant_id", "delta")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
 from corpusloom.functions import text as X
+from corpusloom.operators import grounding as G
 from corpusloom.sources.corpus import labelled, oracle, segments, table
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -80,16 +81,9 @@ def packed_segments(spark, sf_dir):
 @register("benchmark_grounding", """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, lower(text) AS passage FROM benchmark)
 SELECT item_id, count(*) AS documents FROM b JOIN d ON contains(t, passage) GROUP BY item_id""")
 def benchmark_grounding(spark, sf_dir):
-    """Documents that hold a benchmark passage whole; candidates share the passage's first eight words."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("passage")).where("passage is not null")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t")).where("t is not null")
-    words = F.split("t", " ")
-    first = F.xxhash64(F.array_join(F.slice(F.split("passage", " "), 2, 3), " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " "))))
-    keyed = d.withColumn("key", F.explode(grams)).select("doc_id", "key")
-    wanted = b.withColumn("key", first)
-    found = keyed.join(wanted, "key").select("doc_id", "item_id", "passage").distinct()
-    return found.join(d, "doc_id").where(F.contains("t", "passage")).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """Number of documents that hold each benchmark passage whole, as lower-cased text."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return G.passages_in_texts(d.select("text"), b.select("item_id", F.col("text").alias("passage"))).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 @register("drifted_turns", oracle("a AS (SELECT segment_id, sha256(text) AS frozen FROM segments), b AS (SELECT segment_id, sha256(CASE WHEN segment_index % 7 = 0 THEN text || '.' ELSE text END) AS now FROM segments) SELECT a.segment_id, 'drift' AS state FROM a JOIN b USING (segment_id) WHERE frozen <> now"))

@@ -38,5 +38,6 @@ def assert_same(df, con: duckdb.DuckDBPyConnection, sql: str) -> None:
     got, want = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(names, cur.fetchall())
     assert len(got) == len(want)
     for a, b in zip(got, want):
-        same = all(x == y or (isinstance(x, (int, float)) and isinstance(y, (int, float)) and abs(x - y) <= 1e-6 * max(1, abs(x))) for x, y in zip(a, b))
+        # Whole numbers must be equal; only fractions may differ by rounding.
+        same = all(x == y or (isinstance(x, float) and isinstance(y, (int, float)) and abs(x - y) <= 1e-6 * max(1, abs(x))) or (isinstance(y, float) and isinstance(x, int) and abs(x - y) <= 1e-6 * max(1, abs(x))) for x, y in zip(a, b))
         assert same, (a, b)

@@ -10,6 +10,8 @@ from corpusloom.functions import stats
 from corpusloom.functions import text as X
 from corpusloom.operators import calibration as K
 from corpusloom.operators import graphs as N
+from corpusloom.operators import grounding as P
+from corpusloom.operators import inference as I
 from corpusloom.operators import reports as R
 from corpusloom.operators import scoring as V
 from corpusloom.operators import segmentation as G
@@ -111,6 +113,30 @@ def test_kappa_interval_of_one_cluster_is_open(spark):
     assert r.clusters == 1 and r.low is None and r.value == pytest.approx(0.4)
 
 
+def test_names_of_address_by_their_place():
+    at = lambda t: [t[a:b] for a, b, _ in Z.addressed(t)]
+    assert at("Hello, Maria. We met in Paris, Tom, and you know it, Ann!") == ["Maria", "Tom", "Ann"]
+    assert at("Ann, come. thanks Everyone for it. will, Will.") == ["Ann"]
+
+
+def test_draws_are_poisson_and_repeat(spark):
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("c"), F.lit(1).alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    w = I.with_draws(rows, "c", 50, 7).where("draw >= 0").agg(F.sum("times"), F.sum(F.col("times") * F.col("times"))).first()
+    assert w[0] / 100_000 == pytest.approx(1, abs=0.02) and w[1] / 100_000 == pytest.approx(2, abs=0.06)
+    a, b = (I.cluster_bootstrap(rows, ["k"], "c", "v", 200).first() for _ in range(2))
+    assert a == b and a.n == 2000 and a.clusters == 2000
+    half = 1.96 * 2 / 2000**0.5  # standard deviation of 0 to 6 is 2
+    assert a.low == pytest.approx(a["mean"] - half, abs=0.03) and a.high == pytest.approx(a["mean"] + half, abs=0.03)
+
+
+def test_passages_match_substrings(spark):
+    texts = ["One two three four five six", "xone two", "a b", None, "", "alone two three FOUR fiver", "two three", "o"]
+    passages = ["one two three four five", "two", "ne two", "two three four", "b", "", None, "a b c", "o", "two  three"]
+    got = P.passages_in_texts(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string"))
+    want = sorted(i for i, p in enumerate(passages) for t in texts if p is not None and t is not None and p in t.lower())
+    assert sorted(r.item_id for r in got.collect()) == want
+
+
 def test_rand_index(spark):
     rows = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), ("y", 2)], "a string, b int")
     assert N.rand_index(rows, "a", "b").first().ari == 1.0
