@@ -118,7 +118,7 @@ def _taken(docs: DataFrame, payload: Column, share: float, repeats: int, seed: i
     quota = quota.select("skey", "size", "salt", F.greatest(F.lit(0), F.least("n", F.coalesce("extra", F.lit(0)) - F.col("before"))).alias("quota"))
     quota = materialize(skew_join(quota, plan.select("skey", "source_size", "target", "full"), ["skey"]))
     rank = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy("h", "id", "digest"))
-    times = F.col("full") + F.when(F.col("rank") <= F.col("quota"), 1).otherwise(0)
+    times = F.when(F.col("size") > 0, F.col("full") + F.when(F.col("rank") <= F.col("quota"), 1).otherwise(0)).otherwise(0)
     return base.withColumn("rank", rank).join(quota, ["skey", "size", "salt"]).select("payload", "size", "source_size", "target", times.alias("times"))
 
 
@@ -141,5 +141,5 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, repeats: int = REPEAT
     rows hold exactly the words of ``mix``. Null and wordless texts are in no row.
     Columns of any name keep their values; an empty table gives no rows.
     """
-    rows = _taken(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), share, repeats, seed).where("size > 0 and times > 0")
+    rows = _taken(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), share, repeats, seed).where("times > 0")
     return rows.select("payload", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).select("payload.*")

@@ -53,3 +53,34 @@ def test_near_copies_from_four_fifths_go(spark):
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(near), "").collect()] == [0]
     far = [rows[0], rows[2]]  # 440 of 560: 0.786
     assert corpus_pipeline.drop_near_duplicates(spark, docs(far), "").count() == 2
+
+
+def test_edge_rows_pass_every_stage(spark):
+    """Nulls, repeated rows, ties and columns that operators use inside; and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, base string, component string, payload string, size long, level long, key string"
+    extra = ("b", "c", "p", 1, 2, "k")
+    sentence = "the water of that people was there with this have from which "
+    rows = [(i, f"{sentence}word{i} " * (i % 3 + 1), "en", f"s{i % 2}", 9, *extra) for i in range(60)]
+    rows += [rows[0], rows[1], (None, sentence, None, None, None, *extra), (None, None, None, None, None, *extra), (70, "", "en", None, 0, *extra), (71, sentence + "token=deadbeefdeadbeef", "en", None, 9, *extra)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns
+            kept = out.collect()
+            if table:
+                assert {tuple(r)[5:] for r in kept} == {extra}
+                if name == "language ID":
+                    assert len(kept) == len(rows) - 2 and None in {r.doc_id for r in kept}
+                elif name == "MinHash near-dedup":
+                    ids = [r.doc_id for r in kept if r.doc_id is not None]
+                    assert len(ids) == len(set(ids)) and 0 in ids
+                elif name == "secret scans":
+                    assert "deadbeef" not in "".join(r.text for r in kept)
+            docs = spark.createDataFrame([tuple(r) for r in kept], schema)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert len(pieces) == docs.count()
+        sums = {}
+        for r in pieces:
+            sums[r.sequence_id] = sums.get(r.sequence_id, 0) + r.length
+        assert all(n <= 1024 for n in sums.values())
