@@ -94,3 +94,22 @@ def rosenbaum(effects: list[float], alpha: float = 0.05) -> float:
             break
         best = gamma
     return round(best, 2)
+
+
+def chi2_tail_even(x: Column, df: Column) -> Column:
+    """Upper tail of the chi-squared distribution for an even number of degrees, in closed form."""
+    half = F.greatest(x, F.lit(0.0)) / 2
+    start = F.struct(F.exp(-half).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda acc, i: F.struct((acc["term"] * half / i).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+    return F.when(df > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(df / 2, F.lit(1)).cast("int")), start, step, lambda acc: acc["sum"])).otherwise(1.0)
+
+
+def e_value_limit(low: Column, high: Column) -> Column:
+    """E-value of the interval's end that is nearer to no effect; 1 where the interval holds none (standardised differences)."""
+    near = F.when(low > 0, low).otherwise(high)
+    return F.when((low <= 0) & (high >= 0), 1.0).otherwise(e_value(smd_to_ratio(near)))
+
+
+def underpowered(participants: Column, sessions: Column, least_participants: int = 10, least_sessions: int = 4) -> Column:
+    """Whether a group is too small for a trend."""
+    return (participants < least_participants) | (sessions < least_sessions)

@@ -263,3 +263,21 @@ def overlap_labels(new: DataFrame, canon: DataFrame) -> DataFrame:
     by = w.groupBy("new_id", "label").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("x"))
     best = by.groupBy("new_id").agg(F.min_by("label", F.struct(-F.round("w", 9), "label")).alias("projected"), F.round(F.sum("x") / F.sum("w"), 6).alias("coordinate"))
     return new.select("new_id").join(best, "new_id", "left")
+
+
+def nearest_unit(new: DataFrame, canon: DataFrame) -> DataFrame:
+    """Nearest old segment of each new one by the middle of their time, the earlier of equal ones.
+
+    Both are laid on one time line of the session, where a window finds the last old
+    segment before and the first one after; no pairs are made. Sessions without old
+    segments give null.
+    """
+    middle = (F.col("start_ms") + F.col("end_ms")) / 2
+    old = canon.select("session_id", middle.alias("at"), F.struct(middle.alias("at"), F.col("segment_id").alias("id")).alias("unit"), F.lit(None).cast("string").alias("new_id"))
+    line = old.union(new.select("session_id", middle.alias("at"), F.lit(None).cast(old.schema["unit"].dataType).alias("unit"), F.col("new_id").cast("string")))
+    # Of old segments with one middle the first id counts on both sides.
+    w = Window.partitionBy("session_id").orderBy("at", F.col("unit").isNull(), F.desc("unit.id"))
+    v = Window.partitionBy("session_id").orderBy(F.desc("at"), F.col("unit").isNull(), F.desc("unit.id"))
+    line = line.withColumn("before", F.last("unit", True).over(w)).withColumn("after", F.last("unit", True).over(v)).where("unit is null")
+    near = F.when(F.col("before").isNull(), F.col("after.id")).when(F.col("after").isNull(), F.col("before.id"))
+    return line.select("new_id", near.when(F.col("at") - F.col("before.at") <= F.col("after.at") - F.col("at"), F.col("before.id")).otherwise(F.col("after.id")).alias("nearest_id"))

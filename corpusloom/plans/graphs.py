@@ -104,3 +104,12 @@ def community_stage_agreement(spark, sf_dir):
 r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id)::INTEGER AS rank FROM d) SELECT * FROM r WHERE rank <= 3""")
 def centroid_exemplars(spark, sf_dir):
     return N.nearest_centroid(table(spark, sf_dir, "embeddings"))
+
+
+@register("emergent_motifs", oracle(f"""{BLOCKS}, r AS (SELECT n_turns % 7 AS motif, move, (to_stage > from_stage)::INTEGER AS f FROM chosen WHERE move IS NOT NULL), b AS (SELECT motif, move, count(*) AS c, sum(f) AS f FROM r GROUP BY ALL),
+m AS (SELECT motif, sum(c)::BIGINT AS n, round(max(c) / sum(c), 6) AS purity, round((sum(f) / sum(c)) / (SELECT avg(f) FROM r), 6) AS influence FROM b GROUP BY motif) SELECT motif::INTEGER AS motif, n, purity, influence FROM m WHERE n >= 3 AND influence >= 1.2 AND purity < 0.5"""))
+def emergent_motifs(spark, sf_dir):
+    """Groups of cues of mixed moves that go forward a fifth more often than all."""
+    b = _blocks(spark, sf_dir).withColumn("move", T.dominant_move(F.col("moves"), MOVES)).where("move is not null")
+    rows = b.select((F.col("n_turns") % 7).alias("motif"), "move", (F.col("to_stage") > F.col("from_stage")).alias("forward"))
+    return N.motifs(rows, influence=1.2).where("emergent").drop("emergent")

@@ -9,7 +9,7 @@ from corpusloom.functions import stats as S
 from corpusloom.operators import inference as I
 from corpusloom.operators import transitions as T
 from corpusloom.plans.transitions import BLOCKS
-from corpusloom.sources.corpus import MOVES, labelled, oracle, segments
+from corpusloom.sources.corpus import MOVES, STAGES, labelled, oracle, segments
 
 Z = S.Z95
 
@@ -134,3 +134,50 @@ def participant_mann_kendall(spark, sf_dir):
     """Monotone trend of each participant's session means."""
     per = labelled(spark, sf_dir).groupBy("participant_id", "session_number").agg(F.avg("label").alias("m"))
     return I.mann_kendall(per, "participant_id", "session_number", "m")
+
+
+@register("cohort_power", oracle("""SELECT cohort_id, count(DISTINCT participant_id) AS participants, count(DISTINCT session_id) AS sessions, count(DISTINCT participant_id) < 10 OR count(DISTINCT session_id) < 4 AS underpowered FROM labelled GROUP BY cohort_id"""))
+def cohort_power(spark, sf_dir):
+    """Cohorts that are too small for a trend."""
+    c = labelled(spark, sf_dir).groupBy("cohort_id").agg(F.countDistinct("participant_id").alias("participants"), F.countDistinct("session_id").alias("sessions"))
+    return c.withColumn("underpowered", S.underpowered(F.col("participants"), F.col("sessions")))
+
+
+@register("move_effect_limit", oracle(f"""{BLOCKS}, d AS (SELECT move, (to_stage - from_stage)::DOUBLE AS delta FROM chosen WHERE move IS NOT NULL), m AS (SELECT DISTINCT move FROM d),
+s AS (SELECT m.move, avg(delta) FILTER (d.move = m.move) - avg(delta) FILTER (d.move <> m.move) AS diff, count(*) FILTER (d.move = m.move) AS n1, count(*) FILTER (d.move <> m.move) AS n2, var_samp(delta) FILTER (d.move = m.move) AS v1, var_samp(delta) FILTER (d.move <> m.move) AS v2 FROM m, d GROUP BY m.move),
+e AS (SELECT move, n1, n2, diff / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS smd FROM s WHERE n1 >= 4 AND n2 >= 4),
+i AS (SELECT move, smd - {Z} * sqrt((n1 + n2) / (n1 * n2) + smd * smd / (2 * (n1 + n2))) AS low, smd + {Z} * sqrt((n1 + n2) / (n1 * n2) + smd * smd / (2 * (n1 + n2))) AS high FROM e),
+r AS (SELECT *, exp(0.91 * CASE WHEN low > 0 THEN low ELSE high END) AS rr FROM i), u AS (SELECT *, CASE WHEN rr < 1 THEN 1 / rr ELSE rr END AS up FROM r)
+SELECT move, round(low, 6) AS low, round(high, 6) AS high, round(CASE WHEN low <= 0 AND high >= 0 THEN 1.0 ELSE up + sqrt(up * (up - 1)) END, 6) AS e_value_limit FROM u"""))
+def move_effect_limit(spark, sf_dir):
+    """Large-sample interval of each move's standardised difference and the E-value of its nearer end."""
+    b = _blocks(spark, sf_dir).where("move is not null")
+    own = b.groupBy("move").agg(F.count("*").alias("n"), F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("q"))
+    total = own.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    r = own.crossJoin(F.broadcast(total)).withColumn("n2", F.col("tn") - F.col("n")).where("n >= 4 and n2 >= 4")
+    spread = lambda q, s, n: q - s * s / n
+    pooled = F.sqrt((spread(F.col("q"), F.col("s"), F.col("n")) + spread(F.col("tq") - F.col("q"), F.col("ts") - F.col("s"), F.col("n2"))) / (F.col("tn") - 2))
+    r = r.withColumn("smd", (F.col("s") / F.col("n") - (F.col("ts") - F.col("s")) / F.col("n2")) / pooled)
+    half = Z * F.sqrt(F.col("tn") / (F.col("n") * F.col("n2")) + F.col("smd") * F.col("smd") / (2 * F.col("tn")))
+    r = r.withColumn("low", F.col("smd") - half).withColumn("high", F.col("smd") + half)
+    return r.select("move", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(S.e_value_limit(F.col("low"), F.col("high")), 6).alias("e_value_limit"))
+
+
+@register("move_likelihood_ratio", oracle(f"""{BLOCKS}, c AS (SELECT from_stage, move, to_stage, count(*)::DOUBLE AS n FROM chosen WHERE move IS NOT NULL GROUP BY ALL),
+f AS (SELECT sum(n * ln(n / t)) AS ll FROM (SELECT n, sum(n) OVER (PARTITION BY from_stage, move) AS t FROM c)),
+g AS (SELECT sum(n * ln(n / t)) AS ll FROM (SELECT n, sum(n) OVER (PARTITION BY from_stage) AS t FROM (SELECT from_stage, to_stage, sum(n) AS n FROM c GROUP BY ALL))),
+k AS (SELECT (count(DISTINCT (from_stage, move)) - count(DISTINCT from_stage)) * 4 AS df FROM c),
+x AS (SELECT greatest(2 * (f.ll - g.ll), 0.0) AS x, df FROM f, g, k)
+SELECT round(x, 6) AS statistic, df, round(CASE WHEN df > 0 THEN list_sum(list_transform(range(0, df // 2), lambda i: exp(CASE WHEN i = 0 THEN 0 ELSE i * ln(greatest(x / 2, 1e-300)) END - x / 2 - lgamma(i + 1)))) ELSE 1.0 END, 6) AS p FROM x"""))
+def move_likelihood_ratio(spark, sf_dir):
+    """Whether the next label depends on the move besides the label before: nested multinomial models from counts."""
+    c = _blocks(spark, sf_dir).where("move is not null").groupBy("from_stage", "move", "to_stage").agg(F.count("*").cast("double").alias("n"))
+
+    def likelihood(cells, given):
+        rows = cells.groupBy(*given).agg(F.sum(F.col("n") * F.log("n")).alias("own"), F.sum("n").alias("t"))
+        return rows.agg(F.sum(F.col("own") - F.col("t") * F.log("t")).alias("ll"), F.count("*").alias("groups"))
+
+    full = likelihood(c, ["from_stage", "move"])
+    less = likelihood(c.groupBy("from_stage", "to_stage").agg(F.sum("n").alias("n")), ["from_stage"]).toDF("ll0", "groups0")
+    both = full.crossJoin(F.broadcast(less)).select(F.greatest(2 * (F.col("ll") - F.col("ll0")), F.lit(0.0)).alias("x"), ((F.col("groups") - F.col("groups0")) * (STAGES - 1)).alias("df"))
+    return both.select(F.round("x", 6).alias("statistic"), "df", F.round(S.chi2_tail_even(F.col("x"), F.col("df")), 6).alias("p"))

@@ -152,3 +152,12 @@ def projected_segment_labels(spark, sf_dir):
     s = segments(spark, sf_dir)
     new = s.select("session_id", F.concat("segment_id", F.lit("_n")).alias("new_id"), (F.col("start_ms") + 400).alias("start_ms"), (F.col("end_ms") + 700).alias("end_ms"), "text")
     return G.overlap_labels(new, s)
+
+
+@register("nearest_segments", oracle("""new AS (SELECT session_id, segment_id || '_n' AS new_id, (start_ms + end_ms) / 2 + 2500 AS middle FROM segments WHERE segment_index % 3 = 0), old AS (SELECT session_id, segment_id, (start_ms + end_ms) / 2 AS mid FROM segments WHERE segment_index % 2 = 1)
+SELECT new_id, arg_min(segment_id, (abs(mid - middle), mid, segment_id)) FILTER (segment_id IS NOT NULL) AS nearest_id FROM new LEFT JOIN old USING (session_id) GROUP BY new_id"""))
+def nearest_segments(spark, sf_dir):
+    """Old segment nearest in time to each of a third of the segments, moved by two and a half seconds."""
+    s = segments(spark, sf_dir)
+    new = s.where("segment_index % 3 = 0").select("session_id", F.concat("segment_id", F.lit("_n")).alias("new_id"), (F.col("start_ms") + 2500).alias("start_ms"), (F.col("end_ms") + 2500).alias("end_ms"))
+    return G.nearest_unit(new, s.where("segment_index % 2 = 1"))

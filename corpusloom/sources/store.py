@@ -66,3 +66,40 @@ def replace_turns(segments: DataFrame, new: DataFrame, speaker: str = "therapist
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_overlay(spark: SparkSession, rows: DataFrame, path: str, key: str = "segment_id") -> None:
+    """Upsert ``rows`` into the overlay at ``path``; a new version is written beside the old one and then named.
+
+    Versions are folders v0, v1, ... of ``path``, so a failed write leaves the last whole one.
+    """
+    old = _version(spark, path)
+    whole = rows if old is None else merged(spark.read.parquet(f"{path}/v{old}"), rows, key)
+    whole.write.parquet(f"{path}/v{0 if old is None else old + 1}")
+
+
+def read_overlay_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The overlay's last whole version; null where there is none."""
+    last = _version(spark, path)
+    return None if last is None else spark.read.parquet(f"{path}/v{last}")
+
+
+def clear_overlay(spark: SparkSession, path: str) -> None:
+    """All rows go, the columns stay; nothing happens where there is no overlay."""
+    last = _version(spark, path)
+    if last is not None:
+        spark.read.parquet(f"{path}/v{last}").limit(0).write.parquet(f"{path}/v{last + 1}")
+
+
+def overlay_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the overlay has rows."""
+    rows = read_overlay_at(spark, path)
+    return rows is not None and not rows.isEmpty()
+
+
+def _version(spark: SparkSession, path: str) -> int | None:
+    """Highest version whose write has ended."""
+    n = None
+    while _exists(spark, f"{path}/v{0 if n is None else n + 1}/_SUCCESS"):
+        n = 0 if n is None else n + 1
+    return n

@@ -149,3 +149,18 @@ def test_streams_match_their_batch_forms(spark, tmp_path):
     for _ in range(2):
         E.upsert_stream(E.read_events(spark, str(folder)), out, check).awaitTermination()
     assert E.read_latest(spark, out).count() == batch.select("event_id").distinct().count()
+
+
+def test_overlay_life_cycle(spark, tmp_path):
+    from corpusloom.sources import store
+
+    path = f"{tmp_path}/overlay"
+    rows = lambda *x: spark.createDataFrame(list(x), "segment_id string, v int")
+    assert not store.overlay_exists(spark, path) and store.read_overlay_at(spark, path) is None
+    store.clear_overlay(spark, path)
+    store.write_overlay(spark, rows(("a", 1), ("b", 1)), path)
+    store.write_overlay(spark, rows(("b", 2), ("c", 2)), path)
+    assert store.overlay_exists(spark, path)
+    assert sorted(map(tuple, store.read_overlay_at(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+    store.clear_overlay(spark, path)
+    assert not store.overlay_exists(spark, path) and store.read_overlay_at(spark, path).columns == ["segment_id", "v"]
