@@ -86,8 +86,8 @@ def trend_classes(spark, sf_dir):
     return A.trend_classes(labelled(spark, sf_dir))
 
 
-@register("trajectory_typology", oracle(f"""{MEANS}, fits AS (SELECT participant_id, coalesce(regr_slope(m, session_number), 0.0) AS s, avg(sd) AS v, avg(m) AS l FROM per GROUP BY ALL)
-SELECT participant_id, round(s, 6) AS slope, round(v, 6) AS volatility, round(l, 6) AS level, CASE WHEN s >= 0.25 THEN 'climber' WHEN l < 1.5 AND s < 0.1 THEN 'stuck' WHEN v > 1.2 THEN 'oscillator' WHEN l >= 2.5 THEN 'advanced' ELSE 'stable' END AS kind FROM fits"""))
+@register("trajectory_typology", oracle(f"""{MEANS}, fits AS (SELECT participant_id, round(coalesce(regr_slope(m, session_number), 0.0), 6) AS s, round(avg(sd), 6) AS v, round(avg(m), 6) AS l FROM per GROUP BY ALL)
+SELECT participant_id, s AS slope, v AS volatility, l AS level, CASE WHEN s >= 0.25 THEN 'climber' WHEN l < 1.5 AND s < 0.1 THEN 'stuck' WHEN v > 1.2 THEN 'oscillator' WHEN l >= 2.5 THEN 'advanced' ELSE 'stable' END AS kind FROM fits"""))
 def trajectory_typology(spark, sf_dir):
     return A.typology(labelled(spark, sf_dir))
 
