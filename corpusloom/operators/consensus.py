@@ -87,6 +87,32 @@ def krippendorff_alpha(rows: DataFrame) -> DataFrame:
     return agree.crossJoin(marginal).select(F.col("total").alias("ballots"), F.round(F.when(expected == 0, 1.0).otherwise(1 - observed / expected), 6).alias("alpha"))
 
 
+def krippendorff_alpha_scaled(rows: DataFrame, level: str) -> DataFrame:
+    """Ordinal or interval alpha from rows with two or more ballots on the scale; abstentions have no place on it.
+
+    An ordinal label stands at the middle of its ballots in the ranking of all. Both
+    levels then weigh two ballots by the squared distance of numbers, so sums by row
+    take the place of pairs. The scale's labels are few and are ranked in one task.
+    """
+    if level not in ("ordinal", "interval"):
+        raise ValueError(f"no such level: {level}")
+    c = _unit_counts(rows, 2).where(F.col("label") != ABSTAIN).withColumn("n", F.sum("c").over(Window.partitionBy("segment_id"))).where("n >= 2")
+    middle = F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("label")) - F.col("m") / 2
+    scale = c.groupBy("label").agg(F.sum("c").alias("m")).select("label", (middle if level == "ordinal" else F.col("label").cast("double")).alias("x"))
+    cx = F.col("c") * F.col("x")
+    unit = c.join(scale, "label").groupBy("segment_id").agg(F.sum("c").alias("n"), F.sum(cx).alias("s"), F.sum(cx * F.col("x")).alias("q"))
+    t = unit.agg(F.sum("n").alias("ballots"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum((F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") - 1)).alias("apart"))
+    expected = (F.col("ballots") * F.col("q") - F.col("s") * F.col("s")) / (F.col("ballots") - 1)
+    return t.select("ballots", F.round(F.when(expected == 0, 1.0).otherwise(1 - F.col("apart") / expected), 6).alias("alpha"))
+
+
+def null_shares(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows and share of missing values of each column, from one pass."""
+    one = rows.agg(F.count("*").alias("_n"), *[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    parts = [F.struct(F.lit(c).alias("kind"), F.col("_n").alias("n"), F.round(F.col(c), 6).alias("share")) for c in columns]
+    return one.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+
+
 def cohen_kappa(rows: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Kappa, agreement and size over rows where both labels are known, by group."""
     keys = keys or []

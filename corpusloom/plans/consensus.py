@@ -90,6 +90,31 @@ def krippendorff_alpha(spark, sf_dir):
     return C.krippendorff_alpha(people(spark, sf_dir))
 
 
+def _scaled_sql(distance: str) -> str:
+    """Alpha from all pairs of ballots within a segment, by the squared distance of two labels."""
+    return f"""{CAST}, u AS (SELECT segment_id, v, c, sum(c) OVER (PARTITION BY segment_id) AS n FROM counts WHERE v >= 0), k AS (SELECT * FROM u WHERE n >= 2),
+m AS (SELECT v, sum(c)::DOUBLE AS m FROM k GROUP BY v),
+d AS (SELECT a.v AS va, b.v AS vb, a.m * b.m AS mm, {distance} AS w FROM m a, m b, m g WHERE g.v BETWEEN least(a.v, b.v) AND greatest(a.v, b.v) GROUP BY a.v, b.v, a.m, b.m),
+o AS (SELECT sum(x.c * y.c * w / (x.n - 1)) AS o FROM k x JOIN k y ON x.segment_id = y.segment_id JOIN d ON va = x.v AND vb = y.v), e AS (SELECT sum(mm * w) AS e FROM d), t AS (SELECT sum(m) AS t FROM m)
+SELECT t::BIGINT AS ballots, round(1 - o * (t - 1) / e, 6) AS alpha FROM o, e, t"""
+
+
+@register("krippendorff_alpha_ordinal", oracle(_scaled_sql("pow(sum(g.m) - (a.m + b.m) / 2, 2)")))
+def krippendorff_alpha_ordinal(spark, sf_dir):
+    return C.krippendorff_alpha_scaled(people(spark, sf_dir), "ordinal")
+
+
+@register("krippendorff_alpha_interval", oracle(_scaled_sql("pow(a.v - b.v, 2)")))
+def krippendorff_alpha_interval(spark, sf_dir):
+    return C.krippendorff_alpha_scaled(people(spark, sf_dir), "interval")
+
+
+@register("missing_label_shares", oracle("SELECT kind, count(*) AS n, round(avg((v IS NULL)::INTEGER::DOUBLE), 6) AS share FROM (SELECT unnest([{'kind': 'label', 'v': label}, {'kind': 'second_label', 'v': second_label}, {'kind': 'human_label', 'v': human_label}], recursive := true) FROM segments WHERE speaker = 'participant') GROUP BY kind"))
+def missing_label_shares(spark, sf_dir):
+    """Share of participants' segments without each kind of label."""
+    return C.null_shares(people(spark, sf_dir), ["label", "second_label", "human_label"])
+
+
 KAPPA = """SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, avg((a = b)::INTEGER::DOUBLE) AS po FROM r),
 (SELECT sum(x.c * y.c) / (SELECT count(*) * count(*) FROM r) AS pe FROM (SELECT a AS v, count(*) AS c FROM r GROUP BY a) x JOIN (SELECT b AS v, count(*) AS c FROM r GROUP BY b) y USING (v))"""
 
