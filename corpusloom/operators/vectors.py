@@ -37,6 +37,14 @@ def atypical(rows: DataFrame, key: str, vector: str = "embedding", ident: str =
 
 #: Rows of a block that one task multiplies with the queries.
 BLOCK_ROWS = 50_000
+#: Queries whose scores against a block are in memory at a time.
+SLICE_ROWS = 128
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """List column as a matrix of rows of length one; zero vectors stay zero."""
+    x = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -45,27 +53,31 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id",
     A stated query set goes against all rows in blocks: queries are dealt to every
     block of rows, each task keeps k per query by a matrix product, and the lists
     are merged. Blocks hold ``block_rows`` rows about, however many rows there are,
-    and queries are dealt in tiles of as many.
+    and queries are dealt in tiles of as many, scored SLICE_ROWS at a time. Null
+    vectors take no part.
     """
+    rows, queries = (df.where(F.col(vector).isNotNull()) for df in (rows, queries))
     blocks, tiles = (max(1, -(-df.count() // block_rows)) for df in (rows, queries))
     blocks = max(blocks, 8)
     q = queries.select(F.col(ident).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(ident), F.lit(tiles)).cast("int").alias("tile"))
     r = rows.select(F.col(ident).cast("long").alias("row_id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("part_tile"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "similarity": []}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            a, b = (np.array(t.column(c).to_pylist(), float) for t, c in ((left, "q"), (right, "v")))
+            a, b = _unit(left.column("q")), _unit(right.column("v"))
             qi, ri = left.column("query_id").to_numpy(), right.column("row_id").to_numpy()
-            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-            for i, s in enumerate(a @ b.T):
-                s[ri == qi[i]] = -np.inf
-                for j in np.lexsort((ri, -s))[:k]:
-                    if np.isfinite(s[j]):
-                        out["query_id"].append(int(qi[i]))
-                        out["vec_id"].append(int(ri[j]))
-                        out["similarity"].append(float(s[j]))
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "similarity": pa.array(out["similarity"], pa.float64())})
+            for at in range(0, len(a), SLICE_ROWS):
+                mine, s = qi[at : at + SLICE_ROWS], a[at : at + SLICE_ROWS] @ b.T
+                s[~np.isfinite(s) | (mine[:, None] == ri)] = -np.inf
+                # All scores from the k-th on, ties with it too, then the order among these few.
+                least = np.partition(s, -k, axis=1)[:, -k] if k < len(ri) else np.full(len(s), -np.inf)
+                row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                order = np.lexsort((ri[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                found.append((mine[row[top]], ri[col[top]], s[row[top], col[top]]))
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), map(np.concatenate, zip(*found)))))
 
     lists = q.groupBy("block", "tile").cogroup(r.groupBy("part", "part_tile")).applyInArrow(run, "query_id long, vec_id long, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

@@ -1,5 +1,6 @@
 """Operators on small frames: edges, ties, empty and null rows."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ from corpusloom.operators import reports as R
 from corpusloom.operators import scoring as V
 from corpusloom.operators import segmentation as G
 from corpusloom.operators import transitions as T
+from corpusloom.operators import vectors as E
 from corpusloom.operators.ordered import ordered_fold
 
 TURNS = "session_id string, cohort_id int, session_number int, participant_id string, segment_id string, segment_index int, speaker string, text string, start_ms long, end_ms long, label int, move int, confidence double"
@@ -205,3 +207,16 @@ def test_label_subtypes_take_every_label(spark, tmp_path):
     rows = [(i, [float(i % 7), float(i)], i % 4 + 1) for i in range(24)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r.label for r in label_subtypes(spark, str(tmp_path)).select("label").collect()} == {1, 2, 3, 4}
+
+
+def test_nearest_equals_brute_force_with_many_ties(spark):
+    x = np.random.default_rng(1).integers(-1, 2, (300, 3)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.similarity + 0.0) for r in E.nearest(rows, rows.where("vec_id % 2 = 0"), 5).collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for i in range(0, 300, 2):
+        scores = np.round(unit @ unit[i], 6)
+        best = sorted((j for j in range(300) if j != i), key=lambda j: (-scores[j], j))[:5]
+        want |= {(i, k): (j, scores[j] + 0.0) for k, j in enumerate(best, 1)}
+    assert got == want
