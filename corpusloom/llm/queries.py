@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import extract, langid, mixing, neardup, packing, quality, secrets, topk, urls, vecdup
+from corpusloom.llm import audit, extract, infill, langid, lexpack, mixing, neardup, packing, quality, secrets, topk, urls, vecdup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,6 +66,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their orders, by language."""
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, part lengths and digests of every document's fill-in-middle text."""
+    return infill.fill_in_middle(_table(spark, sf_dir, "documents"), output=False)
+
+
+def op13_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in windows filled with lexical neighbours."""
+    return lexpack.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -164,10 +179,51 @@ def _places(pattern: str, value: str) -> str:
 FROM (SELECT doc_id, v, x, p, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {_quoted(pattern)}) AS v, {value if value != 'NULL' else "NULL::VARCHAR[]"} AS x, string_split_regex(t, {_quoted(pattern)}) AS p FROM texts))"""
 
 
+#: Lengths of the units give the cuts, the cuts give substrings of the text; no list of units is joined again.
+INFILL_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+lens AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]'), lambda x: length(x)) AS w, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::UINTEGER::BIGINT) AS k FROM texts),
+ends AS (SELECT *, len(w) AS n, coalesce(list_sum(w[:least(k[1] % (len(w) + 1), k[2] % (len(w) + 1))]), 0)::BIGINT AS a, coalesce(list_sum(w[:greatest(k[1] % (len(w) + 1), k[2] % (len(w) + 1))]), 0)::BIGINT AS b FROM lens),
+forms AS (SELECT *, CASE WHEN length(t) = 0 OR regexp_matches(t, '<[PSM]>') OR k[3] % 100 > 89 THEN 'plain' WHEN k[4] % 100 > 19 THEN 'psm' ELSE 'spm' END AS form FROM ends)
+SELECT doc_id, n::BIGINT AS n, form, CASE form WHEN 'plain' THEN NULL ELSE a END AS prefix_chars, CASE form WHEN 'plain' THEN NULL ELSE b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', left(t, a), '<S>', substr(t, b + 1), '<M>', substr(t, a + 1, b - a)) ELSE concat('<S>', substr(t, b + 1), '<P>', left(t, a), '<M>', substr(t, a + 1, b - a)) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM forms
+"""
+
+AUDIT_SQL = r"""
+WITH labelled AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+    CASE WHEN coalesce(d.doc_id > least, false) THEN 'E' ELSE '' END AS fails
+  FROM docs d LEFT JOIN labelled l ON d.doc_id = l.doc_id
+),
+counts AS (SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL),
+names AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM names a, names b, names c, names d, names e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders),
+grid AS (SELECT *, filter_order[step] AS f, filter_order[:step - 1] AS before FROM steps),
+seen AS (
+  SELECT part, filter_order, step, n, good, toxic, fails = f AS alone, contains(fails, f) AS failing, length(fails) AS m,
+    length(translate(before, fails, '')) = length(before) AS passed
+  FROM counts CROSS JOIN grid
+)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (passed AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (passed AND failing), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (NOT passed AND failing), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (passed AND failing AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (passed AND failing AND toxic = 1), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // m) FILTER (failing), 0)::BIGINT AS shapley
+FROM seen GROUP BY ALL
+"""
+
+
 def queries() -> dict:
-    found = (op1_quality_classifier, op2_exact_topk, op3_secret_scan, op4_mix_sources, op5_minhash_neardup, op6_embedding_neardup, op7_html_extraction, op8_best_fit_packing, op9_language_id, op10_url_filter, pipeline)
+    found = (op1_quality_classifier, op2_exact_topk, op3_secret_scan, op4_mix_sources, op5_minhash_neardup, op6_embedding_neardup, op7_html_extraction, op8_best_fit_packing, op9_language_id, op10_url_filter, op11_filter_audit, op12_fill_in_middle, op13_lexical_packing, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": TOPK_SQL, "op3_secret_scan": _secrets_sql(), "op5_minhash_neardup": NEARDUP_SQL, "op6_embedding_neardup": VECTORS_SQL}
+    return {"op2_exact_topk": TOPK_SQL, "op3_secret_scan": _secrets_sql(), "op5_minhash_neardup": NEARDUP_SQL, "op6_embedding_neardup": VECTORS_SQL, "op11_filter_audit": AUDIT_SQL, "op12_fill_in_middle": INFILL_SQL}
