@@ -112,7 +112,8 @@ def heaviest(ids: np.ndarray, idf: np.ndarray, counts: np.ndarray, mean: float)
     """The KEYS terms of most weight that other tails have too, the heaviest first."""
     terms, tf = np.unique(ids, return_counts=True)
     weight = np.where(counts[terms] > 1, idf[terms] * _saturated(tf, len(ids), mean), -1)
-    best = np.lexsort((terms, -weight))[:KEYS]
+    best = np.argpartition(-weight, KEYS)[:KEYS] if len(weight) > KEYS else np.arange(len(weight))
+    best = best[np.lexsort((terms[best], -weight[best]))]
     return [int(terms[i]) for i in best if weight[i] >= 0]
 
 
@@ -263,6 +264,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
         while waiting:
             level, last = level + 1, ranges == 1
             keyed = tails.mapInArrow(_keyed(weights), ROWS + ", keys array<bigint>")
+            # The range sort reads its rows twice, to find the ranges and to deal them.
+            keyed = materialize(keyed) if level == 1 and not last else keyed
             dealt = keyed.repartitionByRange(ranges, *order) if level == 1 and not last else keyed.coalesce(ranges)
             rows = materialize(dealt.sortWithinPartitions(*order).mapInArrow(_packed(weights, level, capacity, last), ROWS))
             placed.append(rows.where("ids is null"))
