@@ -14,17 +14,15 @@ def cue_edges(blocks: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).withColumn("weight", F.lit(1.0))
 
 
-def shared_code_edges(rows: DataFrame, most: int = 50) -> DataFrame:
+def shared_code_edges(rows: DataFrame) -> DataFrame:
     """Consecutive holders of a code, in order of id, both ways.
 
     A chain links all holders of a code with as many edges as holders, where all
-    pairs would grow with their square. Edges of codes with more than ``most``
-    holders weigh half as much; none is left out.
+    pairs would grow with their square. Edges weigh one for each code that they share.
     """
     held = rows.select("segment_id", F.explode(F.array_distinct("codes")).alias("code"))
-    w = Window.partitionBy("code")
-    e = held.withColumn("n", F.count("*").over(w)).withColumn("dst", F.lead("segment_id").over(w.orderBy("segment_id"))).where("dst is not null")
-    e = e.select(F.col("segment_id").alias("src"), "dst", F.when(F.col("n") <= most, 1.0).otherwise(0.5).alias("weight"))
+    e = held.withColumn("dst", F.lead("segment_id").over(Window.partitionBy("code").orderBy("segment_id"))).where("dst is not null")
+    e = e.select(F.col("segment_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
     return e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 

@@ -8,10 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusloom.functions import stats as S
 
 
+@F.pandas_udf(DoubleType())
+def sign_probability(positive: pd.Series, negative: pd.Series) -> pd.Series:
+    """Exact two-sided sign test of each row's counts."""
+    return pd.Series([S.sign_test(int(a), int(b)) for a, b in zip(positive, negative)], dtype="float64")
+
+
 def benjamini_hochberg(rows: DataFrame, p: str, family: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
     """``rows`` with ``q`` and ``rejected`` within each family; null probabilities stay null.
 
@@ -57,45 +64,25 @@ def within_between(rows: DataFrame, value: str, group: str) -> DataFrame:
     return rows.withColumn("between", F.round(mean, 6)).withColumn("within", F.round(F.col(value) - mean, 6))
 
 
-def mann_kendall(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """S, tau-b, probability and median slope of each group's series."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, value])
-        y = pdf[value].to_numpy(float)
-        n = len(y)
-        i, j = np.triu_indices(n, 1)
-        d = y[j] - y[i]
-        s = float(np.sign(d).sum())
-        ties = np.unique(y, return_counts=True)[1]
-        var = (n * (n - 1) * (2 * n + 5) - float((ties * (ties - 1) * (2 * ties + 5)).sum())) / 18
-        z = 0.0 if s == 0 or var <= 0 else (s - np.sign(s)) / np.sqrt(var)
-        pairs = n * (n - 1) / 2
-        tied = float((ties * (ties - 1) / 2).sum())
-        tau = s / np.sqrt(pairs * (pairs - tied)) if pairs > tied else 0.0
-        gap = (j - i).astype(float)
-        return pd.DataFrame([{group: pdf[group].iloc[0], "n": n, "s": s, "tau": round(float(tau), 6), "p": round(2 * S.normal_tail(abs(float(z))), 6), "sen": round(float(np.median(d / gap)), 6) if n > 1 else 0.0}])
-
-    kind = dict(rows.dtypes)[group]
-    return rows.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} {kind}, n long, s double, tau double, p double, sen double")
-
-
 #: Cumulative probabilities of a Poisson draw of mean one, from none to eight.
 POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9))
 
 
 def drawn_times(cluster: Column, draw: Column, seed: int) -> Column:
-    """How often a cluster is in a draw: Poisson of mean one, from a digest of seed, draw and cluster; once in draw -1."""
+    """How often a cluster is in a draw: Poisson of mean one, from a digest of seed, draw and cluster; once in draw -1.
+
+    The digest is bound in an array of one element, so that the nine comparisons share it.
+    """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), cluster.cast("string")))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    times = sum(((u >= F.lit(c)).cast("int") for c in POISSON[1:]), (u >= F.lit(POISSON[0])).cast("int"))
+    times = F.get(F.transform(F.array(u), lambda x: sum(((x >= F.lit(c)).cast("int") for c in POISSON[1:]), (x >= F.lit(POISSON[0])).cast("int"))), F.lit(0))
     return F.when(draw < 0, 1).otherwise(times)
 
 
 def with_draws(rows: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
-    """``rows`` in every draw that has them: draw (-1: the rows as they are) and times."""
-    r = rows.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))
-    return r.withColumn("times", drawn_times(F.col(cluster), F.col("draw"), seed)).where("times > 0")
+    """``rows`` in every draw that has them: draw (-1: the rows as they are) and times, each digest taken once."""
+    every = F.transform(F.sequence(F.lit(-1), F.lit(draws - 1)), lambda d: F.struct(d.alias("draw"), drawn_times(F.col(cluster), d, seed).alias("times")))
+    return rows.withColumn("_d", F.explode(F.filter(every, lambda x: x["times"] > 0))).select(*rows.columns, "_d.draw", "_d.times")
 
 
 def cluster_bootstrap(rows: DataFrame, keys: list[str], cluster: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:

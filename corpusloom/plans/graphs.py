@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
 from corpusloom.operators import graphs as N
+from corpusloom.operators import modularity as M
 from corpusloom.operators import segmentation as G
 from corpusloom.operators import transitions as T
 from corpusloom.plans.segmentation import VECTOR
@@ -14,7 +15,7 @@ from corpusloom.plans.vectors import MEANS
 from corpusloom.sources.corpus import MOVES, labelled, oracle, segments, table
 
 TEMPORAL = "tp AS (SELECT segment_id AS src, lead(segment_id) OVER (PARTITION BY session_id ORDER BY segment_index) AS dst FROM segments), temporal AS (SELECT src, dst, 1.0::DOUBLE AS weight FROM tp WHERE dst IS NOT NULL UNION ALL SELECT dst, src, 1.0 FROM tp WHERE dst IS NOT NULL)"
-CHAIN = """held AS (SELECT segment_id, unnest(list_distinct(codes)) AS code FROM labelled), ch AS (SELECT segment_id AS src, lead(segment_id) OVER (PARTITION BY code ORDER BY segment_id) AS dst, CASE WHEN count(*) OVER (PARTITION BY code) <= 50 THEN 1.0 ELSE 0.5 END::DOUBLE AS w FROM held),
+CHAIN = """held AS (SELECT segment_id, unnest(list_distinct(codes)) AS code FROM labelled), ch AS (SELECT segment_id AS src, lead(segment_id) OVER (PARTITION BY code ORDER BY segment_id) AS dst, 1.0::DOUBLE AS w FROM held),
 edges AS (SELECT src, dst, sum(w) AS weight FROM (SELECT src, dst, w FROM ch WHERE dst IS NOT NULL UNION ALL SELECT dst, src, w FROM ch WHERE dst IS NOT NULL) GROUP BY ALL)"""
 
 
@@ -113,3 +114,44 @@ def emergent_motifs(spark, sf_dir):
     b = _blocks(spark, sf_dir).withColumn("move", T.dominant_move(F.col("moves"), MOVES)).where("move is not null")
     rows = b.select((F.col("n_turns") % 7).alias("motif"), "move", (F.col("to_stage") > F.col("from_stage")).alias("forward"))
     return N.motifs(rows, influence=1.2).where("emergent").drop("emergent")
+
+
+def _parted(df):
+    return df.select(F.lit(0).alias("part"), "*")
+
+
+@register("grouping_modularity", oracle(f"""{GROUPS}, st AS (SELECT e.src, e.dst, e.weight, a.community AS a, b.community AS b FROM edges e JOIN grouped a ON a.segment_id = e.src JOIN grouped b ON b.segment_id = e.dst),
+by_a AS (SELECT a, sum(weight) AS tot, coalesce(sum(weight) FILTER (a = b), 0) AS inner_weight FROM st GROUP BY a), whole AS (SELECT sum(weight) AS m2 FROM edges)
+SELECT round(sum(inner_weight / m2 - (tot / m2) ** 2), 9) AS modularity, count(*) AS communities FROM by_a, whole"""))
+def grouping_modularity(spark, sf_dir):
+    """Modularity of the communities of three rounds of label propagation."""
+    edges = N.shared_code_edges(labelled(spark, sf_dir))
+    groups = _groups(spark, sf_dir).select(F.col("segment_id").alias("id"), "community")
+    return M.modularity(_parted(edges), _parted(groups)).drop("part")
+
+
+@register("community_formation", oracle(f"""{GROUPS}, again AS (SELECT 1 AS draw, id, community AS c FROM s1 UNION ALL SELECT 2, id, community FROM s2),
+cells AS (SELECT g.community, draw, c, count(*) AS n FROM again JOIN grouped g ON g.segment_id = id GROUP BY ALL), sums AS (SELECT community, draw, sum(n * (n - 1) // 2) AS together, sum(n) * (sum(n) - 1) // 2 AS seen FROM cells GROUP BY ALL)
+SELECT community, sum(seen)::BIGINT AS seen, sum(together)::BIGINT AS together FROM sums GROUP BY community"""))
+def community_formation(spark, sf_dir):
+    """Pairs of each community of three rounds that were together after the first and the second round already."""
+    rows = labelled(spark, sf_dir)
+    edges, nodes = N.shared_code_edges(rows), rows.select(F.col("segment_id").alias("id"))
+    again = N.communities(edges, nodes, 1).withColumn("draw", F.lit(1)).unionByName(N.communities(edges, nodes, 2).withColumn("draw", F.lit(2)))
+    return M.kept_together(N.communities(edges, nodes, 3), again)
+
+
+@register("modularity_communities")
+def modularity_communities(spark, sf_dir):
+    """Communities of the segments by modularity, levels until no move gains."""
+    rows = labelled(spark, sf_dir)
+    return M.communities(_parted(N.shared_code_edges(rows)), _parted(rows.select(F.col("segment_id").alias("id")))).drop("part")
+
+
+@register("community_stability")
+def community_stability(spark, sf_dir):
+    """Share of each community's pairs that stay together when participants are drawn anew."""
+    rows = labelled(spark, sf_dir)
+    edges = N.shared_code_edges(rows)
+    full = M.communities(_parted(edges), _parted(rows.select(F.col("segment_id").alias("id"))))
+    return M.stability(edges, rows.select(F.col("segment_id").alias("id"), "participant_id"), full, draws=5)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import register
 from corpusloom.functions import stats as S
 from corpusloom.operators import inference as I
+from corpusloom.operators import sensitivity as X
 from corpusloom.operators import transitions as T
+from corpusloom.operators import trends as R
 from corpusloom.plans.transitions import BLOCKS
 from corpusloom.sources.corpus import MOVES, STAGES, labelled, oracle, segments
 
@@ -48,13 +50,15 @@ def move_response_cramers_v(spark, sf_dir):
     return I.cramers_v(_blocks(spark, sf_dir), "move", "to_stage")
 
 
-@register("fdr_by_move", oracle(f"""{BLOCKS}, c AS (SELECT move, count(*) AS n, count(*) FILTER (to_stage > from_stage) AS k FROM chosen WHERE move IS NOT NULL GROUP BY ALL),
-p AS (SELECT move, round(exp(-abs(k - n / 2) / sqrt(n)), 6) AS p FROM c), r AS (SELECT *, row_number() OVER (ORDER BY p, move) AS i, count(*) OVER () AS m FROM p)
-SELECT move, p, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 6) AS q, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 6) <= 0.05 AS rejected FROM r"""))
+@register("fdr_by_move", oracle(f"""{BLOCKS}, c AS (SELECT move, count(*) FILTER (to_stage > from_stage) AS up, count(*) FILTER (to_stage < from_stage) AS down FROM chosen WHERE move IS NOT NULL GROUP BY ALL),
+p AS (SELECT move, up, down, round(least(1.0, CASE WHEN up + down = 0 THEN 1.0 ELSE 2 * list_sum(list_transform(range(greatest(up, down), up + down + 1), lambda j: exp(lgamma(up + down + 1) - lgamma(j + 1) - lgamma(up + down - j + 1) - (up + down) * ln(2)))) END), 6) AS p FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY p, move) AS i, count(*) OVER () AS m FROM p)
+SELECT move, up, down, p, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 6) AS q, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 6) <= 0.05 AS rejected FROM r"""))
 def fdr_by_move(spark, sf_dir):
-    c = _blocks(spark, sf_dir).where("move is not null").groupBy("move").agg(F.count("*").alias("n"), F.sum((F.col("delta") > 0).cast("long")).alias("k"))
-    p = c.select("move", F.round(F.exp(-F.abs(F.col("k") - F.col("n") / 2) / F.sqrt("n")), 6).alias("p"))
-    return I.benjamini_hochberg(p, "p")
+    """Exact sign test of each move's changes, forward against backward, as one family."""
+    count = lambda test: F.sum(test.cast("long"))
+    c = _blocks(spark, sf_dir).where("move is not null").groupBy("move").agg(count(F.col("delta") > 0).alias("up"), count(F.col("delta") < 0).alias("down"))
+    return I.benjamini_hochberg(c.withColumn("p", F.round(I.sign_probability(F.col("up"), F.col("down")), 6)), "p")
 
 
 @register("move_effect_size", oracle(f"""{BLOCKS}, d AS (SELECT from_stage, move, (to_stage - from_stage)::DOUBLE AS delta FROM chosen WHERE move IS NOT NULL), m AS (SELECT DISTINCT move FROM d),
@@ -129,11 +133,17 @@ def stage_move_permutation(spark, sf_dir):
     return I.permutation_test(_blocks(spark, sf_dir).where("move is not null").withColumn("own", F.col("move") == 0), "from_stage", "own", "delta")
 
 
-@register("participant_mann_kendall")
+@register("participant_mann_kendall", oracle("""per AS (SELECT participant_id, session_number, avg(label) AS m FROM labelled GROUP BY ALL), o AS (SELECT participant_id, m, row_number() OVER (PARTITION BY participant_id ORDER BY session_number, m) AS i FROM per),
+pr AS (SELECT a.participant_id, sum(sign(b.m - a.m)) AS s, median((b.m - a.m) / (b.i - a.i)) AS sen FROM o a JOIN o b ON a.participant_id = b.participant_id AND a.i < b.i GROUP BY ALL),
+tie AS (SELECT participant_id, sum(c)::DOUBLE AS n, sum(c * (c - 1) * (2 * c + 5))::DOUBLE AS t3, sum(c * (c - 1) / 2) AS tied FROM (SELECT participant_id, m, count(*) AS c FROM per GROUP BY ALL) GROUP BY ALL),
+v AS (SELECT t.participant_id, n, coalesce(s, 0)::DOUBLE AS s, coalesce(sen, 0) AS sen, n * (n - 1) / 2 AS pairs, tied, (n * (n - 1) * (2 * n + 5) - t3) / 18 AS var FROM tie t LEFT JOIN pr USING (participant_id)),
+z AS (SELECT *, CASE WHEN s = 0 OR var <= 0 THEN 0.0 ELSE abs((s - sign(s)) / sqrt(var)) END AS z FROM v)
+SELECT participant_id, n::BIGINT AS n, s, round(CASE WHEN pairs > tied THEN s / sqrt(pairs * (pairs - tied)) ELSE 0.0 END, 6) AS tau,
+  round(1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80), lambda k: CASE WHEN z = 0 THEN 0.0 ELSE exp((2 * k + 1) * ln(z) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) END)), 6) AS p, round(sen, 6) AS sen FROM z"""))
 def participant_mann_kendall(spark, sf_dir):
     """Monotone trend of each participant's session means."""
     per = labelled(spark, sf_dir).groupBy("participant_id", "session_number").agg(F.avg("label").alias("m"))
-    return I.mann_kendall(per, "participant_id", "session_number", "m")
+    return R.mann_kendall(per, "participant_id", "session_number", "m")
 
 
 @register("cohort_power", oracle("""SELECT cohort_id, count(DISTINCT participant_id) AS participants, count(DISTINCT session_id) AS sessions, count(DISTINCT participant_id) < 10 OR count(DISTINCT session_id) < 4 AS underpowered FROM labelled GROUP BY cohort_id"""))
@@ -181,3 +191,28 @@ def move_likelihood_ratio(spark, sf_dir):
     less = likelihood(c.groupBy("from_stage", "to_stage").agg(F.sum("n").alias("n")), ["from_stage"]).toDF("ll0", "groups0")
     both = full.crossJoin(F.broadcast(less)).select(F.greatest(2 * (F.col("ll") - F.col("ll0")), F.lit(0.0)).alias("x"), ((F.col("groups") - F.col("groups0")) * (STAGES - 1)).alias("df"))
     return both.select(F.round("x", 6).alias("statistic"), "df", F.round(S.chi2_tail_even(F.col("x"), F.col("df")), 6).alias("p"))
+
+
+_TIMES, _NUMBERS = drawn_sql("participant_id", 1000)
+_WITHIN = "sqrt(greatest((q - s * s / n) + (rq - rs * rs / rn), 0.0) / (n + rn - 2))"
+_UPPER = "list_sum(list_transform(range(greatest(above, below), above + below + 1), lambda j: exp(lgamma(above + below + 1) - lgamma(j + 1) - lgamma(above + below - j + 1) + j * ln(g) - (above + below) * ln(1 + g))))"
+
+
+@register("sensitivity_by_cell", oracle(f"""{BLOCKS}, d AS (SELECT participant_id, from_stage, move, (to_stage - from_stage)::DOUBLE AS delta FROM chosen WHERE move IS NOT NULL),
+cl AS (SELECT participant_id, from_stage, move, count(*) AS n, sum(delta) AS s, sum(delta * delta) AS q FROM d GROUP BY ALL),
+dr AS (SELECT from_stage, draw, move, sum(n * t)::DOUBLE AS n, sum(s * t) AS s, sum(q * t) AS q FROM (SELECT *, {_TIMES} AS t FROM cl, {_NUMBERS}) WHERE t > 0 GROUP BY ALL),
+wh AS (SELECT *, sum(n) OVER (PARTITION BY from_stage, draw) - n AS rn, sum(s) OVER (PARTITION BY from_stage, draw) - s AS rs, sum(q) OVER (PARTITION BY from_stage, draw) - q AS rq FROM dr),
+sm AS (SELECT *, CASE WHEN rn >= 1 AND n + rn > 2 THEN CASE WHEN round({_WITHIN}, 9) > 0 THEN (s / n - rs / rn) / {_WITHIN} ELSE 0.0 END END AS smd FROM wh),
+en AS (SELECT from_stage, move, count(*) AS valid, quantile_cont(smd, 0.025) AS lo, quantile_cont(smd, 0.975) AS hi FROM sm WHERE draw >= 0 AND smd IS NOT NULL GROUP BY ALL),
+pe AS (SELECT from_stage, count(DISTINCT participant_id) AS people FROM d GROUP BY ALL),
+re AS (SELECT r.*, CASE WHEN people >= 2 AND valid >= {X.LEAST_DRAWS} THEN lo END AS low, CASE WHEN people >= 2 AND valid >= {X.LEAST_DRAWS} THEN hi END AS high FROM sm r JOIN pe USING (from_stage) LEFT JOIN en e ON e.from_stage = r.from_stage AND e.move = r.move WHERE draw < 0 AND n >= 4 AND rn >= 2),
+si AS (SELECT r.from_stage, r.move, count(*) FILTER (delta > round(rs / rn, 9)) AS above, count(*) FILTER (delta < round(rs / rn, 9)) AS below FROM re r JOIN d ON d.from_stage = r.from_stage AND d.move = r.move GROUP BY ALL),
+ga AS (SELECT *, CASE WHEN above + below < 3 THEN NULL WHEN above = below THEN 1.0 ELSE coalesce(list_filter(list_transform(range(101), lambda i: round(1 + 0.05 * i, 2)::DOUBLE), lambda g: {_UPPER} >= 0.05)[1], 6.0) END AS gamma FROM si),
+ev AS (SELECT r.*, exp(0.91 * smd) AS rr, exp(0.91 * CASE WHEN low > 0 THEN low ELSE high END) AS near FROM re r)
+SELECT v.from_stage, v.move, n::BIGINT AS n, round(s / n, 6) AS mean_delta, round(smd, 6) AS smd, round(low, 6) AS smd_ci_lo, round(high, 6) AS smd_ci_hi, round(rr, 6) AS approx_rr,
+  round(greatest(rr, 1 / rr) + sqrt(greatest(rr, 1 / rr) * (greatest(rr, 1 / rr) - 1)), 6) AS e_value,
+  round(CASE WHEN low <= 0 AND high >= 0 THEN 1.0 ELSE greatest(near, 1 / near) + sqrt(greatest(near, 1 / near) * (greatest(near, 1 / near) - 1)) END, 6) AS e_value_ci_limit, gamma
+FROM ev v JOIN ga ON ga.from_stage = v.from_stage AND ga.move = v.move"""))
+def sensitivity_by_cell(spark, sf_dir):
+    """Robustness of each stage and move's change to hidden bias."""
+    return X.sensitivity_bounds(_blocks(spark, sf_dir))
