@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.operators.segmentation import letter_vector
+from corpusloom.operators.segmentation import sketch
 
 ATTACH, SKIP = 0.30, 0.22
 
@@ -40,7 +40,7 @@ def walk(segments: DataFrame, backwards: bool = True, max_gap_ms: int = 5000, wo
 def attachment(segments: DataFrame, contexts: DataFrame, attach: float = ATTACH, skip: float = SKIP) -> DataFrame:
     """attach, skip or ask by the similarity of a segment and its context; without a context skip."""
     j = segments.select("segment_id", "text").join(contexts.where("n > 0"), "segment_id", "left")
-    dot = F.aggregate(F.zip_with(letter_vector(F.lower("text")), letter_vector(F.lower(F.coalesce("context", F.lit("")))), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    dot = F.aggregate(F.zip_with(sketch(F.lower("text")), sketch(F.lower(F.coalesce("context", F.lit("")))), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     s = j.withColumn("similarity", F.round(dot, 6))
     verdict = F.when(F.col("context").isNull() | (F.col("similarity") < skip), "skip").when(F.col("similarity") >= attach, "attach").otherwise("ask")
     return s.select("segment_id", "similarity", verdict.alias("verdict"))

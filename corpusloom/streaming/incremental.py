@@ -16,7 +16,7 @@ from corpusloom.sources.transcripts import parse_vtt
 def as_sentences(utterances: DataFrame) -> DataFrame:
     """Utterances as the rows that segmentation takes."""
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return utterances.select("session_id", "speaker", "text", F.col("place").cast("long").alias("place"), "start", "end", words.alias("words"), G.letter_vector(F.lower("text")).alias("vector"))
+    return utterances.select("session_id", "speaker", "text", F.col("place").cast("long").alias("place"), "start", "end", words.alias("words"), G.sketch(F.lower("text")).alias("vector"))
 
 
 def segmented(utterances: DataFrame, settings: dict, encode: Callable[[DataFrame], DataFrame] = as_sentences) -> DataFrame:
