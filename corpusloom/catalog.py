@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from corpusloom.plans import aggregates, calibration, consensus, events, graphs, inference, mechanism, models, regression, reports, segmentation, sources, testsets, text, transitions, vectors  # noqa: F401
+    from corpusloom.plans import aggregates, calibration, consensus, events, graphs, inference, mechanism, models, regression, reports, response, segmentation, sources, testsets, text, transitions, vectors  # noqa: F401
 
 
 _load()

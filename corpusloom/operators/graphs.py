@@ -32,6 +32,30 @@ def typed_edges(segments: DataFrame, blocks: DataFrame, similar: DataFrame | Non
     return e if similar is None else e.unionByName(similar.withColumn("kind", F.lit("similar")))
 
 
+def anchor_edges(anchors: list[tuple[str, list[float]]], rows: DataFrame, top: int = 8) -> DataFrame:
+    """Each anchor's ``top`` most similar segments by cosine: anchor_id, segment_id, weight (none below 0).
+
+    ``rows`` has segment_id and vector. Anchors are a code book's definitions, a few
+    dozen, and go along as literals; each task keeps an anchor's best rows before the shuffle.
+    Equal similarities go by segment_id; zero and null vectors have similarity 0.
+    """
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    dot = lambda c: F.aggregate(F.zip_with("vector", F.array(*[F.lit(float(x)) for x in c]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    parts = []
+    for name, c in anchors:
+        size = sum(x * x for x in c) ** 0.5
+        near = dot(c) / (norm("vector") * F.lit(size)) if size else F.lit(0.0)
+        parts.append(F.struct(F.lit(name).alias("anchor_id"), F.round(F.greatest(F.lit(0.0), F.coalesce(F.when(norm("vector") > 0, near), F.lit(0.0))), 6).alias("weight")))
+    every = rows.select("segment_id", F.explode(F.array(*parts)).alias("a")).select("a.anchor_id", "segment_id", "a.weight")
+    rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("weight"), "segment_id"))
+    return every.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
+
+
+def cross_anchor_edges(lift: DataFrame, least: float = 1.5) -> DataFrame:
+    """Edges between a label's and a code's anchor where their lift (label, code, lift) is ``least`` or more."""
+    return lift.where(F.col("lift") >= least).select(F.concat(F.lit("stage:"), F.col("label")).alias("src"), F.concat(F.lit("code:"), F.col("code")).alias("dst"), F.col("lift").alias("weight"))
+
+
 def neighbour_mean(edges: DataFrame, values: DataFrame) -> DataFrame:
     """Weighted mean of the neighbours' values (id, value) of each target."""
     j = edges.join(values.withColumnRenamed("id", "src"), "src")

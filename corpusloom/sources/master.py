@@ -99,3 +99,31 @@ def new_segment_ids(segments: DataFrame, old_prefix: str, new_prefix: str) -> Da
     if not m.groupBy("new_id").count().where("count > 1").isEmpty():
         raise ValueError("two segments get one id")
     return m
+
+
+def write_block_motifs(motifs: DataFrame, path: str) -> None:
+    """The clusters of the blocks (from_id, to_id, motif) as Parquet, in place of older ones."""
+    motifs.select("from_id", "to_id", F.col("motif").cast("int").alias("motif")).write.mode("overwrite").parquet(path)
+
+
+def read_block_motifs(spark: SparkSession, path: str) -> DataFrame:
+    """from_id, to_id, motif of a kept table; where its columns are missing, no rows."""
+    kept = spark.read.parquet(path)
+    if not {"from_id", "to_id", "motif"} <= set(kept.columns):
+        return spark.createDataFrame([], "from_id string, to_id string, motif int")
+    return kept.select("from_id", "to_id", "motif")
+
+
+#: Out-of-fold predictions of both frameworks' labels by segment.
+HELDOUT = "segment_id string, label_pred int, label_conf double, move_pred int, move_conf double"
+
+
+def write_heldout(labels: DataFrame, moves: DataFrame, path: str) -> None:
+    """Out-of-fold predictions (segment_id, predicted, confidence) of labels and moves as one CSV table, confidences to four places."""
+    side = lambda df, name: df.select("segment_id", F.col("predicted").cast("int").alias(f"{name}_pred"), F.round("confidence", 4).alias(f"{name}_conf"))
+    side(labels, "label").join(side(moves, "move"), "segment_id", "full").write.mode("overwrite").csv(path, header=True)
+
+
+def read_heldout(spark: SparkSession, path: str) -> DataFrame:
+    """HELDOUT of a kept table; fields of another type are null."""
+    return spark.read.schema(HELDOUT).csv(path, header=True, mode="PERMISSIVE")
