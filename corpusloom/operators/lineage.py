@@ -1,24 +1,28 @@
-"""Cutting the lineage of iterative jobs into the shared checkpoint folder."""
+"""Cutting the lineage of iterative jobs by tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the session's ``spark.checkpoint.dir``.
+    """``df`` written once, as Parquet below the session's ``spark.checkpoint.dir``, and read back.
 
-    Where that is unset, a session on one machine, as in tests, makes a folder of its own;
-    a cluster, whose executors can't reach such a folder, gives an error.
+    A table, and not a checkpoint: the plan of a checkpointed frame carries its old
+    constraints along, which double in every round of a loop. Where the folder is unset,
+    a session on one machine, as in tests, makes one of its own; a cluster, whose executors
+    can't reach such a folder, gives an error.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if spark.sparkContext.master.split("[")[0] != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-            folder = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

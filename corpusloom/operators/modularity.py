@@ -1,7 +1,7 @@
 """Communities of weighted graphs by modularity, and how stable they are.
 
 A level moves nodes between communities in rounds, then the graph is contracted to one
-node a community, until a level moves nothing. Several graphs, told apart by ``part``,
+node a community, until a level moves nothing; then single nodes move once more. Several graphs, told apart by ``part``,
 are worked on at once.
 
 In a round each community either gives or takes nodes, by a digest, so that no target
@@ -20,7 +20,7 @@ from corpusloom.operators.inference import drawn_times
 from corpusloom.operators.lineage import materialize
 
 #: Rounds of one level at most; what they leave is moved on the contracted graph.
-ROUNDS = 4
+ROUNDS = 8
 
 
 def _takes(part: Column, community: Column, turn: int) -> Column:
@@ -53,6 +53,8 @@ def _round(edges: DataFrame, state: DataFrame, turn: int) -> DataFrame:
     c = j.where(~inner).withColumn("gain", F.round(gain, 9)).where("gain > 0")
     allowed = _takes(F.col("part"), F.col("target"), turn) & ~_takes(F.col("part"), F.col("community"), turn)
     best = c.groupBy("part", "id", "k", "m2", "community").agg(F.min_by(F.struct("target", "gain"), F.when(allowed, F.struct(-F.col("gain"), F.col("target")))).alias("move"))
+    # The gaining moves are used five times below; made once, they are few.
+    best = materialize(best)
     moves = best.where("move is not null").select("part", "id", "k", "m2", "community", "move.target", "move.gain")
     rank = F.struct(-F.col("gain"), F.col("id"))
     into = moves.groupBy("part", "target").agg(F.sum("k").alias("k_in"), F.min(rank).alias("first_in"))
@@ -64,36 +66,45 @@ def _round(edges: DataFrame, state: DataFrame, turn: int) -> DataFrame:
     return state.join(flags.groupBy("part", "id").agg(F.max("target").alias("target"), F.max("better").alias("better")), ["part", "id"], "left")
 
 
+def _settled(edges: DataFrame, state: DataFrame, turn: int, rounds: int) -> tuple[DataFrame, int, int, bool]:
+    """``state`` after rounds until no move gains: the state, the last turn, how many moves were made, and whether some still gain."""
+    moved, better = 0, True
+    for _ in range(rounds):
+        turn += 1
+        done = materialize(_round(edges, state, turn))
+        better, now = done.agg(F.count("better"), F.count("target")).first()
+        state, moved = done.select("part", "id", "k", "m2", F.coalesce("target", "community").alias("community")), moved + now
+        if not better:
+            break
+    return state, turn, moved, bool(better)
+
+
 def communities(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Community of every node by modularity: part, id, community, its smallest member's id.
 
     ``edges`` has part, src, dst, weight, each edge both ways, weights above zero;
     ``nodes`` part and id. Nodes without edges are communities of their own; nulls are
     left out; repeated edges add up. The same rows give the same communities on every run.
-    A level ends when a round moves under a tenth of its nodes.
+    After the levels single nodes move once more, on the graph as it was, since
+    contraction holds together what an early round has joined.
     """
     nodes = nodes.select("part", "id").where("id is not null").distinct()
-    e = materialize(edges.where("src is not null and dst is not null and weight > 0").groupBy("part", "src", "dst").agg(F.sum("weight").alias("weight")))
+    e = given = materialize(edges.where("src is not null and dst is not null and weight > 0").groupBy("part", "src", "dst").agg(F.sum("weight").alias("weight")))
     whole = materialize(e.groupBy("part").agg(F.sum("weight").alias("m2")))
     found, turn = materialize(nodes.withColumn("community", F.col("id"))), 0
     better = not e.isEmpty()
     while better:
-        state, moved = _strengths(e).join(whole, "part").withColumn("community", F.col("id")), 0
-        for _ in range(rounds):
-            turn += 1
-            done = materialize(_round(e, state, turn))
-            size, better, now = done.agg(F.count("*"), F.count("better"), F.count("target")).first()
-            moved += now
-            state = done.select("part", "id", "k", "m2", F.coalesce("target", "community").alias("community"))
-            if not better or moved and now * 10 < size:
-                break
+        state, turn, moved, better = _settled(e, _strengths(e).join(whole, "part").withColumn("community", F.col("id")), turn, rounds)
         if not moved:
-            continue  # The digest allowed none of the moves that gain; further rounds draw anew.
+            continue  # The digest allowed none of the moves that gain, if there are any; further rounds draw anew.
         step = state.select("part", F.col("id").alias("community"), F.col("community").alias("_to"))
         found = materialize(found.join(step, ["part", "community"], "left").select("part", "id", F.coalesce("_to", "community").alias("community")))
         to = lambda end: state.select("part", F.col("id").alias(end), F.col("community").alias(f"_{end}"))
         e = materialize(e.join(to("src"), ["part", "src"]).join(to("dst"), ["part", "dst"]).groupBy("part", F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight")))
         better = True
+    if turn:
+        last, *_ = _settled(given, _strengths(given).join(whole, "part").join(found, ["part", "id"]), turn, rounds)
+        found = materialize(found.join(last.select("part", "id", F.col("community").alias("_to")), ["part", "id"], "left").select("part", "id", F.coalesce("_to", "community").alias("community")))
     least = found.groupBy("part", "community").agg(F.min("id").alias("_least"))
     return found.join(least, ["part", "community"]).select("part", "id", F.col("_least").alias("community"))
 

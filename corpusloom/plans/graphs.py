@@ -185,4 +185,4 @@ def community_stability(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     edges = N.shared_code_edges(rows)
     full = M.communities(_parted(edges), _parted(rows.select(F.col("segment_id").alias("id"))))
-    return M.stability(edges, rows.select(F.col("segment_id").alias("id"), "participant_id"), full, draws=5)
+    return M.stability(edges, rows.select(F.col("segment_id").alias("id"), "participant_id"), full, draws=3)
