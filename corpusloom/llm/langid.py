@@ -136,13 +136,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
     """Languages in order and their n-gram distributions from labelled ``docs`` (doc_id, text, lang).
 
     Of a language with more than ``fit_docs`` documents a share fixed by the hash of
-    doc_id is used. The driver gets at most BUCKETS counts for each language.
+    id and text is used, so null and repeated ids draw like others. The driver gets at most BUCKETS counts for each language.
     """
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.zeros((BUCKETS, 0))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, fit_docs / n) * (1 << 30)))])
-    part = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    part = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
     counted = part.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
     place = {k: i for i, k in enumerate(langs)}
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
 
 def _model(rows: DataFrame, fit_docs: int):
     """Broadcast of the languages and the model learned from ``rows`` (doc_id, text, lang, held_out)."""
-    known = ~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
+    known = ~F.col("held_out") & F.col("text").isNotNull() & F.col("lang").isNotNull()
     langs, model = fit(rows.where(known).select("doc_id", "text", "lang"), fit_docs)
     return rows.sparkSession.sparkContext.broadcast((langs, model.astype(np.float32)))
 
@@ -169,8 +169,8 @@ def _described(docs: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
-    Documents whose crc32(doc_id) mod 4 is 2 are held out of the fit; so are null
-    texts, null languages and null ids (which count as not held out). Only the text
+    Documents whose crc32(doc_id) mod 4 is 2 are held out of the fit; null texts and
+    null languages teach nothing; null ids have no remainder and are not held out. Only the text
     is looked at for a prediction. Null texts, texts without a letter, and all
     texts where nothing could be learned, get ``und`` with score 0. Repeated rows stay
     rows, other columns are ignored, and an empty table gives no rows.

@@ -183,7 +183,8 @@ def classify(docs: DataFrame, threshold: float = 0.5, fit_docs: int = FIT_DOCS)
     ``posterior`` is the label model's probability of good, ``score`` the scorer's;
     documents scoring ``threshold`` or more are kept. The label model's counts cover
     all documents: the driver gets one count for each vote pattern. The scorer is
-    fitted on the documents whose hash falls into a share of about ``fit_docs``.
+    fitted on the documents whose hash of id and text falls into a share of about
+    ``fit_docs``, copies with one id once, so null and repeated ids draw like others.
     Null and empty texts get no votes; too short to judge, they are kept only by
     their score. Repeated rows stay rows; an empty table gives no rows.
     """
@@ -192,7 +193,9 @@ def classify(docs: DataFrame, threshold: float = 0.5, fit_docs: int = FIT_DOCS)
     patterns = {r["pattern"]: r["n"] for r in counted.collect()}
     posterior, _, prior = label_model(patterns)
     share = min(1.0, fit_docs / max(1, sum(patterns.values())))
-    part = rows.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    drawn = rows.withColumn("_h", F.xxhash64(F.lit("quality"), "doc_id", "text")).where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Copies with one id are drawn together; one of them is enough.
+    part = drawn.groupBy("_h").agg(F.max("text").alias("text")).select("text")
     sample = part.mapInArrow(_features, "pattern int, bucket array<short>, value array<float>").collect()
     # Rows without votes teach nothing.
     sample = [r for r in sample if any(r["pattern"] // 3**i % 3 != NONE for i in range(len(LABELLERS)))]

@@ -121,3 +121,13 @@ def test_identify_matches_a_plain_recount(spark):
                 if best is None or value > best:
                     best, lang = value, max(w, key=w.get)
         assert got[i].lang_pred == lang, (i, single)
+
+
+def test_null_and_repeated_ids_teach_like_others(spark):
+    rows = corpus()
+    truth = {t: k for _, t, k in rows if k and len(t.split()) > 10}
+    for ident in (None, 1):
+        got = langid.identify(frame(spark, [(ident, t, k) for _, t, k in rows]), fit_docs=20).collect()
+        preds = [(r.lang_pred, truth[t]) for r, (_, t, _) in zip(got, rows) if t in truth]
+        assert len(got) == len(rows) and sum(a == b for a, b in preds) > 0.95 * len(preds)
+        assert langid.keep_identified(frame(spark, [(ident, t, k) for _, t, k in rows]), 20).count() > 0.9 * len(rows)

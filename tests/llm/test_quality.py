@@ -52,3 +52,13 @@ def test_edges(spark):
     got = quality.classify(spark.createDataFrame([(i, t, "p", "s", "k") for i, t in rows], SCHEMA)).collect()
     assert len(got) == 6 and all(r.score is not None for r in got)
     assert quality.classify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_do_not_decide_the_fit(spark):
+    rows = corpus(400)
+    own = {t: r.kept for (_, t, _), r in zip(rows, quality.classify(spark.createDataFrame([(i, t, "p", "s", "k") for i, t, _ in rows], SCHEMA), fit_docs=150).collect())}
+    for ident in (None, 7):
+        got = quality.classify(spark.createDataFrame([(ident, t, "p", "s", "k") for _, t, _ in rows], SCHEMA), fit_docs=150).collect()
+        assert len(got) == len(rows) and len({r.score for r in got}) > 100
+        assert np.mean([r.kept == g for r, (_, _, g) in zip(got, rows)]) > 0.95
+    assert np.mean([own[t] == g for _, t, g in rows]) > 0.95
