@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.lineage import numbered
+
 from corpusloom.functions.labels import is_therapist
 
 
@@ -39,10 +41,12 @@ def slice_of(rows: DataFrame, stratum: str, share: float, number: int, seed: int
 def worksheet(rows: DataFrame, number: int, seed: int = 42) -> DataFrame:
     """Items of one worksheet in a seeded order: worksheet_n, item_num, session_id, seg_num (from 1), sha.
 
-    A worksheet is what people rate by hand: its one ordering task is small by nature.
+    Rows are range-sorted by a digest of their id and numbered range by range.
     """
-    w = Window.partitionBy(F.lit(1)).orderBy(F.md5(F.concat(F.lit(f"{seed}:{number}:"), F.col("segment_id"))), "segment_id")
-    return rows.select(F.lit(number).alias("worksheet_n"), F.row_number().over(w).alias("item_num"), "session_id", (F.col("segment_index") + 1).alias("seg_num"), F.sha2("text", 256).alias("sha"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:{number}:"), F.col("segment_id")))
+    slim = rows.select("segment_id", "session_id", (F.col("segment_index") + 1).alias("seg_num"), F.sha2("text", 256).alias("sha"), digest.alias("_digest"))
+    placed = numbered(slim, [F.col("_digest"), F.col("segment_id")], "item_num")
+    return placed.select(F.lit(number).alias("worksheet_n"), F.col("item_num").cast("int").alias("item_num"), "session_id", "seg_num", "sha")
 
 
 def resolved(items: DataFrame, segments: DataFrame) -> DataFrame:

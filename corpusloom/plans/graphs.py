@@ -10,7 +10,7 @@ from corpusloom.operators import modularity as M
 from corpusloom.operators import motifs as Q
 from corpusloom.operators import segmentation as G
 from corpusloom.operators import transitions as T
-from corpusloom.plans.segmentation import VECTOR
+from corpusloom.plans.segmentation import ROUNDED, VECTOR
 from corpusloom.plans.transitions import BLOCKS
 from corpusloom.plans.vectors import MEANS
 from corpusloom.sources.corpus import MOVES, labelled, oracle, segments, table
@@ -78,7 +78,7 @@ def stage_top_terms(spark, sf_dir):
 
 
 @register("block_vectors", oracle(f"""{BLOCKS}, v AS (SELECT segment_id, {VECTOR("lower(text)")} AS r FROM segments), u AS (SELECT segment_id, list_transform(r, lambda x: CASE WHEN list_dot_product(r, r) > 0 THEN x / sqrt(list_dot_product(r, r)) ELSE 0.0 END) AS v FROM v),
-x AS (SELECT from_id, unnest(range({G.SKETCH}))::INTEGER AS place, unnest(v) AS x FROM joined JOIN u ON u.segment_id = turn_id) SELECT from_id, place, round(avg(x), 6) AS mean FROM x GROUP BY ALL"""))
+x AS (SELECT from_id, unnest(range({G.SKETCH}))::INTEGER AS place, unnest(v) AS x FROM joined JOIN u ON u.segment_id = turn_id) SELECT from_id, place, {ROUNDED('avg(x)')} AS mean FROM x GROUP BY ALL"""))
 def block_vectors(spark, sf_dir):
     return N.block_vectors(_blocks(spark, sf_dir), segments(spark, sf_dir).select("segment_id", G.sketch(F.lower("text")).alias("vector")))
 
@@ -95,12 +95,12 @@ MOTIFS = 6
 def _motif_round(i: int) -> str:
     """Means of the clusters of round i - 1, and the rows' clusters by them."""
     square = "round(list_sum(list_transform(range(1, len(v) + 1), lambda p: (v[p] - c[p]) * (v[p] - c[p]))), 6)"
-    centres = f"c{i} AS (SELECT motif, list(m ORDER BY place) AS c FROM (SELECT motif, place, round(avg(x), 6) AS m FROM (SELECT motif, unnest(range(len(v))) AS place, unnest(v) AS x FROM a{i - 1}) GROUP BY ALL) GROUP BY motif), " if i else ""
+    centres = f"c{i} AS (SELECT motif, list(m ORDER BY place) AS c FROM (SELECT motif, place, {ROUNDED('avg(x)')} AS m FROM (SELECT motif, unnest(range(len(v))) AS place, unnest(v) AS x FROM a{i - 1}) GROUP BY ALL) GROUP BY motif), " if i else ""
     return f"{centres}a{i} AS (SELECT from_id, any_value(v) AS v, arg_min(motif, ({square}, motif)) AS motif FROM bv, c{i} GROUP BY from_id)"
 
 
 FITTED = f"""{BLOCKS}, v AS (SELECT segment_id, {VECTOR("lower(text)")} AS r FROM segments), u AS (SELECT segment_id, list_transform(r, lambda x: CASE WHEN list_dot_product(r, r) > 0 THEN x / sqrt(list_dot_product(r, r)) ELSE 0.0 END) AS v FROM v),
-bx AS (SELECT from_id, place, round(avg(x), 6) AS mean FROM (SELECT from_id, unnest(range({G.SKETCH})) AS place, unnest(v) AS x FROM joined JOIN u ON u.segment_id = turn_id) GROUP BY ALL), bv AS (SELECT from_id, list(mean ORDER BY place) AS v FROM bx GROUP BY from_id),
+bx AS (SELECT from_id, place, {ROUNDED('avg(x)')} AS mean FROM (SELECT from_id, unnest(range({G.SKETCH})) AS place, unnest(v) AS x FROM joined JOIN u ON u.segment_id = turn_id) GROUP BY ALL), bv AS (SELECT from_id, list(mean ORDER BY place) AS v FROM bx GROUP BY from_id),
 c0 AS (SELECT (row_number() OVER (ORDER BY md5(from_id), from_id) - 1)::INTEGER AS motif, v AS c FROM bv QUALIFY row_number() OVER (ORDER BY md5(from_id), from_id) <= {MOTIFS}), {", ".join(_motif_round(i) for i in range(4))},
 r AS (SELECT a3.motif, move, (to_stage > from_stage)::INTEGER AS f FROM chosen JOIN a3 USING (from_id) WHERE move IS NOT NULL), b AS (SELECT motif, move, count(*) AS c, sum(f) AS f FROM r GROUP BY ALL),
 m AS (SELECT motif, sum(c)::BIGINT AS n, round(max(c) / sum(c), 6) AS purity, round((sum(f) / sum(c)) / (SELECT avg(f) FROM r), 6) AS influence FROM b GROUP BY motif)"""

@@ -216,3 +216,12 @@ FROM ev v JOIN ga ON ga.from_stage = v.from_stage AND ga.move = v.move"""))
 def sensitivity_by_cell(spark, sf_dir):
     """Robustness of each stage and move's change to hidden bias."""
     return X.sensitivity_bounds(_blocks(spark, sf_dir))
+
+
+@register("move_cohens_h", oracle(f"""{BLOCKS}, c AS (SELECT move, count(*)::DOUBLE AS n, count(*) FILTER (to_stage > from_stage)::DOUBLE AS k FROM chosen WHERE move IS NOT NULL GROUP BY ALL), t AS (SELECT sum(n) AS tn, sum(k) AS tk FROM c)
+SELECT move, n::BIGINT AS n, round(2 * asin(sqrt(k / n)) - 2 * asin(sqrt((tk - k) / (tn - n))), 6) AS h FROM c, t WHERE tn > n"""))
+def move_cohens_h(spark, sf_dir):
+    """Distance of each move's forward share from that of all other moves."""
+    c = _blocks(spark, sf_dir).where("move is not null").groupBy("move").agg(F.count("*").alias("n"), F.sum((F.col("delta") > 0).cast("long")).alias("k"))
+    both = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("tn"), F.sum("k").alias("tk")))).where("tn > n")
+    return both.select("move", "n", F.round(S.cohens_h(F.col("k") / F.col("n"), (F.col("tk") - F.col("k")) / (F.col("tn") - F.col("n"))), 6).alias("h"))

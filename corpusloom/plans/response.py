@@ -15,7 +15,7 @@ from corpusloom.operators import response as R
 from corpusloom.operators import segmentation as G
 from corpusloom.plans.aggregates import LIFT
 from corpusloom.plans.inference import _blocks, drawn_sql
-from corpusloom.plans.segmentation import VECTOR
+from corpusloom.plans.segmentation import ROUNDED, VECTOR
 from corpusloom.sources.corpus import MOVES, STAGES, labelled, oracle, segments, table
 
 
@@ -74,7 +74,7 @@ def probe_predictions(spark, sf_dir):
 _UNIT = f"v AS (SELECT segment_id, {VECTOR('lower(text)')} AS r FROM segments), u AS (SELECT segment_id, list_transform(r, lambda x: CASE WHEN list_dot_product(r, r) > 0 THEN x / sqrt(list_dot_product(r, r)) ELSE 0.0 END) AS v FROM v)"
 
 
-@register("anchor_edges", oracle(f"""{_UNIT}, ce AS (SELECT label, list(m ORDER BY place) AS c FROM (SELECT label, place, round(avg(x), 6) AS m FROM (SELECT label, unnest(range({G.SKETCH})) AS place, unnest(v) AS x FROM labelled JOIN u USING (segment_id)) GROUP BY ALL) GROUP BY label),
+@register("anchor_edges", oracle(f"""{_UNIT}, ce AS (SELECT label, list(m ORDER BY place) AS c FROM (SELECT label, place, {ROUNDED('avg(x)')} AS m FROM (SELECT label, unnest(range({G.SKETCH})) AS place, unnest(v) AS x FROM labelled JOIN u USING (segment_id)) GROUP BY ALL) GROUP BY label),
 w AS (SELECT 'stage:' || label AS anchor_id, segment_id, round(greatest(0.0, CASE WHEN list_dot_product(v, v) > 0 THEN list_dot_product(v, c) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(c, c)) ELSE 0.0 END), 6) AS weight FROM u, ce)
 SELECT anchor_id, segment_id, weight FROM w QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY weight DESC, segment_id) <= 8"""))
 def anchor_edges(spark, sf_dir):

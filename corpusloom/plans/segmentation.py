@@ -17,7 +17,13 @@ def VECTOR(c: str) -> str:
     return f"""list_transform([{hashes}], lambda hs: list_transform(range({G.SKETCH}), lambda k: coalesce(list_sum(list_transform(list_filter(hs, lambda h: h % {G.SKETCH} = k), lambda h: CASE WHEN h // {G.SKETCH} % 2 = 0 THEN 1.0 ELSE -1.0 END)), 0.0)::DOUBLE))[1]"""
 
 
+def ROUNDED(x: str) -> str:
+    """Six places of a value that may be just under zero, without a negative zero."""
+    return f"(round(({x}) * 1e6)::BIGINT / 1e6)"
+
+
 PLACES = f"range(1, {G.SKETCH + 1})"
+DOT = f"list_sum(list_transform({PLACES}, lambda k: list_sum(list_transform(l, lambda v: v[k])) * list_sum(list_transform(r, lambda v: v[k])))) / (len(l) * len(r))"
 SENTENCES = f"""
 cut AS (SELECT session_id, speaker, segment_index, segment_id, start_ms, end_ms, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS parts FROM segments),
 flat AS (SELECT session_id, speaker, segment_index, segment_id, start_ms, end_ms, len(parts) AS n, unnest(range(len(parts))) AS i, unnest(parts) AS raw FROM cut),
@@ -31,7 +37,7 @@ sides AS (SELECT *, lead(speaker) OVER o AS next_speaker, greatest(0.0, lead("st
   list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l, coalesce(list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []) AS r
   FROM sentences WINDOW o AS (PARTITION BY session_id ORDER BY place)),
 curve AS (SELECT session_id, speaker, place, text, words, "start", "end", next_speaker, CASE WHEN len(r) > 0 THEN round(pause, 3) END AS pause_ms,
-  CASE WHEN len(r) > 0 THEN round(list_sum(list_transform({PLACES}, lambda k: list_sum(list_transform(l, lambda v: v[k])) * list_sum(list_transform(r, lambda v: v[k])))) / (len(l) * len(r)), 6) END AS similarity FROM sides),
+  CASE WHEN len(r) > 0 THEN {ROUNDED(DOT)} END AS similarity FROM sides),
 marked AS (SELECT c.*, coalesce(next_speaker <> speaker OR pause_ms > 30000, false) AS forced, coalesce(pause_ms > 2000 OR similarity < lim, false) AS soft FROM curve c JOIN (SELECT session_id, quantile_cont(similarity, 0.25) AS lim FROM curve GROUP BY session_id) USING (session_id))
 """
 NUMBERED = f"""{CURVES},
@@ -71,7 +77,7 @@ def boundary_candidates(spark, sf_dir):
 
 @register("boundary_confidence", oracle(f"""{CURVES},
 wide AS (SELECT session_id, place, list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS l, coalesce(list(vector) OVER (PARTITION BY session_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), []) AS r FROM sentences),
-broad AS (SELECT session_id, place, CASE WHEN len(r) > 0 THEN round(list_sum(list_transform({PLACES}, lambda k: list_sum(list_transform(l, lambda v: v[k])) * list_sum(list_transform(r, lambda v: v[k])))) / (len(l) * len(r)), 6) END AS broad FROM wide)
+broad AS (SELECT session_id, place, CASE WHEN len(r) > 0 THEN {ROUNDED(DOT)} END AS broad FROM wide)
 SELECT m.session_id, m.place, CASE WHEN forced OR coalesce(broad < lim, false) THEN 'confident' ELSE 'ambiguous' END AS confidence FROM marked m JOIN broad USING (session_id, place) JOIN (SELECT session_id, quantile_cont(broad, 0.25) AS lim FROM broad GROUP BY session_id) USING (session_id) WHERE forced OR soft"""))
 def boundary_confidence(spark, sf_dir):
     return G.boundary_confidence(G.curves(_sentences(spark, sf_dir)))
@@ -100,7 +106,7 @@ def folded_sentences(spark, sf_dir):
 
 @register("coherence_verdicts", oracle(f"""parts AS (SELECT segment_id, unnest(range(len(p))) AS i, unnest(p) AS s FROM (SELECT segment_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS p FROM segments)),
 v AS (SELECT segment_id, i, {VECTOR("lower(s)")} AS v FROM parts), u AS (SELECT segment_id, i, v, sqrt(list_dot_product(v, v)) AS n FROM v), w AS (SELECT segment_id, i, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END) AS v FROM u),
-d AS (SELECT segment_id, i, round(list_dot_product(v, lead(v) OVER (PARTITION BY segment_id ORDER BY i)), 6) AS sim FROM w),
+d AS (SELECT segment_id, i, {ROUNDED('list_dot_product(v, lead(v) OVER (PARTITION BY segment_id ORDER BY i))')} AS sim FROM w),
 per AS (SELECT segment_id, count(*) AS parts, min(sim) AS lowest, avg(sim) AS mean, arg_min(i, (sim, i)) FILTER (sim IS NOT NULL) AS gap FROM d GROUP BY ALL HAVING count(*) >= 4)
 SELECT segment_id, parts, lowest, CASE WHEN lowest < 0.3 THEN 'split' WHEN lowest > round(mean, 6) - 0.1 THEN 'keep' ELSE 'ask' END AS verdict, (gap + 1)::INTEGER AS "at" FROM per"""))
 def coherence_verdicts(spark, sf_dir):

@@ -10,6 +10,7 @@ from corpusloom.operators import transitions as T
 from corpusloom.plans.transitions import BLOCKS
 from corpusloom.sources import frameworks as W
 from corpusloom.sources import master as M
+from corpusloom.sources import store as B
 from corpusloom.sources.corpus import STAGE_NAMES, labelled, oracle, segments
 
 NAMES = "[" + ", ".join(f"'{n}'" for n in STAGE_NAMES) + "]"
@@ -116,3 +117,23 @@ def quote_grounding(spark, sf_dir):
     s = segments(spark, sf_dir)
     quotes = F.array(F.substring("text", 1, 24), F.lit("nobody has ever said this here"))
     return s.select("segment_id", F.round(grounded_share(quotes, F.col("text")), 6).alias("grounded"))
+
+
+@register("overlaid_segments", oracle("SELECT segment_id, speaker, CASE WHEN segment_index % 3 = 0 AND label IS NOT NULL THEN label END AS theme, CASE WHEN segment_index % 2 = 0 AND move IS NOT NULL THEN move END AS purer FROM segments"))
+def overlaid_segments(spark, sf_dir):
+    """Segments with two overlays that cover some of them, one of which has a row too many."""
+    s = segments(spark, sf_dir)
+    theme = s.where("segment_index % 3 = 0 and label is not null").select("segment_id", F.col("label").alias("theme"))
+    orphan = spark.createDataFrame([("no such segment", 1)], "segment_id string, theme int")
+    move = s.where("segment_index % 2 = 0 and move is not null").select("segment_id", F.col("move").alias("purer"))
+    return B.apply_overlays(s.select("segment_id", "speaker"), theme.unionByName(orphan), move)
+
+
+@register("replaced_turns", oracle("""rest AS (SELECT session_id, segment_id, speaker, segment_index FROM segments WHERE speaker <> 'therapist'), l AS (SELECT session_id, max(segment_index) AS last FROM rest GROUP BY ALL),
+n AS (SELECT session_id, segment_id || '_r' AS segment_id, speaker, start_ms FROM segments WHERE speaker = 'therapist' AND segment_index % 3 <> 1)
+SELECT * FROM rest UNION ALL SELECT n.session_id, n.segment_id, n.speaker, (coalesce(last, -1) + row_number() OVER (PARTITION BY n.session_id ORDER BY start_ms))::INTEGER FROM n LEFT JOIN l USING (session_id)"""))
+def replaced_turns(spark, sf_dir):
+    """The therapist's turns replaced by two thirds of them under new ids, numbered on from the rest."""
+    s = segments(spark, sf_dir).select("session_id", "segment_id", "speaker", "segment_index", "start_ms")
+    new = s.where("speaker = 'therapist' and segment_index % 3 <> 1").withColumn("segment_id", F.concat("segment_id", F.lit("_r"))).drop("segment_index")
+    return B.replace_turns(s, new).select("session_id", "segment_id", "speaker", "segment_index")

@@ -10,7 +10,7 @@ from corpusloom.operators import consensus as C
 from corpusloom.operators import refine as R
 from corpusloom.operators import testsets as W
 from corpusloom.plans.consensus import CAST
-from corpusloom.plans.segmentation import PLACES, VECTOR
+from corpusloom.plans.segmentation import PLACES, ROUNDED, VECTOR
 from corpusloom.sources.corpus import STAGES, oracle, segments
 
 SLICE = """pool AS (SELECT * FROM segments WHERE speaker <> 'therapist'), o AS (SELECT *, row_number() OVER (PARTITION BY session_number ORDER BY md5('42' || segment_id), segment_id) - 1 AS p, greatest(1, floor(count(*) OVER (PARTITION BY session_number) * 0.1 + 0.5)) AS s FROM pool),
@@ -82,7 +82,7 @@ def context_walk(spark, sf_dir):
 
 @register("context_attachment", oracle(f"""n AS (SELECT segment_id, text, {VECTOR("lower(text)")} AS a, {VECTOR("lower(coalesce(lag(text) OVER (PARTITION BY session_id ORDER BY segment_index), ''))")} AS b, lag(text) OVER (PARTITION BY session_id ORDER BY segment_index) AS ctx, lag(word_count) OVER (PARTITION BY session_id ORDER BY segment_index) AS wc, speaker FROM segments),
 p AS (SELECT segment_id, CASE WHEN coalesce(wc <= 30, false) THEN ctx END AS ctx, a, b, list_dot_product(a, a) AS na, list_dot_product(b, b) AS nb FROM n WHERE speaker = 'participant'),
-s AS (SELECT segment_id, ctx, CASE WHEN ctx IS NULL OR na = 0 OR nb = 0 THEN 0.0 ELSE round(list_sum(list_transform({PLACES}, lambda i: (a[i] / sqrt(na)) * (b[i] / sqrt(nb)))), 6) END AS similarity FROM p)
+s AS (SELECT segment_id, ctx, CASE WHEN ctx IS NULL OR na = 0 OR nb = 0 THEN 0.0 ELSE {ROUNDED(f'list_sum(list_transform({PLACES}, lambda i: (a[i] / sqrt(na)) * (b[i] / sqrt(nb))))')} END AS similarity FROM p)
 SELECT segment_id, similarity, CASE WHEN ctx IS NULL OR similarity < 0.22 THEN 'skip' WHEN similarity >= 0.3 THEN 'attach' ELSE 'ask' END AS verdict FROM s"""))
 def context_attachment(spark, sf_dir):
     s = segments(spark, sf_dir)
