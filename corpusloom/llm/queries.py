@@ -215,7 +215,7 @@ SELECT part, filter_order, step,
   coalesce(sum(n) FILTER (passed AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (passed AND failing), 0)::BIGINT AS removed,
   coalesce(sum(n) FILTER (NOT passed AND failing), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
   coalesce(sum(n) FILTER (passed AND failing AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (passed AND failing AND toxic = 1), 0)::BIGINT AS toxic_lost,
-  coalesce(sum(n * 120 // m) FILTER (failing), 0)::BIGINT AS shapley
+  coalesce(sum(n * 120 // greatest(m, 1)) FILTER (failing), 0)::BIGINT AS shapley
 FROM seen GROUP BY ALL
 """
 
