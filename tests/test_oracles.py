@@ -20,7 +20,8 @@ def test_query_matches_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, FOLDER).count() >= 0
+    rows = catalog.queries()[name](spark, FOLDER).collect()
+    assert rows and all(any(x is not None for x in r) for r in rows)
 
 
 def test_driver_entry(spark):
