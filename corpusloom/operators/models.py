@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.lineage import materialize
 from corpusloom.operators.vectors import cosine
 
 
@@ -57,7 +58,7 @@ def nested_log_losses(rows: DataFrame, models: dict[str, list[str]], target: str
     # Categories are numbered once: that tells nothing about the target.
     steps = [StringIndexer(inputCols=used, outputCols=[f"{c}_i" for c in used]), OneHotEncoder(inputCols=[f"{c}_i" for c in used], outputCols=[f"{c}_v" for c in used], dropLast=False)]
     steps += [VectorAssembler(inputCols=[f"{c}_v" for c in columns], outputCol=f"features_{name}") for name, columns in models.items()]
-    data = Pipeline(stages=steps).fit(rows).transform(rows).select("fold", "label", *[f"features_{name}" for name in models]).persist()
+    data = materialize(Pipeline(stages=steps).fit(rows).transform(rows).select("fold", "label", *[f"features_{name}" for name in models]))
     p, out = F.try_element_at(vector_to_array("probability"), (F.col("label") + 1).cast("int")), None
     for name in models:
         for f in range(folds):

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.lineage import materialize
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -138,7 +140,7 @@ def grouped_probe(rows: DataFrame, folds: int = 3, vector: str = "embedding", id
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    data = rows.select(ident, "fold", F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")).where("label is not null").persist()
+    data = materialize(rows.select(ident, "fold", F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")).where("label is not null"))
     out = None
     for f in range(folds):
         model = LogisticRegression(maxIter=25, regParam=0.05).fit(data.where(F.col("fold") != f))
