@@ -150,7 +150,12 @@ def context_windows(spark, sf_dir):
     return G.context_before(segments(spark, sf_dir))
 
 
-@register("boundary_agreement")
+@register("boundary_agreement", RECURSIVE("""b AS (SELECT DISTINCT session_id, end_ms AS at_ms, 0 AS side FROM segments UNION ALL SELECT DISTINCT session_id, end_ms + 300, 1 FROM segments WHERE word_count > 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at_ms, side) AS i FROM b),
+w AS (SELECT session_id, i, [{'a': at_ms, 's': side}] AS q, 0 AS hit FROM r WHERE i = 1
+  UNION ALL SELECT session_id, i, CASE WHEN k > 0 THEN list_concat(q[:k - 1], q[k + 1:]) ELSE list_append(q, {'a': at_ms, 's': side}) END, CASE WHEN k > 0 THEN 1 ELSE 0 END
+  FROM (SELECT *, coalesce(list_position(list_transform(q, lambda x: x.s <> side), true), 0) AS k FROM (SELECT r.session_id, r.i, r.at_ms, r.side, list_filter(w.q, lambda x: r.at_ms - x.a <= 1000) AS q FROM w JOIN r ON r.session_id = w.session_id AND r.i = w.i + 1)))
+SELECT session_id, sum(hit)::BIGINT AS matched, round(sum(hit) / (count(*) - sum(hit)), 6) AS jaccard FROM w GROUP BY session_id"""))
 def boundary_agreement(spark, sf_dir):
     """Agreement of the turns' ends with the ends of two sentences or more."""
     s = segments(spark, sf_dir)

@@ -70,7 +70,10 @@ def word_budget_groups(spark, sf_dir):
     return segments(spark, sf_dir).select("session_id", "segment_index", F.floor((F.sum("word_count").over(w) - F.col("word_count")) / 50).cast("int").alias("budget_page"))
 
 
-@register("packed_segments")
+@register("packed_segments", oracle("""n AS (SELECT session_id, segment_id, word_count::BIGINT AS w, row_number() OVER (PARTITION BY session_id ORDER BY segment_index, segment_id) AS i FROM segments),
+p AS (SELECT session_id, segment_id, i, 0 AS g, w AS used FROM n WHERE i = 1
+  UNION ALL SELECT n.session_id, n.segment_id, n.i, p.g + CASE WHEN p.used > 0 AND p.used + n.w > 60 THEN 1 ELSE 0 END, CASE WHEN p.used > 0 AND p.used + n.w > 60 THEN n.w ELSE p.used + n.w END FROM p JOIN n ON n.session_id = p.session_id AND n.i = p.i + 1)
+SELECT session_id, segment_id, g AS "group" FROM p""").replace("WITH", "WITH RECURSIVE", 1))
 def packed_segments(spark, sf_dir):
     """Segments of each session packed in order under a word budget."""
     rows = segments(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", "segment_id", "word_count"))).alias("s"))
