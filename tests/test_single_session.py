@@ -29,3 +29,8 @@ def check(spark, folder, name):
 def test_typology_of_a_single_session(spark, folder):
     row = check(spark, folder, "trajectory_typology")
     assert math.isnan(row["slope"]) and row["kind"] == "climber"
+
+
+def test_trend_of_a_single_session(spark, folder):
+    row = check(spark, folder, "trend_classes")
+    assert math.isnan(row["trend"]) and row["class"] == "advancing"
