@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -85,15 +87,76 @@ def with_draws(rows: DataFrame, cluster: str, draws: int, seed: int) -> DataFram
     return rows.withColumn("_d", F.explode(F.filter(every, lambda x: x["times"] > 0))).select(*rows.columns, "_d.draw", "_d.times")
 
 
+#: Keys whose sums a task holds before it hands them on.
+HELD_KEYS = 512
+#: Rows whose weights are laid out at once.
+LAID_OUT = 1024
+
+
+def drawn_sums(rows: DataFrame, keys: list[str], cluster: str, values: list[str], draws: int, seed: int) -> DataFrame:
+    """Sums of ``values`` (double) and number of rows (``clusters``) of each key in every draw that has it: keys, draw, values, clusters.
+
+    ``rows`` has one row for each key and cluster. The draws are those of ``with_draws``, but no row is
+    repeated: a task takes a cluster's digests once for all of its rows and hands on sums by key and draw,
+    so what is shuffled grows with the rows, and with keys times draws, but not with rows times draws.
+    """
+    names = [f"_v{i}" for i in range(len(values))]
+    dealt = rows.select(*keys, F.col(cluster).cast("string").alias("_c"), *[F.col(v).cast("double").alias(n) for v, n in zip(values, names)])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "_c").sortWithinPartitions("_c")
+    limits, starts = np.array(POISSON), [f"{seed}:{d}".encode() for d in range(draws)]
+    kinds = dict(rows.dtypes)
+
+    def times_of(name: str | None) -> np.ndarray:
+        tail = b"" if name is None else b":" + name.encode()
+        digests = b"".join([md5(x + tail).digest()[:4] for x in starts])
+        return np.append(1, np.searchsorted(limits, np.frombuffer(digests, ">u4") / float(1 << 32), side="right"))
+
+    def handed_on(sums: dict, schema: dict):
+        for key, s in sums.items():
+            at = np.flatnonzero(s[-1])
+            columns = [pa.array([x] * len(at), schema[k]) for x, k in zip(key, keys)]
+            columns += [pa.array(at - 1, pa.int32()), *[pa.array(v[at]) for v in s[:-1]], pa.array(s[-1][at].astype("int64"))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "draw", *names, "_clusters"])
+
+    def run(batches):
+        sums, schema, known, times = {}, {}, object(), None
+        for batch in batches:
+            schema = {k: batch.schema.field(k).type for k in keys}
+            clusters, found = batch.column("_c").to_pylist(), list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * len(batch)
+            # A null value adds nothing to a sum.
+            x = np.vstack([*[np.nan_to_num(batch.column(n).to_numpy(zero_copy_only=False), nan=0.0) if batch.column(n).null_count else batch.column(n).to_numpy(zero_copy_only=False) for n in names], np.ones(len(batch))])
+            for low in range(0, len(batch), LAID_OUT):
+                high, weights, by_key = min(low + LAID_OUT, len(batch)), [], {}
+                for i in range(low, high):
+                    if clusters[i] != known:
+                        known = clusters[i]
+                        times = times_of(known)
+                    weights.append(times)
+                    by_key.setdefault(found[i], []).append(i - low)
+                weights = np.array(weights, dtype=float)
+                for key, at in by_key.items():
+                    w = weights[at]
+                    part = np.vstack([x[:-1, low:high][:, at] @ w, (w > 0).sum(axis=0)])
+                    sums[key] = sums[key] + part if key in sums else part
+                if len(sums) > HELD_KEYS:
+                    yield from handed_on(sums, schema)
+                    sums = {}
+        yield from handed_on(sums, schema)
+
+    out = dealt.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "draw int", *[f"{n} double" for n in names], "_clusters long"]))
+    return out.groupBy(*keys, "draw").agg(*[F.sum(n).alias(v) for n, v in zip(names, values)], F.sum("_clusters").alias("clusters"))
+
+
 def cluster_bootstrap(rows: DataFrame, keys: list[str], cluster: str, value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and percentile interval of each group, whole clusters being resampled.
 
     Clusters are summed first; how often a draw takes one follows a digest, so draws
-    are summed by shuffle like any group and no task holds all clusters or draws.
+    are summed by shuffle like any group and no task holds all clusters.
     Below two clusters the interval is null.
     """
     sums = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count("*").alias("_n"))
-    drawn = with_draws(sums, cluster, draws, seed).groupBy(*keys, "draw").agg(F.sum(F.col("_s") * F.col("times")).alias("s"), F.sum(F.col("_n") * F.col("times")).alias("n"), F.count("*").alias("clusters"))
+    drawn = drawn_sums(sums, keys, cluster, ["_s", "_n"], draws, seed).select(*keys, "draw", F.col("_s").alias("s"), F.col("_n").cast("long").alias("n"), "clusters")
     mean, real = F.col("s") / F.col("n"), F.col("draw") < 0
     own = lambda c: F.max(F.when(real, F.col(c)))
     out = drawn.groupBy(*keys).agg(own("n").alias("n"), own("clusters").alias("clusters"), F.max(F.when(real, mean)).alias("mean"), F.percentile(F.when(~real, mean), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
