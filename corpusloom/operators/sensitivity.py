@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corpusloom.functions import stats as S
-from corpusloom.operators.inference import with_draws
+from corpusloom.operators.inference import drawn_sums
 
 #: An interval needs as many draws with a defined difference.
 LEAST_DRAWS = 20
@@ -25,9 +25,8 @@ def pooled_difference(n: Column, s: Column, q: Column, rn: Column, rs: Column, r
     return F.when(defined, F.when(F.round(sd, 9) > 0, (s / n - rs / rn) / sd).otherwise(0.0))
 
 
-def _moments(rows: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
-    weight = F.lit(1) if weight is None else weight
-    return rows.groupBy(*keys).agg(F.sum(F.col("n") * weight).alias("n"), F.sum(F.col("s") * weight).alias("s"), F.sum(F.col("q") * weight).alias("q"))
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
 
 
 def _against_rest(moments: DataFrame, within: list[str]) -> DataFrame:
@@ -61,8 +60,8 @@ def sensitivity_bounds(blocks: DataFrame, least: int = 4, draws: int = 1000, alp
     cells = by_value.groupBy("participant_id", "from_stage", "move").agg(F.sum("c").alias("n"), F.sum(F.col("c") * value).alias("s"), F.sum(F.col("c") * value * value).alias("q"))
     real = _against_rest(_moments(cells, ["from_stage", "move"]), ["from_stage"]).where((F.col("n") >= least) & (F.col("tn") - F.col("n") >= 2))
     people = cells.where("participant_id is not null").groupBy("from_stage").agg(F.countDistinct("participant_id").alias("people"))
-    drawn = with_draws(cells.where("participant_id is not null"), "participant_id", draws, seed).where("draw >= 0")
-    tried = _against_rest(_moments(drawn, ["from_stage", "draw", "move"], F.col("times")), ["from_stage", "draw"]).where("smd is not null")
+    drawn = drawn_sums(cells.where("participant_id is not null"), ["from_stage", "move"], "participant_id", ["n", "s", "q"], draws, seed).where("draw >= 0")
+    tried = _against_rest(drawn, ["from_stage", "draw"]).where("smd is not null")
     ends = tried.groupBy("from_stage", "move").agg(F.count("*").alias("valid"), F.percentile("smd", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ends"))
     centred = by_value.groupBy("from_stage", "move", "delta").agg(F.sum("c").alias("c")).join(real.select("from_stage", "move", F.round((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n")), 9).alias("centre")), ["from_stage", "move"])
     side = lambda test: F.sum(F.when(test, F.col("c")).otherwise(0))
