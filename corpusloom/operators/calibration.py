@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.inference import with_draws
+from corpusloom.operators.inference import drawn_sums
 
 
 def softened(scores: Column, temperature: Column | float) -> Column:
@@ -76,21 +76,19 @@ def agreement_interval(rows: DataFrame, a: str, b: str, cluster: str, draws: int
     With ``other``, of the difference kappa(a, b) - kappa(a, other). Rows are
     counted by cluster and label combination; how often a draw takes a cluster
     follows a digest, and counts are summed by draw and labels, so no task holds all
-    clusters or draws. Below two clusters the interval is null.
+    clusters. Below two clusters the interval is null.
     """
     labels = [a, b, *([other] if other else [])]
     r = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in labels))
     counts = r.groupBy(cluster, *labels).agg(F.count("*").alias("m"))
-    by_cluster = counts.groupBy(cluster).agg(F.collect_list(F.struct(*labels, "m")).alias("cells"))
-    drawn = with_draws(by_cluster, cluster, draws, seed).select("draw", "times", F.explode("cells").alias("c"))
-    cells = drawn.groupBy("draw", *[F.col(f"c.{x}").alias(x) for x in labels]).agg(F.sum(F.col("c.m") * F.col("times")).alias("n"))
+    cells = drawn_sums(counts, labels, cluster, ["m"], draws, seed).select("draw", *labels, F.col("m").cast("long").alias("n"))
     value = _kappa_by_draw(cells, a, b)
     if other:
         against = _kappa_by_draw(cells, a, other).select("draw", F.col("kappa").alias("against"))
         value = value.join(against, "draw").withColumn("kappa", F.col("kappa") - F.col("against"))
     real = F.col("draw") < 0
     out = value.agg(F.max(F.when(real, F.col("n"))).alias("n"), F.max(F.when(real, F.col("kappa"))).alias("value"), F.percentile(F.when(~real, F.col("kappa")), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    out = out.crossJoin(by_cluster.agg(F.count("*").alias("clusters"))).where("clusters > 0")
+    out = out.crossJoin(counts.select(cluster).distinct().agg(F.count("*").alias("clusters"))).where("clusters > 0")
     bound = lambda i: F.when(F.col("clusters") > 1, F.round(F.get("q", F.lit(i)), 6))
     return out.select("n", "clusters", F.round("value", 6).alias("value"), bound(0).alias("low"), bound(1).alias("high"))
 

@@ -7,7 +7,7 @@ from corpusloom.operators import inference as I
 
 
 def test_sums_by_draw_are_those_of_repeated_rows(spark):
-    rows = spark.createDataFrame([(k, None if c == 7 else f"c{c}", float(k * c % 5), c % 3) for k in (None, 1, 2) for c in range(40)], "k int, c string, x double, n int")
+    rows = spark.createDataFrame([(k, None if c == 7 else f"c{c}", float((k or 3) * c % 5), c % 3) for k in (None, 1, 2) for c in range(40)], "k int, c string, x double, n int")
     want = I.with_draws(rows, "c", 60, 7).groupBy("k", "draw").agg(F.sum(F.col("x") * F.col("times")).alias("x"), F.sum(F.col("n") * F.col("times")).cast("double").alias("n"), F.count("*").alias("clusters"))
     got = I.drawn_sums(rows, ["k"], "c", ["x", "n"], 60, 7)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
