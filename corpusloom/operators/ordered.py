@@ -1,9 +1,11 @@
-"""One pass over ordered rows with a small state, without holding a group in memory."""
+"""Passes over ordered rows: with a small state, or with one whole key at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -33,3 +35,46 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], needs: list[str],
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, arrow)], names=[*names, column])
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def ordered_groups(rows: DataFrame, key: str, order: list[str], run: Callable[[object, dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """What ``run(key, columns)`` returns for each key's rows in order: a list of rows of ``schema``.
+
+    As a grouped map, but keys stream past within sorted partitions: many small keys share
+    one Arrow batch and one frame of results. A key that goes on beyond its batch is held until it ends.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def each(batches):
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = batch[key]
+            new = (at != at.shift()) & ~(at.isna() & at.shift().isna())
+            new.iloc[0] = not held or not (held[-1][key].iloc[-1] == at.iloc[0] or (pd.isna(held[-1][key].iloc[-1]) and pd.isna(at.iloc[0])))
+            starts = np.flatnonzero(new)
+            if not len(starts):
+                held.append(batch)
+                continue
+            held.append(batch.iloc[: starts[0]])
+            yield from done(held)
+            out = []
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            for low, high in zip(starts[:-1], starts[1:]):
+                out += run(columns[key][low], {c: v[low:high] for c, v in columns.items()})
+            if out:
+                yield pd.DataFrame(out, columns=names)
+            held = [batch.iloc[starts[-1] :]]
+        yield from done(held)
+
+    def done(held):
+        held = [x for x in held if len(x)]
+        if held:
+            pdf = pd.concat(held) if len(held) > 1 else held[0]
+            out = run(pdf[key].iloc[0], {c: pdf[c].to_numpy() for c in pdf.columns})
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(parts, key).sortWithinPartitions(key, *order).mapInPandas(each, schema)

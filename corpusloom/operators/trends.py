@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
+from corpusloom.operators.ordered import ordered_groups
 
 #: Series with at most this many pairs have their slopes laid out; longer ones select the median.
 PAIRS = 1 << 16
@@ -68,11 +68,11 @@ def mann_kendall(rows: DataFrame, group: str, order: str, value: str) -> DataFra
     """S, tau-b, two-sided probability and median slope of each group's series.
 
     Rows without order or value are left out; equal orders go by value; a series of
-    one value has S, tau and slope 0 and probability 1. A task holds one series, and as much again a few times.
+    one value has S, tau and slope 0 and probability 1. A task holds a batch of rows and one series, and as much again a few times.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values([order, value])[value].to_numpy(float)
+    def run(key, columns: dict[str, np.ndarray]) -> list[tuple]:
+        y = columns[value].astype(float)
         n = len(y)
         up, down = ordered_pairs(y)
         s = up - down
@@ -81,8 +81,8 @@ def mann_kendall(rows: DataFrame, group: str, order: str, value: str) -> DataFra
         z = 0.0 if s == 0 or var <= 0 else (s - np.sign(s)) / np.sqrt(var)
         pairs, tied = n * (n - 1) / 2, float((ties * (ties - 1) / 2).sum())
         tau = s / np.sqrt(pairs * (pairs - tied)) if pairs > tied else 0.0
-        return pd.DataFrame([{group: pdf[group].iloc[0], "n": n, "s": float(s), "tau": round(float(tau), 6), "p": round(2 * S.normal_tail(abs(float(z))), 6), "sen": round(median_slope(y), 6)}])
+        return [(key, n, float(s), round(float(tau), 6), round(2 * S.normal_tail(abs(float(z))), 6), round(median_slope(y), 6))]
 
     kind = dict(rows.dtypes)[group]
     known = rows.select(group, order, value).where(F.col(order).isNotNull() & F.col(value).isNotNull())
-    return known.groupBy(group).applyInPandas(run, f"{group} {kind}, n long, s double, tau double, p double, sen double")
+    return ordered_groups(known, group, [order, value], run, f"{group} {kind}, n long, s double, tau double, p double, sen double")
