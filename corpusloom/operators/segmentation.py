@@ -6,10 +6,17 @@ seconds, and ``vector``, the encoder's output. Every session is one ordered run.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusloom.functions.text import sentence_list
+from corpusloom.operators.lineage import materialize
 from corpusloom.operators.ordered import ordered_fold
 
 MAX_GAP, SILENCE_MS, MIN_WORDS, MAX_WORDS, MAX_SECONDS, SHIFT = 30.0, 2000.0, 12, 60, 300.0, 0.25
@@ -17,21 +24,35 @@ MAX_GAP, SILENCE_MS, MIN_WORDS, MAX_WORDS, MAX_SECONDS, SHIFT = 30.0, 2000.0, 12
 SKETCH = 32
 
 
+@lru_cache(maxsize=1 << 16)
+def _slot(feature: bytes) -> int:
+    """A feature's place, plus SKETCH where its sign is minus: the last bits of the first eight digits of its md5."""
+    return int.from_bytes(md5(feature).digest()[:4], "big") % (2 * SKETCH)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _sketches(texts: pd.Series) -> pd.Series:
+    slots, sizes = [], []
+    for text in texts:
+        words = text.split() if text is not None else []
+        slots += map(_slot, words)
+        slots += map(_slot, map(b" ".join, zip(words, words[1:])))
+        sizes.append(max(0, 2 * len(words) - 1))
+    flat = np.repeat(np.arange(len(sizes)) * 2 * SKETCH, sizes) + np.asarray(slots, dtype=np.int64)
+    signed = np.bincount(flat, minlength=len(sizes) * 2 * SKETCH).reshape(-1, 2, SKETCH)
+    counts = (signed[:, 0] - signed[:, 1]).astype(float)
+    norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return pd.Series(list(np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)))
+
+
 def sketch(text: Column) -> Column:
     """Unit vector of a text's words and pairs of adjacent words, hashed to SKETCH places with a sign each.
 
     Place and sign come from the first eight digits of the feature's md5. A text without
-    words, or whose signs cancel out, gives zeros. Every list is bound once, in an array of one element.
+    words, or whose signs cancel out, gives zeros. Words are counted in Arrow batches: as
+    an expression each of the places would go over all words again.
     """
-    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    pairs = lambda ws: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)))
-    hashes = bound(words, lambda ws: F.transform(F.concat(ws, pairs(ws)), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
-    sign = lambda h: F.when(F.floor(h / SKETCH) % 2 == 0, 1.0).otherwise(-1.0)
-    at = lambda hs, k: F.aggregate(hs, F.lit(0.0), lambda acc, h: acc + F.when(h % SKETCH == k, sign(h)).otherwise(0.0))
-    counts = bound(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: at(hs, k)))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return bound(counts, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    return _sketches(text.cast("binary"))
 
 
 def sentences(segments: DataFrame) -> DataFrame:
@@ -74,8 +95,8 @@ def candidates(curve: DataFrame, max_gap: float = MAX_GAP, silence_ms: float = S
 
     The boundaries of ``topics`` (session_id, place) are soft ones too.
     """
-    limit = curve.groupBy("session_id").agg(F.percentile("similarity", shift).alias("limit"))
-    r = curve.join(limit, "session_id")
+    # A window over the session, not a join: the curve is made once.
+    r = curve.withColumn("limit", F.percentile("similarity", shift).over(Window.partitionBy("session_id")))
     forced = (F.col("next_speaker") != F.col("speaker")) | (F.col("pause_ms") > max_gap * 1000)
     soft = (F.col("pause_ms") > silence_ms) | (F.col("similarity") < F.col("limit"))
     if topics is not None:
@@ -116,7 +137,7 @@ def split_long(rows: DataFrame, max_words: int = MAX_WORDS, max_seconds: float =
     Every round is one window over the segments; rounds grow with the log of the
     longest segment's sentences, which is what the driver asks for.
     """
-    rows = rows.withColumn("part", F.lit("0"))
+    rows = materialize(rows.withColumn("part", F.lit("0")))
     longest = rows.groupBy("session_id", "segment").count().agg(F.max("count")).first()[0] or 1
     for _ in range(max(1, int(longest - 1).bit_length())):
         w = Window.partitionBy("session_id", "segment", "part")

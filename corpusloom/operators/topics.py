@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusloom.operators.ordered import ordered_groups
+
 
 def ward_merges(vectors: np.ndarray) -> list[tuple[float, int, int]]:
     """The n - 1 merges of Ward's clustering as (cost, row, row), the cheapest first.
@@ -66,14 +67,14 @@ def topic_boundaries(rows: DataFrame, per_topic: int = 10, least: int = 4) -> Da
     of their number, at any length the same way. A null vector counts as zeros.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        if len(pdf) < least:
-            return pdf[["session_id", "place"]].iloc[:0]
-        width = max((len(v) for v in pdf["vector"] if v is not None), default=1)
-        x = np.vstack([np.zeros(width) if v is None else np.asarray(v, float) for v in pdf["vector"]])
+    def run(key, columns: dict[str, np.ndarray]) -> list[tuple]:
+        place, vectors = columns["place"], columns["vector"]
+        if len(place) < least:
+            return []
+        width = max((len(v) for v in vectors if v is not None), default=1)
+        x = np.vstack([np.zeros(width) if v is None else np.asarray(v, float) for v in vectors])
         labels = ward_labels(x, min(len(x) - 1, max(2, len(x) // per_topic)))
-        return pdf[["session_id", "place"]].iloc[np.flatnonzero(labels[1:] != labels[:-1])]
+        return [(key, p) for p in place[:-1][labels[1:] != labels[:-1]]]
 
     kinds = dict(rows.dtypes)
-    return rows.select("session_id", "place", "vector").groupBy("session_id").applyInPandas(run, f"session_id {kinds['session_id']}, place {kinds['place']}")
+    return ordered_groups(rows.select("session_id", "place", "vector"), "session_id", ["place"], run, f"session_id {kinds['session_id']}, place {kinds['place']}")
