@@ -116,8 +116,8 @@ def routines(blocks: DataFrame, group: DataFrame, least: int = 3) -> DataFrame:
 
 def motifs(rows: DataFrame, least: int = 3, influence: float = 1.05, purity: float = 0.5) -> DataFrame:
     """Groups of cues (motif, move, forward): size, purity of the moves, influence on going forward, and whether it is emergent."""
-    base = rows.agg(F.avg(F.col("forward").cast("double")).alias("base"))
-    by = rows.groupBy("motif", "move").agg(F.count("*").alias("c"), F.sum(F.col("forward").cast("long")).alias("f"))
+    by = rows.groupBy("motif", "move").agg(F.count("*").alias("c"), F.sum(F.col("forward").cast("long")).alias("f"), F.count("forward").alias("_known"))
+    base = by.agg((F.sum("f") / F.sum("_known")).alias("base"))
     m = by.groupBy("motif").agg(F.sum("c").alias("n"), F.round(F.max("c") / F.sum("c"), 6).alias("purity"), (F.sum("f") / F.sum("c")).alias("rate")).crossJoin(F.broadcast(base))
     m = m.select("motif", "n", "purity", F.round(F.when(F.col("base") > 0, F.col("rate") / F.col("base")).otherwise(0.0), 6).alias("influence"))
     return m.withColumn("emergent", (F.col("n") >= least) & (F.col("influence") >= influence) & (F.col("purity") < purity))

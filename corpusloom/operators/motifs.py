@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graphs import block_vectors
+from corpusloom.operators.lineage import materialize
 
 
 def block_means(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -24,11 +25,11 @@ def _assigned(rows: DataFrame, centres: list[tuple[int, list[float]]], ident: st
 def clusters(rows: DataFrame, k: int, rounds: int = 3, ident: str = "from_id") -> DataFrame:
     """k-means of the rows' vectors from k rows that a digest of their id picks: ``ident``, motif, distance squared.
 
-    Each round assigns rows by the centres as literals and takes the means by cluster;
-    the driver holds k centres. A cluster that no row is nearest to goes. Fewer rows than
+    The vectors are written once, since every round goes over them. A round assigns rows by the
+    centres as literals and takes the means by cluster; the driver holds k centres. A cluster that no row is nearest to goes. Fewer rows than
     ``k`` give as many clusters; rows with a null vector are left out; no rows give none.
     """
-    rows = rows.where("vector is not null")
+    rows = materialize(rows.where("vector is not null").select(ident, "vector"))
     first = rows.orderBy(F.md5(F.col(ident).cast("string")), ident).limit(k).select("vector").collect()
     centres = [(i, r["vector"]) for i, r in enumerate(first)]
     if not centres:
