@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.inference import with_draws
+from corpusloom.operators.inference import drawn_sums
 from corpusloom.operators.lineage import materialize
 
 ARMS = ("with_cue", "from_only")
@@ -127,10 +127,10 @@ def linked_difference(a: DataFrame, b: DataFrame, keys: list[str], cluster: str,
         return known.groupBy(*keys, cluster).agg(F.count("*").alias(n), F.sum(F.col(value).cast("double")).alias(s))
 
     both = sums(a, "an", "as").join(sums(b, "bn", "bs"), [*keys, cluster], "full").na.fill(0, ["an", "as", "bn", "bs"])
-    d = with_draws(both, cluster, draws, seed).groupBy(*keys, "draw").agg(F.count("*").alias("clusters"), *[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("an", "as", "bn", "bs")]).where("an > 0 and bn > 0")
+    d = drawn_sums(both, keys, cluster, ["an", "as", "bn", "bs"], draws, seed).where("an > 0 and bn > 0")
     mean_a, mean_b, real = F.col("as") / F.col("an"), F.col("bs") / F.col("bn"), F.col("draw") < 0
     own = lambda c: F.max(F.when(real, c))
-    out = d.groupBy(*keys).agg(own(F.col("an")).alias("n_a"), own(F.col("bn")).alias("n_b"), own(F.col("clusters")).alias("clusters"), own(mean_a).alias("mean_a"), own(mean_b).alias("mean_b"), F.percentile(F.when(~real, mean_a - mean_b), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    out = d.groupBy(*keys).agg(own(F.col("an").cast("long")).alias("n_a"), own(F.col("bn").cast("long")).alias("n_b"), own(F.col("clusters")).alias("clusters"), own(mean_a).alias("mean_a"), own(mean_b).alias("mean_b"), F.percentile(F.when(~real, mean_a - mean_b), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     bound = lambda i: F.when(F.col("clusters") > 1, F.round(F.get("q", F.lit(i)), 6))
     return out.where("n_a is not null").select(*keys, "n_a", "n_b", "clusters", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), F.round(F.col("mean_a") - F.col("mean_b"), 6).alias("difference"), bound(0).alias("low"), bound(1).alias("high"))
 
@@ -141,6 +141,7 @@ def confound_cells(rows: DataFrame, moves: int, k: int = 8, draws: int = 200, le
     The observed side is the blocks whose cue has the move; the learned one every block of the
     stage under the move's mean cue. Cells with fewer than ``least`` observed blocks are left out.
     """
+    rows = materialize(rows)
     learned = materialize(counterfactual(rows, moves, k)).withColumnRenamed("influence", "delta")
     seen = rows.where("move is not null and delta is not null")
     d = linked_difference(seen, learned, ["from_stage", "move"], "participant_id", "delta", draws).where(F.col("n_a") >= least)
