@@ -1,12 +1,13 @@
 """Ordinal and mixed regression models fitted from sums over grouped rows.
 
-Rows are first counted by category cell (and by group, for mixed models); the fits
+Rows are first counted by category cell (for mixed models, groups by pattern); the fits
 then go over these sums. A job returns sums whose size depends on the number of
 parameters only, so nothing that grows with the rows reaches the driver.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from dataclasses import dataclass
@@ -14,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
+from corpusloom.operators.lineage import materialize
 
 #: A category column is a dimension: more levels than these are an error, not a design.
 MOST_LEVELS = 200
@@ -234,18 +236,57 @@ def ordinal_interaction_test(rows: DataFrame, outcome: str, a: str, b: str) -> D
 # ---------------------------------------------------------------------------------- mixed
 
 
+#: Patterns whose sums a task holds before it hands them on, groups whose products are laid out at once,
+#: and sums that the search takes along; where there are more, each of its steps is a job.
+HELD_PATTERNS, LAID_OUT, HELD_SUMS = 512, 1024, 1 << 20
+
+
+def _by_pattern(q: int, size: int, at: int, merged: bool):
+    """Rows of one Z'Z summed inside a task: their number and the products of the entries of Z'[X y]."""
+
+    def run(batches):
+        held = {}
+
+        def handed_on():
+            zz, n, m = zip(*held.values()) if held else ((), (), ())
+            lists = pa.list_(pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(zz, lists), pa.array(n, pa.float64()), pa.array(m, lists)], names=["zz", "n", "m"])
+
+        for batch in batches:
+            for low in range(0, len(batch), LAID_OUT):
+                part = batch.slice(low, LAID_OUT)
+                lists = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)  # noqa: B023, E731
+                if merged:
+                    zz, n, m = lists("zz"), part.column("n").to_numpy(), lists("m")
+                else:
+                    zx = lists("zx")
+                    zz, n, m = zx.reshape(-1, q, size)[:, :, [0, at][:q]].reshape(len(part), -1), np.ones(len(part)), (zx[:, :, None] * zx[:, None, :]).reshape(len(part), -1)
+                kinds, kind = np.unique(zz, axis=0, return_inverse=True)
+                order = np.argsort(kind, kind="stable")
+                starts = np.searchsorted(kind[order], np.arange(len(kinds)))
+                for k, a, b in zip(kinds, np.add.reduceat(n[order], starts), np.add.reduceat(m[order], starts, axis=0)):
+                    _, n_held, m_held = held.get(k.tobytes(), (k, 0.0, 0.0))
+                    held[k.tobytes()] = (k, n_held + a, m_held + b)
+                if len(held) > HELD_PATTERNS:
+                    yield handed_on()
+                    held.clear()
+        yield handed_on()
+
+    return run
+
+
 def _group_products(rows: DataFrame, d: Design, outcome: str, group: str, slope: str | None) -> tuple[DataFrame, np.ndarray, int]:
-    """Per group Z'[X y] with n, and over all groups [X y]'[X y] and the number of rows.
+    """The groups by pattern, and over all groups [X y]'[X y] and the number of rows.
 
-    X has the design's columns, Z the constant and, where asked for, ``slope``. Moments of
-    the numeric columns and the outcome are summed by group and category cell, so a
-    group's work is as large as the number of cells that it has.
+    X has the design's columns, Z the constant and, where asked for, ``slope``. A pattern is
+    one value of Z'Z; the criterion needs no more of its groups than their number ``n`` and the sums ``m`` of
+    all products of two entries of Z'[X y]. Where groups differ by few times or sizes, there are few patterns.
     """
     numbers = [*d.numeric, outcome]
     pairs = [(i, j) for i in range(len(numbers)) for j in range(i, len(numbers))]
     value = lambda c: F.col(c).cast("double")
     coded = _coded(rows, d)
-    cells = coded.groupBy(group, *d.categories).agg(
+    cells = coded.groupBy(F.lit(0).alias("_all"), *d.categories).agg(
         F.count("*").cast("double").alias("_n"),
         F.array(*[F.sum(value(c)) for c in numbers]).alias("_s"),
         F.array(*[F.sum(value(numbers[i]) * value(numbers[j])) for i, j in pairs]).alias("_q"),
@@ -267,16 +308,16 @@ def _group_products(rows: DataFrame, d: Design, outcome: str, group: str, slope:
         return out
 
     whole = _summed(cells, lambda pdf: np.append(products(pdf), pdf["_n"].sum()), size * size + 1)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = products(pdf)
-        return pd.DataFrame({"zx": [a[[0, at][:q]].ravel()]})
-
-    kept = cells.groupBy(group).applyInPandas(one, "zx array<double>")
+    inside = lambda fixed: F.when(functools.reduce(Column.__and__, [F.col(c) == k for c, k in fixed], F.lit(True)), 1.0).otherwise(0.0)
+    x = [*[inside(fixed) for _, fixed in d.columns()], *[value(c) for c in numbers]]
+    z = [F.lit(1.0), value(slope)] if slope else [F.lit(1.0)]
+    kept = coded.groupBy(group).agg(F.array(*[F.sum(a * b) for a in z for b in x]).alias("zx")).select("zx")
+    kind = "zz array<double>, n double, m array<double>"
+    kept = kept.mapInArrow(_by_pattern(q, size, at, False), kind).repartition("zz").mapInArrow(_by_pattern(q, size, at, True), kind)
     return kept, whole[:-1].reshape(size, size), int(round(whole[-1]))
 
 
-def _criteria(groups: DataFrame, points: np.ndarray, whole: np.ndarray, n: int, q: int, at: int) -> tuple[np.ndarray, list]:
+def _criteria(groups: DataFrame | pd.DataFrame, points: np.ndarray, whole: np.ndarray, n: int, q: int) -> tuple[np.ndarray, list]:
     """REML criterion of each relative factor in ``points``, and the fit's matrices there.
 
     With D = LL' the covariance of the random effects over the residual variance, a
@@ -288,17 +329,19 @@ def _criteria(groups: DataFrame, points: np.ndarray, whole: np.ndarray, n: int,
         f[np.tril_indices(q)] = p
 
     def partial(pdf: pd.DataFrame) -> np.ndarray:
-        zx = np.vstack(pdf["zx"].to_numpy()).reshape(-1, q, size)
-        zz = zx[:, :, [0, at][:q]]
         out = np.zeros((k, size * size + 1))
+        if not len(pdf):
+            return out.ravel()
+        zz, times = np.vstack(pdf["zz"].to_numpy()).reshape(-1, q, q), pdf["n"].to_numpy()
+        m = np.vstack(pdf["m"].to_numpy()).reshape(-1, q, size, q, size)
         for i, f in enumerate(factors):
             inner = np.eye(q) + f.T @ zz @ f
-            lz = f.T @ zx
-            out[i, :-1] = np.einsum("gia,gib->ab", lz, np.linalg.solve(inner, lz)).ravel()
-            out[i, -1] = np.linalg.slogdet(inner)[1].sum()
+            middle = f @ np.linalg.solve(inner, np.broadcast_to(f.T, inner.shape))
+            out[i, :-1] = np.tensordot(middle, m.transpose(0, 1, 3, 2, 4), 3).ravel()
+            out[i, -1] = times @ np.linalg.slogdet(inner)[1]
         return out.ravel()
 
-    sums = _summed(groups, partial, k * (size * size + 1)).reshape(k, -1)
+    sums = (partial(groups) if isinstance(groups, pd.DataFrame) else _summed(groups, partial, k * (size * size + 1))).reshape(k, -1)
     values, fits = np.full(k, -np.inf), []
     for i in range(k):
         a = whole - sums[i, :-1].reshape(size, size)
@@ -319,35 +362,39 @@ def fit_mixed(rows: DataFrame, outcome: str, group: str, terms: list[tuple[str,
 
     ``slope`` is one of the numeric columns. The criterion is profiled over the random
     effects' factor relative to the residual: a search over one number, or three, that
-    tries all neighbours of a point in one job and shrinks. Groups of one row count like others.
+    tries all neighbours of a point and shrinks. It goes over the sums of the groups' patterns, on the driver
+    up to HELD_SUMS numbers and by a job a step beyond. Groups of one row count like others.
     Rows with a null are left out. None where there are fewer than two groups or not
     more rows than coefficients; an outcome that the fixed effects fit exactly has
     standard errors of zero and no random effects.
     """
     used = list(dict.fromkeys([outcome, group, *(c for t in terms for c in t), *numeric]))
-    rows = rows.select(*used).dropna()
+    rows = materialize(rows.select(*used).dropna())
     d = design(rows, terms, numeric)
-    groups, whole, n = _group_products(rows, d, outcome, group, slope)
-    groups = groups.persist()
+    patterns, whole, n = _group_products(rows, d, outcome, group, slope)
+    patterns = patterns.persist()
     try:
-        n_groups, q = groups.count(), 2 if slope else 1
+        q = 2 if slope else 1
+        found = patterns.agg(F.count("*").alias("patterns"), F.sum("n").alias("groups")).first()
+        n_groups, few = int(found["groups"] or 0), found["patterns"] * (q * len(whole)) ** 2 <= HELD_SUMS
         at = d.names().index(slope) if slope else 0
         if n_groups < 2 or n <= np.linalg.matrix_rank(whole[:-1, :-1], hermitian=True):
             return None
+        groups = patterns.toPandas() if few else patterns
         many = q * (q + 1) // 2
         # The slope's factor is on the scale of one over its spread.
         spread = math.sqrt(max(1e-12, whole[at, at] / n - (whole[0, at] / n) ** 2)) if slope else 1.0
         unit = np.array([1.0, 1 / spread, 1 / spread][:many])
         center, step = np.array([0.5, 0.0, 0.3][:many]), 0.5
         around = np.array(list(itertools.product((-1, 0, 1), repeat=many)) if q > 1 else [[x] for x in range(-8, 9)], float)
-        values, fits = _criteria(groups, np.zeros((1, many)), whole, n, q, at)
+        values, fits = _criteria(groups, np.zeros((1, many)), whole, n, q)
         if not np.isfinite(values[0]):
             best, point, fit = values[0], np.zeros(many), fits[0]
         else:
             best = -np.inf
             while step > tolerance:
                 points = (center + step * around) * unit
-                values, fits = _criteria(groups, points, whole, n, q, at)
+                values, fits = _criteria(groups, points, whole, n, q)
                 i = int(np.argmax(values))
                 moved = values[i] > best + 1e-13 * abs(best) and not np.allclose(around[i], 0)
                 if values[i] >= best:
@@ -361,7 +408,7 @@ def fit_mixed(rows: DataFrame, outcome: str, group: str, terms: list[tuple[str,
         se = np.where(silent, np.nan, np.sqrt(np.maximum(np.diag(inverse) * scale, 0)))
         return {"names": d.names(), "estimate": beta, "se": se, "n": n, "groups": n_groups, "residual": scale, "random": cov, "criterion": best, "silent": silent}
     finally:
-        groups.unpersist()
+        patterns.unpersist()
 
 
 def mixed_terms(rows: DataFrame, outcome: str, group: str, terms: list[tuple[str, ...]], numeric: list[str] = ()) -> DataFrame:
@@ -393,7 +440,7 @@ def mixed_trend(rows: DataFrame, outcome: str, time: str, group: str, random_slo
     that of ordinary least squares (``ols``); without two times it is null (``none``).
     """
     schema = "slope double, se double, p double, low double, high double, n long, groups long, method string"
-    clean = rows.select(outcome, time, group).dropna()
+    clean = materialize(rows.select(outcome, time, group).dropna())
     x, y = F.col(time).cast("double"), F.col(outcome).cast("double")
     t = clean.agg(F.count("*").alias("n"), F.countDistinct(group).alias("groups"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy")).first()
     slope = se = method = None
