@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators.inference import drawn_times
 from corpusloom.operators.lineage import materialize
 
+#: Tables of nodes, edges and communities meet by shuffle only: as broadcasts they would pass the driver in every round.
+SHUFFLED = "merge"
 #: Rounds of one level at most; what they leave is moved on the contracted graph.
 ROUNDS = 8
 
@@ -35,20 +37,20 @@ def _strengths(edges: DataFrame) -> DataFrame:
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Modularity of each part's grouping: ``edges`` (part, src, dst, weight) both ways, ``groups`` (part, id, community)."""
     at = lambda end, name: groups.select("part", F.col("id").alias(end), F.col("community").alias(name))
-    e = edges.join(at("src", "a"), ["part", "src"]).join(at("dst", "b"), ["part", "dst"])
+    e = edges.join(at("src", "a").hint(SHUFFLED), ["part", "src"]).join(at("dst", "b").hint(SHUFFLED), ["part", "dst"])
     by = e.groupBy("part", "a").agg(F.sum("weight").alias("tot"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inner"))
     whole = edges.groupBy("part").agg(F.sum("weight").alias("m2"))
-    return by.join(whole, "part").groupBy("part").agg(F.round(F.sum(F.col("inner") / F.col("m2") - (F.col("tot") / F.col("m2")) ** 2), 9).alias("modularity"), F.count("*").alias("communities"))
+    return by.join(F.broadcast(whole), "part").groupBy("part").agg(F.round(F.sum(F.col("inner") / F.col("m2") - (F.col("tot") / F.col("m2")) ** 2), 9).alias("modularity"), F.count("*").alias("communities"))
 
 
 def _round(edges: DataFrame, state: DataFrame, turn: int) -> DataFrame:
     """``state`` (part, id, k, m2, community) with ``target``: where the node goes now, and ``better``: whether any move would gain."""
     totals = state.groupBy("part", "community").agg(F.sum("k").alias("tot"))
-    placed = state.join(totals, ["part", "community"])
+    placed = state.join(totals.hint(SHUFFLED), ["part", "community"])
     ends = placed.select("part", F.col("id").alias("dst"), F.col("community").alias("target"), F.col("tot").alias("tot_there"))
-    links = edges.where("src <> dst").join(ends, ["part", "dst"]).groupBy("part", F.col("src").alias("id"), "target").agg(F.sum("weight").alias("w"), F.max("tot_there").alias("tot_there"))
+    links = edges.where("src <> dst").join(ends.hint(SHUFFLED), ["part", "dst"]).groupBy("part", F.col("src").alias("id"), "target").agg(F.sum("weight").alias("w"), F.max("tot_there").alias("tot_there"))
     inner = F.col("target") == F.col("community")
-    j = links.join(placed, ["part", "id"]).withColumn("w_own", F.max(F.when(inner, F.col("w"))).over(Window.partitionBy("part", "id")))
+    j = links.join(placed.hint(SHUFFLED), ["part", "id"]).withColumn("w_own", F.max(F.when(inner, F.col("w"))).over(Window.partitionBy("part", "id")))
     gain = F.col("w") - F.coalesce("w_own", F.lit(0.0)) - F.col("k") * (F.col("tot_there") - F.col("tot") + F.col("k")) / F.col("m2")
     c = j.where(~inner).withColumn("gain", F.round(gain, 9)).where("gain > 0")
     allowed = _takes(F.col("part"), F.col("target"), turn) & ~_takes(F.col("part"), F.col("community"), turn)
@@ -57,13 +59,12 @@ def _round(edges: DataFrame, state: DataFrame, turn: int) -> DataFrame:
     best = materialize(best)
     moves = best.where("move is not null").select("part", "id", "k", "m2", "community", "move.target", "move.gain")
     rank = F.struct(-F.col("gain"), F.col("id"))
-    into = moves.groupBy("part", "target").agg(F.sum("k").alias("k_in"), F.min(rank).alias("first_in"))
-    out_of = moves.groupBy("part", "community").agg(F.sum("k").alias("k_out"), F.min(rank).alias("first_out"))
-    m = moves.join(into, ["part", "target"]).join(out_of, ["part", "community"])
+    into, out_of = Window.partitionBy("part", "target"), Window.partitionBy("part", "community")
+    m = moves.withColumns({"k_in": F.sum("k").over(into), "first_in": F.min(rank).over(into)}).withColumns({"k_out": F.sum("k").over(out_of), "first_out": F.min(rank).over(out_of)})
     safe = F.col("gain") * F.col("m2") >= F.col("k") * (F.col("k_in") + F.col("k_out") - 2 * F.col("k"))
     made = m.where(safe | ((F.col("first_in") == rank) & (F.col("first_out") == rank))).select("part", "id", "target")
     flags = best.select("part", "id", F.lit(None).alias("target"), F.lit(True).alias("better")).unionByName(made.withColumn("better", F.lit(True)))
-    return state.join(flags.groupBy("part", "id").agg(F.max("target").alias("target"), F.max("better").alias("better")), ["part", "id"], "left")
+    return state.join(flags.groupBy("part", "id").agg(F.max("target").alias("target"), F.max("better").alias("better")).hint(SHUFFLED), ["part", "id"], "left")
 
 
 def _settled(edges: DataFrame, state: DataFrame, turn: int, rounds: int) -> tuple[DataFrame, int, int, bool]:
@@ -94,19 +95,19 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> Dat
     found, turn = materialize(nodes.withColumn("community", F.col("id"))), 0
     better = not e.isEmpty()
     while better:
-        state, turn, moved, better = _settled(e, _strengths(e).join(whole, "part").withColumn("community", F.col("id")), turn, rounds)
+        state, turn, moved, better = _settled(e, _strengths(e).join(F.broadcast(whole), "part").withColumn("community", F.col("id")), turn, rounds)
         if not moved:
             continue  # The digest allowed none of the moves that gain, if there are any; further rounds draw anew.
         step = state.select("part", F.col("id").alias("community"), F.col("community").alias("_to"))
-        found = materialize(found.join(step, ["part", "community"], "left").select("part", "id", F.coalesce("_to", "community").alias("community")))
+        found = materialize(found.join(step.hint(SHUFFLED), ["part", "community"], "left").select("part", "id", F.coalesce("_to", "community").alias("community")))
         to = lambda end: state.select("part", F.col("id").alias(end), F.col("community").alias(f"_{end}"))
-        e = materialize(e.join(to("src"), ["part", "src"]).join(to("dst"), ["part", "dst"]).groupBy("part", F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight")))
+        e = materialize(e.join(to("src").hint(SHUFFLED), ["part", "src"]).join(to("dst").hint(SHUFFLED), ["part", "dst"]).groupBy("part", F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight")))
         better = True
     if turn:
-        last, *_ = _settled(given, _strengths(given).join(whole, "part").join(found, ["part", "id"]), turn, rounds)
-        found = materialize(found.join(last.select("part", "id", F.col("community").alias("_to")), ["part", "id"], "left").select("part", "id", F.coalesce("_to", "community").alias("community")))
+        last, *_ = _settled(given, _strengths(given).join(F.broadcast(whole), "part").join(found.hint(SHUFFLED), ["part", "id"]), turn, rounds)
+        found = materialize(found.join(last.select("part", "id", F.col("community").alias("_to")).hint(SHUFFLED), ["part", "id"], "left").select("part", "id", F.coalesce("_to", "community").alias("community")))
     least = found.groupBy("part", "community").agg(F.min("id").alias("_least"))
-    return found.join(least, ["part", "community"]).select("part", "id", F.col("_least").alias("community"))
+    return found.join(least.hint(SHUFFLED), ["part", "community"]).select("part", "id", F.col("_least").alias("community"))
 
 
 def kept_together(full: DataFrame, refitted: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def kept_together(full: DataFrame, refitted: DataFrame) -> DataFrame:
     ``full`` has id and community, ``refitted`` draw, id and community. Pairs are counted
     as n (n - 1) / 2 of the cells and of their sums; none is made.
     """
-    cells = refitted.select("draw", "id", F.col("community").alias("again")).join(full, "id").groupBy("community", "draw", "again").agg(F.count("*").alias("n"))
+    cells = refitted.select("draw", "id", F.col("community").alias("again")).join(full.hint(SHUFFLED), "id").groupBy("community", "draw", "again").agg(F.count("*").alias("n"))
     pairs = lambda n: (n * (n - 1) / 2).cast("long")
     by = cells.groupBy("community", "draw").agg(F.sum(pairs(F.col("n"))).alias("together"), pairs(F.sum("n")).alias("seen"))
     return by.groupBy("community").agg(F.sum("seen").alias("seen"), F.sum("together").alias("together"))
@@ -131,9 +132,9 @@ def stability(edges: DataFrame, members: DataFrame, full: DataFrame, draws: int
     """
     drawn = members.where("participant_id is not null").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     drawn = materialize(drawn.where(drawn_times(F.col("participant_id"), F.col("part"), seed) > 0).select("part", "id"))
-    e = edges.join(drawn.withColumnRenamed("id", "src"), "src").join(drawn.withColumnRenamed("id", "dst"), ["part", "dst"]).select("part", "src", "dst", "weight")
+    e = edges.join(drawn.withColumnRenamed("id", "src").hint(SHUFFLED), "src").join(drawn.withColumnRenamed("id", "dst").hint(SHUFFLED), ["part", "dst"]).select("part", "src", "dst", "weight")
     again = communities(e, drawn).withColumnRenamed("part", "draw")
     sizes = full.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    counted = sizes.join(kept_together(full.select("id", "community"), again), "community", "left")
+    counted = sizes.join(kept_together(full.select("id", "community"), again).hint(SHUFFLED), "community", "left")
     rate = F.round(F.when(F.col("seen") > 0, F.col("together") / F.col("seen")), 6)
     return counted.select("community", "size", F.coalesce("seen", F.lit(0)).alias("pairs_seen"), rate.alias("stability"), F.coalesce(rate >= enough, F.lit(False)).alias("stable"))
