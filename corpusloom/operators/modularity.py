@@ -13,7 +13,7 @@ Together they never lower modularity, and the best move of all is always among t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.inference import drawn_times
@@ -50,21 +50,22 @@ def _round(edges: DataFrame, state: DataFrame, turn: int) -> DataFrame:
     ends = placed.select("part", F.col("id").alias("dst"), F.col("community").alias("target"), F.col("tot").alias("tot_there"))
     links = edges.where("src <> dst").join(ends.hint(SHUFFLED), ["part", "dst"]).groupBy("part", F.col("src").alias("id"), "target").agg(F.sum("weight").alias("w"), F.max("tot_there").alias("tot_there"))
     inner = F.col("target") == F.col("community")
-    j = links.join(placed.hint(SHUFFLED), ["part", "id"]).withColumn("w_own", F.max(F.when(inner, F.col("w"))).over(Window.partitionBy("part", "id")))
+    # Nodes that can't gain stay in, so that no join has to bring them back.
+    j = placed.join(links.hint(SHUFFLED), ["part", "id"], "left").withColumn("w_own", F.max(F.when(inner, F.col("w"))).over(Window.partitionBy("part", "id")))
     gain = F.col("w") - F.coalesce("w_own", F.lit(0.0)) - F.col("k") * (F.col("tot_there") - F.col("tot") + F.col("k")) / F.col("m2")
-    c = j.where(~inner).withColumn("gain", F.round(gain, 9)).where("gain > 0")
+    c = j.withColumn("gain", F.when(~inner, F.round(gain, 9)))
     allowed = _takes(F.col("part"), F.col("target"), turn) & ~_takes(F.col("part"), F.col("community"), turn)
-    best = c.groupBy("part", "id", "k", "m2", "community").agg(F.min_by(F.struct("target", "gain"), F.when(allowed, F.struct(-F.col("gain"), F.col("target")))).alias("move"))
-    # The gaining moves are used five times below; made once, they are few.
-    best = materialize(best)
-    moves = best.where("move is not null").select("part", "id", "k", "m2", "community", "move.target", "move.gain")
+    order = F.when((F.col("gain") > 0) & allowed, F.struct(-F.col("gain"), F.col("target")))
+    best = c.groupBy("part", "id", "k", "m2", "community").agg(F.max(F.when(F.col("gain") > 0, True)).alias("better"), F.min_by(F.struct("target", "gain"), order).alias("move"))
+    # A node without a move is a group of its own in both windows, so that large communities at rest are never one task's group.
+    free = F.col("move").isNotNull()
+    b = best.withColumns({"free": free, "into": F.coalesce("move.target", "id"), "out_of": F.when(free, F.col("community")).otherwise(F.col("id")), "gain": F.col("move.gain")})
     rank = F.struct(-F.col("gain"), F.col("id"))
-    into, out_of = Window.partitionBy("part", "target"), Window.partitionBy("part", "community")
-    m = moves.withColumns({"k_in": F.sum("k").over(into), "first_in": F.min(rank).over(into)}).withColumns({"k_out": F.sum("k").over(out_of), "first_out": F.min(rank).over(out_of)})
+    into, out_of = Window.partitionBy("part", "free", "into"), Window.partitionBy("part", "free", "out_of")
+    m = b.withColumns({"k_in": F.sum("k").over(into), "first_in": F.min(rank).over(into)}).withColumns({"k_out": F.sum("k").over(out_of), "first_out": F.min(rank).over(out_of)})
     safe = F.col("gain") * F.col("m2") >= F.col("k") * (F.col("k_in") + F.col("k_out") - 2 * F.col("k"))
-    made = m.where(safe | ((F.col("first_in") == rank) & (F.col("first_out") == rank))).select("part", "id", "target")
-    flags = best.select("part", "id", F.lit(None).alias("target"), F.lit(True).alias("better")).unionByName(made.withColumn("better", F.lit(True)))
-    return state.join(flags.groupBy("part", "id").agg(F.max("target").alias("target"), F.max("better").alias("better")).hint(SHUFFLED), ["part", "id"], "left")
+    made = F.col("free") & (safe | ((F.col("first_in") == rank) & (F.col("first_out") == rank)))
+    return m.select("part", "id", "k", "m2", "community", F.when(made, F.col("into")).alias("target"), "better")
 
 
 def _settled(edges: DataFrame, state: DataFrame, turn: int, rounds: int) -> tuple[DataFrame, int, int, bool]:
@@ -72,9 +73,10 @@ def _settled(edges: DataFrame, state: DataFrame, turn: int, rounds: int) -> tupl
     moved, better = 0, True
     for _ in range(rounds):
         turn += 1
-        done = materialize(_round(edges, state, turn))
-        better, now = done.agg(F.count("better"), F.count("target")).first()
-        state, moved = done.select("part", "id", "k", "m2", F.coalesce("target", "community").alias("community")), moved + now
+        counts = Observation()
+        done = materialize(_round(edges, state, turn).observe(counts, F.count("better").alias("better"), F.count("target").alias("made")))
+        better = counts.get["better"]
+        state, moved = done.select("part", "id", "k", "m2", F.coalesce("target", "community").alias("community")), moved + counts.get["made"]
         if not better:
             break
     return state, turn, moved, bool(better)
