@@ -91,12 +91,13 @@ def cue_blocks(segments: DataFrame, require_label: bool = True) -> DataFrame:
     turns = segments.where("speaker = 'therapist'").select(F.col("session_id").alias("_session"), F.col("start_ms").alias("_ts"), F.col("end_ms").alias("_te"), F.col("segment_index").alias("_ti"), F.col("segment_id").alias("_tid"), "move", F.col("text").alias("_text"))
     between = F.when(F.col("_end") > 0, (F.col("_ts") < F.col("_start")) & (F.col("_te") > F.col("_end"))).otherwise((F.col("_ti") > F.col("_from")) & (F.col("_ti") < F.col("_to")))
     joined = blocks.join(turns, (blocks["session_id"] == turns["_session"]) & between, "left")
-    turn = F.when(F.col("_tid").isNotNull(), F.struct("_ts", "_ti", "_tid", "move", "_text"))
-    grouped = joined.groupBy(*[c for c in blocks.columns if c[0] != "_"]).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    known, turn = F.col("_tid").isNotNull(), ["_ts", "_ti", "_tid", "move"]
+    # Texts have a list of their own: queries that use none read and shuffle none.
+    grouped = joined.groupBy(*[c for c in blocks.columns if c[0] != "_"]).agg(F.array_sort(F.collect_list(F.when(known, F.struct(*turn)))).alias("t"), F.array_sort(F.collect_list(F.when(known, F.struct(*turn, "_text")))).alias("texts"))
     return grouped.select(
         *[c for c in blocks.columns if c[0] != "_"], direction(F.col("from_stage"), F.col("to_stage")).alias("direction"),
         F.transform("t", lambda x: x["_tid"]).alias("turn_ids"), F.filter(F.transform("t", lambda x: x["move"]), lambda m: m.isNotNull()).alias("moves"),
-        F.array_join(F.transform("t", lambda x: x["_text"]), "\n").alias("cue_text"), F.size("t").alias("n_turns"), (F.size("t") == 0).alias("is_empty"),
+        F.array_join(F.transform("texts", lambda x: x["_text"]), "\n").alias("cue_text"), F.size("t").alias("n_turns"), (F.size("t") == 0).alias("is_empty"),
     )
 
 
