@@ -26,6 +26,24 @@ def shared_code_edges(rows: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def code_classes(rows: DataFrame) -> DataFrame:
+    """Segments by the set of codes that they hold: segment_id, codes (sorted) and class_id, the smallest segment_id of the set.
+
+    All segments of a set have the same links, so pairs need to be made between classes only
+    and none is lost. A segment without codes is a class of its own. Rows of one id are one
+    segment, with the codes of all of them.
+    """
+    sets = rows.where("segment_id is not null").select("segment_id", F.explode_outer("codes").alias("code")).groupBy("segment_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    least = sets.where(F.size("codes") > 0).groupBy("codes").agg(F.min("segment_id").alias("class_id"))
+    return sets.join(least, "codes", "left").select("segment_id", "codes", F.coalesce("class_id", "segment_id").alias("class_id"))
+
+
+def class_links(classes: DataFrame) -> DataFrame:
+    """Every two classes (class_id, codes) that share codes, both ways, each class with itself too: src, dst, shared."""
+    held = classes.select("class_id", F.explode("codes").alias("code"))
+    return held.withColumnRenamed("class_id", "src").join(held.withColumnRenamed("class_id", "dst"), "code").groupBy("src", "dst").agg(F.count("*").alias("shared"))
+
+
 def typed_edges(segments: DataFrame, blocks: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """All edges with their kind: temporal, cue, and similar where given."""
     e = temporal_edges(segments).withColumn("kind", F.lit("temporal")).unionByName(cue_edges(blocks).withColumn("kind", F.lit("cue")))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.graphs import class_links
 from corpusloom.operators.inference import drawn_times
 from corpusloom.operators.lineage import materialize
 
@@ -112,6 +113,31 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> Dat
     return found.join(least.hint(SHUFFLED), ["part", "community"]).select("part", "id", F.col("_least").alias("community"))
 
 
+def class_graph(sizes: DataFrame) -> DataFrame:
+    """Links of all pairs of nodes that share a code, summed by class: part, src, dst, weight, both ways, a class's inner pairs as a loop.
+
+    ``sizes`` has part, class_id, codes and n, the nodes of that set of codes. A pair weighs one for each
+    code it shares. Nodes of one set of codes are together in every best partition: they see the same, and by the
+    Cauchy-Schwarz inequality their own link weighs more than k * k / m2; so a class may move as one node.
+    Weights are divided by a power of two, which brings the mean strength of a class near one and keeps their sums exact.
+    """
+    links = class_links(sizes.select("class_id", "codes").distinct())
+    end = lambda name: sizes.select("part", F.col("class_id").alias(name), F.col("n").alias(f"n_{name}"))
+    holders = sizes.select("part", "n", F.explode("codes").alias("code")).groupBy("part", "code").agg(F.sum("n").alias("h"))
+    whole = holders.groupBy("part").agg(F.sum(F.col("h") * (F.col("h") - 1)).alias("m2")).where("m2 > 0")
+    scale = sizes.groupBy("part").agg(F.count("*").alias("classes")).join(whole, "part").select("part", F.pow(F.lit(2.0), -F.ceil(F.log2(F.col("m2") / F.col("classes")))).alias("scale"))
+    pairs = F.col("n_src") * (F.col("n_dst") - (F.col("src") == F.col("dst")).cast("long"))
+    e = links.join(end("src").hint(SHUFFLED), "src").join(end("dst").hint(SHUFFLED), ["part", "dst"]).join(F.broadcast(scale), "part")
+    return e.select("part", "src", "dst", (F.col("shared") * pairs * F.col("scale")).alias("weight")).where("weight > 0")
+
+
+def code_communities(members: DataFrame) -> DataFrame:
+    """Communities by modularity of nodes (segment_id, codes, class_id) of which all pairs that share a code are linked: id, community."""
+    sizes = materialize(members.groupBy("class_id", "codes").agg(F.count("*").alias("n")).select(F.lit(0).alias("part"), "class_id", "codes", "n"))
+    found = communities(class_graph(sizes), sizes.select("part", F.col("class_id").alias("id"))).select(F.col("id").alias("class_id"), "community")
+    return members.join(found, "class_id").select(F.col("segment_id").alias("id"), "community")
+
+
 def kept_together(full: DataFrame, refitted: DataFrame) -> DataFrame:
     """Pairs of each community's members that are in a refit at all, and that it keeps together.
 

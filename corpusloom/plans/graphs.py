@@ -10,6 +10,7 @@ from corpusloom.operators import modularity as M
 from corpusloom.operators import motifs as Q
 from corpusloom.operators import segmentation as G
 from corpusloom.operators import transitions as T
+from corpusloom.operators.lineage import materialize
 from corpusloom.plans.segmentation import ROUNDED, VECTOR
 from corpusloom.plans.transitions import BLOCKS
 from corpusloom.plans.vectors import MEANS
@@ -174,9 +175,8 @@ def community_formation(spark, sf_dir):
 
 @register("modularity_communities")
 def modularity_communities(spark, sf_dir):
-    """Communities of the segments by modularity, levels until no move gains."""
-    rows = labelled(spark, sf_dir)
-    return M.communities(_parted(N.shared_code_edges(rows)), _parted(rows.select(F.col("segment_id").alias("id")))).drop("part")
+    """Communities of the segments by modularity, all pairs that share a code linked, levels until no move gains."""
+    return M.code_communities(materialize(N.code_classes(labelled(spark, sf_dir))))
 
 
 @register("community_stability")
