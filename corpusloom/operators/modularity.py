@@ -141,10 +141,11 @@ def code_communities(members: DataFrame) -> DataFrame:
 def kept_together(full: DataFrame, refitted: DataFrame) -> DataFrame:
     """Pairs of each community's members that are in a refit at all, and that it keeps together.
 
-    ``full`` has id and community, ``refitted`` draw, id and community. Pairs are counted
-    as n (n - 1) / 2 of the cells and of their sums; none is made.
+    ``full`` has id and community, ``refitted`` draw, id and community, and n where a row
+    stands for so many members. Pairs are counted as n (n - 1) / 2 of the cells and of their sums; none is made.
     """
-    cells = refitted.select("draw", "id", F.col("community").alias("again")).join(full.hint(SHUFFLED), "id").groupBy("community", "draw", "again").agg(F.count("*").alias("n"))
+    members = F.col("n") if "n" in refitted.columns else F.lit(1)
+    cells = refitted.select("draw", "id", F.col("community").alias("again"), members.alias("_n")).join(full.hint(SHUFFLED), "id").groupBy("community", "draw", "again").agg(F.sum("_n").alias("n"))
     pairs = lambda n: (n * (n - 1) / 2).cast("long")
     by = cells.groupBy("community", "draw").agg(F.sum(pairs(F.col("n"))).alias("together"), pairs(F.sum("n")).alias("seen"))
     return by.groupBy("community").agg(F.sum("seen").alias("seen"), F.sum("together").alias("together"))
@@ -162,7 +163,29 @@ def stability(edges: DataFrame, members: DataFrame, full: DataFrame, draws: int
     drawn = materialize(drawn.where(drawn_times(F.col("participant_id"), F.col("part"), seed) > 0).select("part", "id"))
     e = edges.join(drawn.withColumnRenamed("id", "src").hint(SHUFFLED), "src").join(drawn.withColumnRenamed("id", "dst").hint(SHUFFLED), ["part", "dst"]).select("part", "src", "dst", "weight")
     again = communities(e, drawn).withColumnRenamed("part", "draw")
-    sizes = full.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    counted = sizes.join(kept_together(full.select("id", "community"), again).hint(SHUFFLED), "community", "left")
+    sizes = full.groupBy("community").agg(F.count("*").alias("size"))
+    return _rated(sizes, kept_together(full.select("id", "community"), again), least, enough)
+
+
+def _rated(sizes: DataFrame, kept: DataFrame, least: int, enough: float) -> DataFrame:
+    """Stability of the communities (community, size) of ``least`` members or more, from the counts of ``kept_together``."""
+    counted = sizes.where(F.col("size") >= least).join(kept.hint(SHUFFLED), "community", "left")
     rate = F.round(F.when(F.col("seen") > 0, F.col("together") / F.col("seen")), 6)
     return counted.select("community", "size", F.coalesce("seen", F.lit(0)).alias("pairs_seen"), rate.alias("stability"), F.coalesce(rate >= enough, F.lit(False)).alias("stable"))
+
+
+def code_stability(members: DataFrame, full: DataFrame, draws: int = 50, least: int = 3, enough: float = 0.5, seed: int = 42) -> DataFrame:
+    """``stability`` of communities of nodes of which all pairs that share a code are linked.
+
+    ``members`` has segment_id, codes, class_id and participant_id, ``full`` id and community
+    (``code_communities``). A draw's graph and its pairs are counted by set of codes, so no draw repeats the segments.
+    """
+    counts = materialize(members.where("participant_id is not null").groupBy("participant_id", "class_id").agg(F.count("*").alias("n")))
+    drawn = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).where(drawn_times(F.col("participant_id"), F.col("part"), seed) > 0)
+    codes = members.where("segment_id = class_id").select("class_id", "codes")
+    sizes = materialize(drawn.groupBy("part", "class_id").agg(F.sum("n").alias("n")).join(codes.hint(SHUFFLED), "class_id").select("part", "class_id", "codes", "n"))
+    again = communities(class_graph(sizes), sizes.select("part", F.col("class_id").alias("id")))
+    again = again.join(sizes.select("part", F.col("class_id").alias("id"), "n").hint(SHUFFLED), ["part", "id"]).withColumnRenamed("part", "draw")
+    # A class lies in one community, that of its first member.
+    first = full.join(codes.select(F.col("class_id").alias("id")).hint(SHUFFLED), "id").select("id", "community")
+    return _rated(full.groupBy("community").agg(F.count("*").alias("size")), kept_together(first, again), least, enough)

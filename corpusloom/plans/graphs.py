@@ -181,8 +181,7 @@ def modularity_communities(spark, sf_dir):
 
 @register("community_stability")
 def community_stability(spark, sf_dir):
-    """Share of each community's pairs that stay together when participants are drawn anew."""
+    """Share of each community's pairs that stay together in fifty draws of the participants."""
     rows = labelled(spark, sf_dir)
-    edges = N.shared_code_edges(rows)
-    full = M.communities(_parted(edges), _parted(rows.select(F.col("segment_id").alias("id"))))
-    return M.stability(edges, rows.select(F.col("segment_id").alias("id"), "participant_id"), full, draws=3)
+    members = materialize(N.code_classes(rows).join(rows.select("segment_id", "participant_id").distinct(), "segment_id"))
+    return M.code_stability(members, materialize(M.code_communities(members)), draws=50)
