@@ -14,11 +14,10 @@ def cue_edges(blocks: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).withColumn("weight", F.lit(1.0))
 
 
-def shared_code_edges(rows: DataFrame) -> DataFrame:
-    """Consecutive holders of a code, in order of id, both ways.
+def code_chain(rows: DataFrame) -> DataFrame:
+    """Consecutive holders of a code, in order of id, both ways; other pairs that share it have no edge.
 
-    A chain links all holders of a code with as many edges as holders, where all
-    pairs would grow with their square. Edges weigh one for each code that they share.
+    Edges weigh one for each code whose holders they follow in. ``shared_code_edges`` has all pairs.
     """
     held = rows.select("segment_id", F.explode(F.array_distinct("codes")).alias("code"))
     e = held.withColumn("dst", F.lead("segment_id").over(Window.partitionBy("code").orderBy("segment_id"))).where("dst is not null")
@@ -44,6 +43,19 @@ def class_links(classes: DataFrame) -> DataFrame:
     return held.withColumnRenamed("class_id", "src").join(held.withColumnRenamed("class_id", "dst"), "code").groupBy("src", "dst").agg(F.count("*").alias("shared"))
 
 
+def shared_code_edges(rows: DataFrame) -> DataFrame:
+    """All pairs of segments that share a code, by class: src, dst, weight (the codes that they share) and kind, both ways.
+
+    An edge of kind ``class`` links the first segments of two classes (``code_classes``) and stands for all pairs of their members, one
+    of kind ``member`` links a segment with the first of its own class. Two members of a class weigh as either
+    does with the first. Rows grow with the segments and with pairs of sets of codes, not with pairs of segments.
+    """
+    m = code_classes(rows)
+    between = class_links(m.where("segment_id = class_id")).where("src <> dst").select("src", "dst", F.col("shared").cast("double").alias("weight"), F.lit("class").alias("kind"))
+    inner = m.where("segment_id <> class_id").select(F.col("segment_id").alias("src"), F.col("class_id").alias("dst"), F.size("codes").cast("double").alias("weight"), F.lit("member").alias("kind"))
+    return between.union(inner).union(inner.select("dst", "src", "weight", "kind"))
+
+
 def typed_edges(segments: DataFrame, blocks: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """All edges with their kind: temporal, cue, and similar where given."""
     e = temporal_edges(segments).withColumn("kind", F.lit("temporal")).unionByName(cue_edges(blocks).withColumn("kind", F.lit("cue")))

@@ -29,9 +29,16 @@ s{i} AS (SELECT id, arg_min(community, (-round(w, 6), community)) AS community F
 GROUPS = f"{CHAIN}, s0 AS (SELECT segment_id AS id, segment_id AS community FROM labelled), {', '.join(_round(i) for i in range(1, 4))}, grouped AS (SELECT l.*, community FROM labelled l JOIN s3 ON id = segment_id)"
 
 
-def _groups(spark, sf_dir):
+SETS = """held AS (SELECT DISTINCT segment_id, code FROM (SELECT segment_id, unnest(codes) AS code FROM labelled) WHERE code IS NOT NULL),
+sets AS (SELECT segment_id, list(code ORDER BY code) AS codes FROM held GROUP BY segment_id), classes AS (SELECT codes, min(segment_id) AS class_id FROM sets GROUP BY codes), in_class AS (SELECT codes, class_id, unnest(codes) AS code FROM classes)"""
+LINKS = f"""{SETS}, inner_links AS (SELECT segment_id, class_id, len(codes)::DOUBLE AS weight FROM sets JOIN classes USING (codes) WHERE segment_id <> class_id),
+edges AS (SELECT a.class_id AS src, b.class_id AS dst, count(*)::DOUBLE AS weight, 'class' AS kind FROM in_class a JOIN in_class b ON a.code = b.code WHERE a.class_id <> b.class_id GROUP BY ALL
+UNION ALL SELECT segment_id, class_id, weight, 'member' FROM inner_links UNION ALL SELECT class_id, segment_id, weight, 'member' FROM inner_links)"""
+
+
+def _chain_groups(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    found = N.communities(N.shared_code_edges(rows), rows.select(F.col("segment_id").alias("id")), 3)
+    found = N.communities(N.code_chain(rows), rows.select(F.col("segment_id").alias("id")), 3)
     return rows.join(found.withColumnRenamed("id", "segment_id"), "segment_id")
 
 
@@ -52,24 +59,24 @@ def neighbour_confidence(spark, sf_dir):
     return N.neighbour_mean(temporal_edges(s), s.select(F.col("segment_id").alias("id"), F.col("confidence").alias("value")))
 
 
-@register("shared_code_edges", oracle(f"{CHAIN} SELECT src, dst, weight FROM edges"))
+@register("shared_code_edges", oracle(f"{LINKS} SELECT src, dst, weight, kind FROM edges"))
 def shared_code_edges(spark, sf_dir):
     return N.shared_code_edges(labelled(spark, sf_dir))
 
 
 @register("segment_communities", oracle(f"{GROUPS} SELECT segment_id, community FROM grouped"))
 def segment_communities(spark, sf_dir):
-    return _groups(spark, sf_dir).select("segment_id", "community")
+    return _chain_groups(spark, sf_dir).select("segment_id", "community")
 
 
 @register("community_transitions", oracle(f"{GROUPS}, n AS (SELECT community, lead(community) OVER (PARTITION BY session_id ORDER BY segment_index) AS nxt FROM grouped) SELECT community AS from_community, nxt AS to_community, count(*) AS n FROM n WHERE nxt <> community GROUP BY ALL"))
 def community_transitions(spark, sf_dir):
-    return N.community_transitions(_groups(spark, sf_dir))
+    return N.community_transitions(_chain_groups(spark, sf_dir))
 
 
 @register("community_profile", oracle(f"{GROUPS}, b AS (SELECT community, label, count(*) AS c FROM grouped GROUP BY ALL), p AS (SELECT community, arg_min(label, (-c, label)) AS modal, round(max(c) / sum(c), 6) AS purity FROM b GROUP BY ALL) SELECT community, count(*) AS n, count(DISTINCT session_id) AS sessions, round(avg(label), 6) AS mean_label, any_value(modal) AS modal, any_value(purity) AS purity FROM grouped JOIN p USING (community) GROUP BY community"))
 def community_profile(spark, sf_dir):
-    return N.community_profile(_groups(spark, sf_dir))
+    return N.community_profile(_chain_groups(spark, sf_dir))
 
 
 @register("stage_top_terms", oracle("""w AS (SELECT label, unnest(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda t: length(t) >= 3)) AS term FROM labelled), tf AS (SELECT label, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
@@ -133,7 +140,7 @@ def cue_motifs(spark, sf_dir):
 @register("community_stage_agreement", oracle(f"""{GROUPS}, c AS (SELECT community AS a, label AS b, count(*) AS n FROM grouped GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2) AS both_, sum(n) AS n FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY b)),
 e AS (SELECT n, both_, sa * sb / (n * (n - 1) / 2) AS ch, (sa + sb) / 2 AS top FROM t, x, y) SELECT n::BIGINT AS n, round(CASE WHEN top = ch THEN 1.0 ELSE (both_ - ch) / (top - ch) END, 6) AS ari FROM e"""))
 def community_stage_agreement(spark, sf_dir):
-    return N.rand_index(_groups(spark, sf_dir), "community", "label")
+    return N.rand_index(_chain_groups(spark, sf_dir), "community", "label")
 
 
 @register("centroid_exemplars", f"""WITH {MEANS}, d AS (SELECT vec_id, e.label, round(sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - centroid[i]) ** 2))), 5) AS distance FROM embeddings e JOIN cents c ON c.label = e.label),
@@ -157,8 +164,8 @@ by_a AS (SELECT a, sum(weight) AS tot, coalesce(sum(weight) FILTER (a = b), 0) A
 SELECT round(sum(inner_weight / m2 - (tot / m2) ** 2), 9) AS modularity, count(*) AS communities FROM by_a, whole"""))
 def grouping_modularity(spark, sf_dir):
     """Modularity of the communities of three rounds of label propagation."""
-    edges = N.shared_code_edges(labelled(spark, sf_dir))
-    groups = _groups(spark, sf_dir).select(F.col("segment_id").alias("id"), "community")
+    edges = N.code_chain(labelled(spark, sf_dir))
+    groups = _chain_groups(spark, sf_dir).select(F.col("segment_id").alias("id"), "community")
     return M.modularity(_parted(edges), _parted(groups)).drop("part")
 
 
@@ -168,7 +175,7 @@ SELECT community, sum(seen)::BIGINT AS seen, sum(together)::BIGINT AS together F
 def community_formation(spark, sf_dir):
     """Pairs of each community of three rounds that were together after the first and the second round already."""
     rows = labelled(spark, sf_dir)
-    edges, nodes = N.shared_code_edges(rows), rows.select(F.col("segment_id").alias("id"))
+    edges, nodes = N.code_chain(rows), rows.select(F.col("segment_id").alias("id"))
     again = N.communities(edges, nodes, 1).withColumn("draw", F.lit(1)).unionByName(N.communities(edges, nodes, 2).withColumn("draw", F.lit(2)))
     return M.kept_together(N.communities(edges, nodes, 3), again)
 

@@ -62,6 +62,6 @@ def test_query_links_holders_that_do_not_follow_each_other(spark):
 
     sets = [(r.segment_id, r.codes) for r in labelled(spark, FOLDER).select("segment_id", "codes").collect()]
     edges = all_pairs(sets)
-    chain = M.communities(N.shared_code_edges(labelled(spark, FOLDER)).selectExpr("0 as part", "*"), spark.createDataFrame([(0, i) for i, _ in sets], "part int, id string"))
+    chain = M.communities(N.code_chain(labelled(spark, FOLDER)).selectExpr("0 as part", "*"), spark.createDataFrame([(0, i) for i, _ in sets], "part int, id string"))
     got = {r.id: r.community for r in catalog.queries()["modularity_communities"](spark, FOLDER).collect()}
     assert plain_modularity(edges, got) > plain_modularity(edges, {r.id: r.community for r in chain.collect()}) + 0.01
