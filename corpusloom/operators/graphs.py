@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.lineage import materialize
 from corpusloom.operators.vectors import temporal_edges
 
 
@@ -105,6 +106,32 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFram
     return state
 
 
+def code_communities(rows: DataFrame, rounds: int = 5) -> DataFrame:
+    """``communities`` over all pairs of segments that share a code (segment_id, codes): id, community.
+
+    No pair is made: a class sees a label as often as its codes' holders have it, less the node itself.
+    At the start each label is one node's, and of a class's equal labels the two smallest decide, since a
+    node may not count its own but for once. So the first node of a class, the second and all the rest are
+    three cells, whose nodes move together in every round.
+    """
+    members = materialize(code_classes(rows))
+    second = F.min(F.when(F.col("segment_id") != F.col("class_id"), F.col("segment_id")))
+    sized = materialize(members.where(F.size("codes") > 0).groupBy("class_id", "codes").agg(F.count("*").alias("n"), second.alias("second")))
+    held = sized.select("class_id", F.explode("codes").alias("code"))
+    cell = lambda at, label, n: F.struct(F.lit(at).alias("cell"), label.alias("label"), n.cast("long").alias("n"))
+    three = F.array(cell(0, F.col("class_id"), F.lit(1)), cell(1, F.col("second"), F.least(F.col("n") - 1, F.lit(1))), cell(2, F.lit(None).cast("string"), F.col("n") - 2))
+    cells = sized.select("class_id", "second", F.size("codes").alias("size"), F.explode(F.filter(three, lambda c: c["n"] > 0)).alias("c")).select("class_id", "second", "size", "c.*")
+    for _ in range(rounds):
+        seen = cells.where("label is not null").join(held, "class_id").groupBy("code", "label").agg(F.sum("n").alias("n"))
+        mass = held.join(seen, "code").groupBy("class_id", "label").agg(F.sum("n").alias("mass"))
+        score = F.col("mass") - F.when(F.col("label") == F.col("own"), F.col("size") - 1).otherwise(0)
+        choice = cells.withColumnRenamed("label", "own").join(mass, "class_id").groupBy("class_id", "second", "size", "cell", "n")
+        cells = materialize(choice.agg(F.min_by("label", F.struct(-score, "label")).alias("label")))
+    at = F.when(F.col("segment_id") == F.col("class_id"), 0).when(F.col("segment_id") == F.col("second"), 1).otherwise(2)
+    placed = members.join(cells.select("class_id", "second", "cell", "label"), "class_id", "left").where(F.col("cell").isNull() | (F.col("cell") == at))
+    return placed.select(F.col("segment_id").alias("id"), F.coalesce("label", "segment_id").alias("community"))
+
+
 def community_transitions(rows: DataFrame) -> DataFrame:
     """Changes from one community to another between consecutive segments of a session."""
     nxt = F.lead("community").over(Window.partitionBy("session_id").orderBy("segment_index"))

@@ -36,6 +36,23 @@ edges AS (SELECT a.class_id AS src, b.class_id AS dst, count(*)::DOUBLE AS weigh
 UNION ALL SELECT segment_id, class_id, weight, 'member' FROM inner_links UNION ALL SELECT class_id, segment_id, weight, 'member' FROM inner_links)"""
 
 
+def _set_round(i: int) -> str:
+    """What each set of codes sees of the labels of round i - 1 over all pairs, and the segments' labels by it: a set's two heaviest, or the own one, whose segment counts once."""
+    best = f"(SELECT * FROM t{i} QUALIFY row_number() OVER (PARTITION BY codes ORDER BY w DESC, community) <= 2)"
+    return f"""m{i} AS (SELECT code, community, count(*) AS w FROM (SELECT unnest(codes) AS code, community FROM s{i - 1}) GROUP BY ALL), t{i} AS (SELECT codes, community, sum(w) AS w FROM in_class JOIN m{i} USING (code) GROUP BY ALL),
+o{i} AS (SELECT id, s.codes, b.community, b.w - CASE WHEN b.community = s.community THEN len(s.codes) - 1 ELSE 0 END AS w FROM s{i - 1} s JOIN {best} b ON b.codes = s.codes
+UNION ALL SELECT id, s.codes, s.community, coalesce(t.w - len(s.codes) + 1, 1) FROM s{i - 1} s LEFT JOIN t{i} t ON t.codes = s.codes AND t.community = s.community), s{i} AS (SELECT id, any_value(codes) AS codes, arg_min(community, (-w, community)) AS community FROM o{i} GROUP BY id)"""
+
+
+SET_GROUPS = f"{SETS}, s0 AS (SELECT DISTINCT segment_id AS id, sets.codes, segment_id AS community FROM labelled LEFT JOIN sets USING (segment_id)), {', '.join(_set_round(i) for i in range(1, 4))}, grouped AS (SELECT l.*, community FROM labelled l JOIN s3 ON id = segment_id)"
+
+
+def _groups(spark, sf_dir):
+    """Labelled segments with their community after three rounds over all pairs that share a code."""
+    rows = labelled(spark, sf_dir)
+    return rows.join(N.code_communities(rows, 3).withColumnRenamed("id", "segment_id"), "segment_id")
+
+
 def _chain_groups(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     found = N.communities(N.code_chain(rows), rows.select(F.col("segment_id").alias("id")), 3)
@@ -64,9 +81,9 @@ def shared_code_edges(spark, sf_dir):
     return N.shared_code_edges(labelled(spark, sf_dir))
 
 
-@register("segment_communities", oracle(f"{GROUPS} SELECT segment_id, community FROM grouped"))
+@register("segment_communities", oracle(f"{SET_GROUPS} SELECT segment_id, community FROM grouped"))
 def segment_communities(spark, sf_dir):
-    return _chain_groups(spark, sf_dir).select("segment_id", "community")
+    return _groups(spark, sf_dir).select("segment_id", "community")
 
 
 @register("community_transitions", oracle(f"{GROUPS}, n AS (SELECT community, lead(community) OVER (PARTITION BY session_id ORDER BY segment_index) AS nxt FROM grouped) SELECT community AS from_community, nxt AS to_community, count(*) AS n FROM n WHERE nxt <> community GROUP BY ALL"))

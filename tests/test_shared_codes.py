@@ -1,15 +1,15 @@
-"""Edges over all pairs of segments that share a code, against the pairs made one by one."""
+"""Edges and label propagation over all pairs of segments that share a code, against the pairs made one by one."""
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
 from corpusloom import catalog
 from corpusloom.operators import graphs as N
-from corpusloom.plans.graphs import LINKS
+from corpusloom.plans.graphs import LINKS, SET_GROUPS
 from corpusloom.sources.corpus import oracle
 from tests.parity import connection
 from tests.test_code_pairs import FOLDER, all_pairs, coded, frame
@@ -32,6 +32,22 @@ def expanded(rows):
     return sorted((a, b, weight[at(a), at(b)]) for a, b in itertools.permutations(every, 2) if (at(a), at(b)) in weight)
 
 
+def propagated(rows, rounds):
+    label = {i: i for i, _ in rows}
+    links = defaultdict(list)
+    for _, a, b, w in all_pairs(rows):
+        links[a].append((b, w))
+    for _ in range(rounds):
+        new = {}
+        for i in label:
+            mass = Counter({label[i]: 1.0})
+            for b, w in links[i]:
+                mass[label[b]] += w
+            new[i] = min(mass, key=lambda x: (-mass[x], x))
+        label = new
+    return label
+
+
 def sample(seed):
     rng = random.Random(seed)
     many = [(f"s{i:03d}", rng.sample("abcdefgh", rng.choice([1, 1, 2, 2, 3, 4]))) for i in range(45)]
@@ -53,6 +69,15 @@ def test_edges_lose_no_pair(spark, seed):
     assert expanded(in_sql(rows, f"{LINKS} SELECT src, dst, weight, kind FROM edges")) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_labels_spread_over_all_pairs(spark, seed):
+    rows = sample(seed)
+    for rounds in (0, 1, 3):
+        got = N.code_communities(frame(spark, rows), rounds).collect()
+        assert len(got) == len(rows) and {r.id: r.community for r in got} == propagated(rows, rounds)
+    assert dict(in_sql(rows, f"{SET_GROUPS} SELECT segment_id, community FROM grouped")) == propagated(rows, 3)
+
+
 @pytest.fixture(scope="module")
 def sets():
     return connection(FOLDER).execute(oracle("SELECT segment_id, codes FROM labelled")).fetchall()
@@ -64,3 +89,7 @@ def rows_of(spark, query):
 
 def test_query_edges(spark, sets):
     assert set(expanded(rows_of(spark, "shared_code_edges"))) == {(a, b, w) for _, a, b, w in all_pairs(sets)}
+
+
+def test_query_communities(spark, sets):
+    assert {r.segment_id: r.community for r in rows_of(spark, "segment_communities")} == propagated(sets, 3)
