@@ -86,9 +86,9 @@ def segment_communities(spark, sf_dir):
     return _groups(spark, sf_dir).select("segment_id", "community")
 
 
-@register("community_transitions", oracle(f"{GROUPS}, n AS (SELECT community, lead(community) OVER (PARTITION BY session_id ORDER BY segment_index) AS nxt FROM grouped) SELECT community AS from_community, nxt AS to_community, count(*) AS n FROM n WHERE nxt <> community GROUP BY ALL"))
+@register("community_transitions", oracle(f"{SET_GROUPS}, n AS (SELECT community, lead(community) OVER (PARTITION BY session_id ORDER BY segment_index) AS nxt FROM grouped) SELECT community AS from_community, nxt AS to_community, count(*) AS n FROM n WHERE nxt <> community GROUP BY ALL"))
 def community_transitions(spark, sf_dir):
-    return N.community_transitions(_chain_groups(spark, sf_dir))
+    return N.community_transitions(_groups(spark, sf_dir))
 
 
 @register("community_profile", oracle(f"{GROUPS}, b AS (SELECT community, label, count(*) AS c FROM grouped GROUP BY ALL), p AS (SELECT community, arg_min(label, (-c, label)) AS modal, round(max(c) / sum(c), 6) AS purity FROM b GROUP BY ALL) SELECT community, count(*) AS n, count(DISTINCT session_id) AS sessions, round(avg(label), 6) AS mean_label, any_value(modal) AS modal, any_value(purity) AS purity FROM grouped JOIN p USING (community) GROUP BY community"))

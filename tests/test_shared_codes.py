@@ -93,3 +93,10 @@ def test_query_edges(spark, sets):
 
 def test_query_communities(spark, sets):
     assert {r.segment_id: r.community for r in rows_of(spark, "segment_communities")} == propagated(sets, 3)
+
+
+def test_query_transitions(spark, sets):
+    label = propagated(sets, 3)
+    order = connection(FOLDER).execute(oracle("SELECT session_id, segment_id FROM labelled ORDER BY session_id, segment_index")).fetchall()
+    moves = Counter((label[a], label[b]) for (s, a), (t, b) in itertools.pairwise(order) if s == t and label[a] != label[b])
+    assert moves and {(r.from_community, r.to_community): r.n for r in rows_of(spark, "community_transitions")} == moves
