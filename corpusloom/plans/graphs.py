@@ -91,9 +91,9 @@ def community_transitions(spark, sf_dir):
     return N.community_transitions(_groups(spark, sf_dir))
 
 
-@register("community_profile", oracle(f"{GROUPS}, b AS (SELECT community, label, count(*) AS c FROM grouped GROUP BY ALL), p AS (SELECT community, arg_min(label, (-c, label)) AS modal, round(max(c) / sum(c), 6) AS purity FROM b GROUP BY ALL) SELECT community, count(*) AS n, count(DISTINCT session_id) AS sessions, round(avg(label), 6) AS mean_label, any_value(modal) AS modal, any_value(purity) AS purity FROM grouped JOIN p USING (community) GROUP BY community"))
+@register("community_profile", oracle(f"{SET_GROUPS}, b AS (SELECT community, label, count(*) AS c FROM grouped GROUP BY ALL), p AS (SELECT community, arg_min(label, (-c, label)) AS modal, round(max(c) / sum(c), 6) AS purity FROM b GROUP BY ALL) SELECT community, count(*) AS n, count(DISTINCT session_id) AS sessions, round(avg(label), 6) AS mean_label, any_value(modal) AS modal, any_value(purity) AS purity FROM grouped JOIN p USING (community) GROUP BY community"))
 def community_profile(spark, sf_dir):
-    return N.community_profile(_chain_groups(spark, sf_dir))
+    return N.community_profile(_groups(spark, sf_dir))
 
 
 @register("stage_top_terms", oracle("""w AS (SELECT label, unnest(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda t: length(t) >= 3)) AS term FROM labelled), tf AS (SELECT label, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),

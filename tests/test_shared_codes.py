@@ -100,3 +100,7 @@ def test_query_transitions(spark, sets):
     order = connection(FOLDER).execute(oracle("SELECT session_id, segment_id FROM labelled ORDER BY session_id, segment_index")).fetchall()
     moves = Counter((label[a], label[b]) for (s, a), (t, b) in itertools.pairwise(order) if s == t and label[a] != label[b])
     assert moves and {(r.from_community, r.to_community): r.n for r in rows_of(spark, "community_transitions")} == moves
+
+
+def test_query_profile(spark, sets):
+    assert {r.community: r.n for r in rows_of(spark, "community_profile")} == Counter(propagated(sets, 3).values())
