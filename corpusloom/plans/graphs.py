@@ -154,10 +154,10 @@ def cue_motifs(spark, sf_dir):
     return N.motifs(_moved_motifs(spark, sf_dir))
 
 
-@register("community_stage_agreement", oracle(f"""{GROUPS}, c AS (SELECT community AS a, label AS b, count(*) AS n FROM grouped GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2) AS both_, sum(n) AS n FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY b)),
+@register("community_stage_agreement", oracle(f"""{SET_GROUPS}, c AS (SELECT community AS a, label AS b, count(*) AS n FROM grouped GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2) AS both_, sum(n) AS n FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY b)),
 e AS (SELECT n, both_, sa * sb / (n * (n - 1) / 2) AS ch, (sa + sb) / 2 AS top FROM t, x, y) SELECT n::BIGINT AS n, round(CASE WHEN top = ch THEN 1.0 ELSE (both_ - ch) / (top - ch) END, 6) AS ari FROM e"""))
 def community_stage_agreement(spark, sf_dir):
-    return N.rand_index(_chain_groups(spark, sf_dir), "community", "label")
+    return N.rand_index(_groups(spark, sf_dir), "community", "label")
 
 
 @register("centroid_exemplars", f"""WITH {MEANS}, d AS (SELECT vec_id, e.label, round(sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - centroid[i]) ** 2))), 5) AS distance FROM embeddings e JOIN cents c ON c.label = e.label),

@@ -104,3 +104,13 @@ def test_query_transitions(spark, sets):
 
 def test_query_profile(spark, sets):
     assert {r.community: r.n for r in rows_of(spark, "community_profile")} == Counter(propagated(sets, 3).values())
+
+
+def test_query_agreement(spark, sets):
+    label = propagated(sets, 3)
+    cells = [(label[i], stage) for i, stage in connection(FOLDER).execute(oracle("SELECT segment_id, label FROM labelled")).fetchall()]
+    pairs = lambda keys: sum(n * (n - 1) / 2 for n in Counter(keys).values())
+    both, a, b = pairs(cells), pairs(c for c, _ in cells), pairs(s for _, s in cells)
+    chance = a * b / (len(cells) * (len(cells) - 1) / 2)
+    (row,) = rows_of(spark, "community_stage_agreement")
+    assert row.n == len(cells) and abs(row.ari - (both - chance) / ((a + b) / 2 - chance)) < 1e-6
